@@ -1,0 +1,34 @@
+"""Position of every row within its group, without gathering a group in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def position_in_group(
+    df: DataFrame, group: Sequence[str], step: str, order: Sequence[Column], name: str = "index"
+) -> DataFrame:
+    """Number the rows of each group from 1, by ``step`` first and ``order`` within a step.
+
+    ``step`` is a column with a bounded set of values (seconds of a day). Only the rows
+    of one step are ever sorted together; the rows before a step are added from the
+    counts per step, of which a group has at most as many as there are step values.
+    Rows and counts are spread on the same keys, so one shuffle of the rows serves both.
+    """
+    keys = [*group, step]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys).orderBy(*order)
+    matched = [F.col(f"numbered.{key}").eqNullSafe(F.col(f"before.{key}")) for key in keys]
+    numbered = df.withColumn("_within", F.row_number().over(within))
+    return (
+        numbered.alias("numbered")
+        .join(before.alias("before"), matched)
+        .select("numbered.*", "_before")
+        .withColumn(name, F.col("_before") + F.col("_within"))
+        .drop("_before", "_within")
+    )

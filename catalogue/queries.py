@@ -96,9 +96,9 @@ def breakdown(star: Star) -> DataFrame:
 
 
 def source_name(name: str) -> str:
-    """A column name as the source system writes it: ``KlantNummer``, ``Resultaat_8``."""
+    """A column name as the source system writes it: ``KlantNummer``, ``Resultaat_8``, ``N_Ritten``."""
     parts = [part.capitalize() for part in name.split("_")]
-    return "_".join(parts) if parts[-1].isdigit() else "".join(parts)
+    return "_".join(parts) if parts[-1].isdigit() or len(parts[0]) == 1 else "".join(parts)
 
 
 def pascal(df: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def deviation_flag(result: Column) -> Column:
 
 def clock(seconds: Column) -> Column:
     """Seconds since midnight as ``HH:mm``."""
-    return F.format_string("%02d:%02d", F.floor(seconds / 3600), F.pmod(F.floor(seconds / 60), F.lit(60)))
+    shown = F.format_string("%02d:%02d", F.floor(seconds / 3600), F.pmod(F.floor(seconds / 60), F.lit(60)))
+    return F.when(seconds.isNotNull(), shown)
 
 
 def minutes_label(minutes: Column) -> Column:

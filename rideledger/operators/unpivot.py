@@ -25,7 +25,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def first_present(df: DataFrame, names: list[str], kind: str) -> Column:
     """The first of the named columns that exists, else NULL."""
-    return next((F.col(name) for name in names if name in df.columns), F.lit(None).cast(kind))
+    return next((F.col(name) for name in names if name in df.columns), F.lit(None)).cast(kind)
 
 
 def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_column: str = "datum") -> DataFrame:
@@ -49,9 +49,9 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
     told = F.filter(elements, lambda row: row.resultaat.isNotNull() | row.tekst.isNotNull())
     return df.select(
         optional(df, "client_slug").alias("client_slug"),
-        optional(df, "stuurtabel_id", "bigint").alias("stuurtabel_id"),
+        optional(df, "stuurtabel_id", "bigint").cast("bigint").alias("stuurtabel_id"),
         F.lit(entity_type).alias("entity_type"),
-        optional(df, id_column, "bigint").alias("entity_id"),
+        optional(df, id_column, "bigint").cast("bigint").alias("entity_id"),
         first_present(df, [date_column, "rit_datum", "datum"], "date").alias("datum"),
         optional(df, "vervoerder").alias("vervoerder"),
         first_present(df, ["perceel", "perceel_id"], "string").alias("perceel"),

@@ -16,7 +16,7 @@ from rideledger.operators.normalise import (
     prepare,
     prepare_executed_controls,
 )
-from rideledger.operators.unpivot import LONG_SCHEMA, control_rows
+from rideledger.operators.unpivot import control_rows
 from rideledger.registry import RUN
 from rideledger.sources.datasets import Store
 from rideledger.sources.tables import Reader, run_table, whole_table
@@ -110,10 +110,11 @@ def _store_new(store: Store, extracted: dict[str, DataFrame], plan: RunPlan, syn
 
 def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> dict[str, int]:
     """Copy the expired runs of every dataset to the history."""
+    if not plan.expired:
+        return dict.fromkeys(DATASETS, 0)
     counts = {}
     for dataset in DATASETS:
-        schema = LONG_SCHEMA if dataset in LONG_DATASETS else "stuurtabel_id bigint"
-        rows = of_runs(store.read_current(dataset, schema), plan.expired)
+        rows = of_runs(store.read_current(dataset), plan.expired)
         store.append_history(dataset, rows, synced_at, version)
         counts[dataset] = rows.count()
     return counts

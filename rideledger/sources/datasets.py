@@ -27,6 +27,8 @@ MANIFEST_SCHEMA = (
     "client_slug string, stuurtabel_id bigint, omschrijving string, soortvervoer string, is_current boolean, "
     "sync_timestamp timestamp, data_versions map<string,string>"
 )
+# What is certain about a dataset of which nothing has been stored yet.
+BARE_SCHEMA = "client_slug string, stuurtabel_id bigint"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,7 +72,7 @@ class Store:
 
     # Current area.
 
-    def read_current(self, dataset: str, schema: str = "stuurtabel_id bigint") -> DataFrame:
+    def read_current(self, dataset: str, schema: str = BARE_SCHEMA) -> DataFrame:
         """Rows of the current runs, columns merged by name; empty when nothing was stored yet.
 
         Run ids and versions come from the manifest, which has one row per invoice run;

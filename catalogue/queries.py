@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from rideledger.operators.detail import Detail, format_cells
 from rideledger.operators.unpivot import control_rows
 from rideledger.plans import costs, dashboard, export, fleet, rides, routes, runs, sync
 from rideledger.registry import RUN, detail_dataset
+from rideledger.session import tuned
 from rideledger.sources.datasets import Store, shared_folder
 from rideledger.sources.tables import run_table, whole_table
 
@@ -44,7 +46,7 @@ def add(name: str, build: Callable[[Star], DataFrame | Detail]) -> None:
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            result = build(Star(spark, folder))
+            result = build(Star(tuned(spark), folder))
             return result.listing() if isinstance(result, Detail) else result
 
         return run
@@ -521,8 +523,13 @@ def _history_append(star: Star) -> DataFrame:
     return store.read_history("kentallen_route").groupBy("year", "month", RUN).agg(F.count("*").alias("n_rows"))
 
 
-def _synced(star: Star) -> tuple[Store, list[DataFrame]]:
-    """Two syncs of one client: first the runs up to 200106, then those from 199603 on."""
+@lru_cache(maxsize=8)
+def _synced(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
+    """Two syncs of one client: first the runs up to 200106, then those from 199603 on.
+
+    Done once per session and folder; several queries look at what they left behind.
+    """
+    star = Star(spark, folder)
     store = _new_store(star)
     read = _reader(star)
     audits = []
@@ -536,7 +543,7 @@ def _synced(star: Star) -> tuple[Store, list[DataFrame]]:
 
 @query("sync_snapshot")
 def _sync_snapshot(star: Star) -> DataFrame:
-    store, _ = _synced(star)
+    store, _ = _synced(star.spark, star.folder)
     counted = []
     for dataset in sync.DATASETS:
         for area, rows in (("current", store.read_current(dataset)), ("history", store.read_history(dataset))):
@@ -551,13 +558,13 @@ def _sync_snapshot(star: Star) -> DataFrame:
 
 @query("expire_to_history")
 def _expire_to_history(star: Star) -> DataFrame:
-    store, _ = _synced(star)
+    store, _ = _synced(star.spark, star.folder)
     return store.read_history("kentallen_route").select(F.col(RUN).cast("bigint").alias(RUN), "datum", "route_id", "kosten_rit", "n_ritten")
 
 
 @query("sync_audit_counts")
 def _sync_audit_counts(star: Star) -> DataFrame:
-    _, audits = _synced(star)
+    _, audits = _synced(star.spark, star.folder)
     both = audits[0].unionByName(audits[1])
     return both.select(F.dayofmonth("started_at").alias("day"), F.explode("current_counts").alias("dataset", "n_current"), "history_counts").select(
         "day", "dataset", "n_current", F.coalesce(F.try_element_at("history_counts", F.col("dataset")), F.lit(0)).alias("n_history"))

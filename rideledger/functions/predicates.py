@@ -18,9 +18,13 @@ def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def _differs_from_zero(df: DataFrame, name: str) -> str:
+    return f"coalesce(try_cast({name} as double), 0) <> 0" if name in df.columns else "false"
+
+
 def nonzero(df: DataFrame, name: str) -> Column:
     """Result other than zero; NULL and absent results count as zero."""
-    return F.coalesce(optional(df, name, "double").try_cast("double"), F.lit(0.0)) != 0
+    return F.expr(_differs_from_zero(df, name))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -29,11 +33,9 @@ def any_of(conditions: list[Column]) -> Column:
 
 def result_or_text(df: DataFrame, control: int) -> Column:
     """Deviation of a generic control: a result other than zero, or a message."""
-    return nonzero(df, f"resultaat_{control}") | optional(df, f"tekst_{control}").isNotNull()
-
-
-def has_control(df: DataFrame, control: int) -> bool:
-    return f"resultaat_{control}" in df.columns or f"tekst_{control}" in df.columns
+    text = f"tekst_{control}"
+    told = f"{text} is not null" if text in df.columns else "false"
+    return F.expr(f"({_differs_from_zero(df, f'resultaat_{control}')}) or {told}")
 
 
 def result_controls(df: DataFrame) -> list[int]:
@@ -53,13 +55,13 @@ def checked_and_deviating(df: DataFrame, control: int) -> tuple[Column, Column]:
     """Which rows a control has checked, and which of them deviate."""
     result = f"resultaat_{control}"
     if control == 8:
-        planned = F.col("geplande_instap_tijd_s").isNotNull() & F.col("geplande_uitstap_tijd_s").isNotNull()
-        return planned, planned & nonzero(df, result)
+        planned = "geplande_instap_tijd_s is not null and geplande_uitstap_tijd_s is not null"
+        return F.expr(planned), F.expr(f"{planned} and {_differs_from_zero(df, result)}")
     if control == 10:
-        numbered = F.col("route_nummer").isNotNull()
-        return numbered, numbered & nonzero(df, result)
+        numbered = "route_nummer is not null"
+        return F.expr(numbered), F.expr(f"{numbered} and {_differs_from_zero(df, result)}")
     if control == 11:
-        return F.lit(True), F.coalesce(optional(df, result, "double").try_cast("double"), F.lit(0.0)) > 1
+        return F.lit(True), F.expr(f"coalesce(try_cast({result} as double), 0) > 1")
     if control in CONTROL_DATASET:
         return F.lit(True), nonzero(df, result)
     return F.lit(True), result_or_text(df, control)

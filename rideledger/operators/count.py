@@ -48,18 +48,12 @@ def measure_controls(df: DataFrame, dataset: str, by: Sequence[str] = PER_RUN) -
         for control, pair in conditions.items()
         for kind, condition in zip(("checked", "deviating"), pair)
     ]
-    per_control = F.array(
-        *[
-            F.struct(
-                F.lit(control).alias("control_id"),
-                F.col(f"checked_{control}").alias("total_checked"),
-                F.col(f"deviating_{control}").alias("total_deviations"),
-            )
-            for control in controls
-        ]
-    )
     if not controls:
-        return df.groupBy(*by).agg(F.lit(0).alias("control_id")).where(F.lit(False)).selectExpr(
-            *by, f"'{dataset}' as dataset", "control_id", "0L as total_checked", "0L as total_deviations"
-        )
-    return df.groupBy(*by).agg(*counts).select(*by, F.lit(dataset).alias("dataset"), F.inline(per_control))
+        nothing = f"'{dataset}' as dataset", "0 as control_id", "0L as total_checked", "0L as total_deviations"
+        return df.selectExpr(*by, *nothing).where(F.lit(False))
+    per_control = ", ".join(
+        f"struct({control} as control_id, checked_{control} as total_checked, deviating_{control} as total_deviations)"
+        for control in controls
+    )
+    wide = df.groupBy(*by).agg(*counts)
+    return wide.selectExpr(*by, f"'{dataset}' as dataset", f"inline(array({per_control}))")

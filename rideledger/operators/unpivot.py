@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.functions.predicates import optional, result_controls
-from rideledger.functions.text import deviation_flag, plain_number
+from rideledger.functions.predicates import flags_deviation, optional, result_controls
+from rideledger.functions.text import plain_number
 
 LONG_SCHEMA = (
     "client_slug string, stuurtabel_id bigint, entity_type string, entity_id bigint, datum date, vervoerder string, "
@@ -42,11 +42,11 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
             F.struct(
                 F.lit(control).alias("controle_id"),
                 *[as_text(df, f"{kind}_{control}").alias(kind) for kind in ("resultaat", "tekst", "controlewaarde", "dempelwaarde")],
+                flags_deviation(df, control).alias("is_deviation"),
             )
             for control in controls
         ]
     )
-    told = F.filter(elements, lambda row: row.resultaat.isNotNull() | row.tekst.isNotNull())
     return df.select(
         optional(df, "client_slug").alias("client_slug"),
         optional(df, "stuurtabel_id", "bigint").cast("bigint").alias("stuurtabel_id"),
@@ -56,5 +56,5 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
         optional(df, "vervoerder").alias("vervoerder"),
         first_present(df, ["perceel", "perceel_id"], "string").alias("perceel"),
         optional(df, "synced_at", "timestamp").alias("synced_at"),
-        F.inline(told),
-    ).withColumn("is_deviation", deviation_flag(F.col("resultaat")))
+        F.inline(elements),
+    ).where("resultaat is not null or tekst is not null")

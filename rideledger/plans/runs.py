@@ -53,7 +53,7 @@ def deviation_controls(executed: DataFrame) -> DataFrame:
     controls = executed_controls(executed).where(
         F.col("control_id").isNotNull() & ~F.col("control_id").isin(NON_DEVIATION_CONTROLS)
     )
-    registry = F.broadcast(control_dimension(executed.sparkSession))  # one row per registered control
+    registry = control_dimension(executed.sparkSession)
     title = F.coalesce("title", F.concat(F.lit("Controle "), F.col("control_id").cast("string")))
     named = F.coalesce(F.nullif("omschrijving", F.lit("")), title)
     return controls.join(registry, "control_id", "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,19 +110,21 @@ def _store_new(store: Store, extracted: dict[str, DataFrame], plan: RunPlan, syn
 
 
 def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> dict[str, int]:
-    """Copy the expired runs of every dataset to the history."""
+    """Copy the expired runs of every dataset to the history; returns the rows copied."""
     if not plan.expired:
         return dict.fromkeys(DATASETS, 0)
-    counts = {}
-    for dataset in DATASETS:
-        rows = of_runs(store.read_current(dataset), plan.expired)
+    versions = store.current_versions()
+    expired = {dataset: of_runs(store.read_current(dataset, versions), plan.expired) for dataset in DATASETS}
+    for dataset, rows in expired.items():
         store.append_history(dataset, rows, synced_at, version)
-        counts[dataset] = rows.count()
-    return counts
+    return row_counts(expired)
 
 
-def _rows_by_run(frame: DataFrame | None, runs: list[int]) -> int:
-    return 0 if frame is None else of_runs(frame, runs).count()
+def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each dataset, in one job. Counts of stored rows come from file footers."""
+    counted = [rows.agg(F.lit(dataset).alias("dataset"), F.count("*").alias("n")) for dataset, rows in frames.items()]
+    found = reduce(DataFrame.unionByName, counted).collect()
+    return {row.dataset: row.n for row in found}
 
 
 def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -> DataFrame:
@@ -158,19 +161,16 @@ def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -
     _store_new(store, extracted, plan, started, version)
     kept = local.select(RUN, F.col("data_versions").alias("kept"))
     fresh = F.create_map(*[F.lit(text) for dataset in DATASETS for text in (dataset, version)])
-    one_per_run = source.groupBy(RUN).agg(F.max("omschrijving").alias("omschrijving"), F.max("soortvervoer").alias("soortvervoer"))
+    texts = [F.max(name).alias(name) for name in ("omschrijving", "soortvervoer")]
+    one_per_run = source.groupBy(RUN).agg(*texts)
     manifest = build_manifest(one_per_run, store.client, started).join(kept, RUN, "left")
-    store.publish(
-        manifest.withColumn("data_versions", F.coalesce("kept", fresh)).drop("kept").select(
-            "client_slug", RUN, "omschrijving", "soortvervoer", "is_current", "sync_timestamp", "data_versions"
-        ),
-        version,
-    )
+    listed = manifest.withColumn("data_versions", F.coalesce("kept", fresh)).drop("kept")
+    store.publish(listed.select(*local.columns), version)
 
-    current = {dataset: store.read_current(dataset).groupBy(F.col(RUN).isin(plan.new).alias("is_new")).count().collect() for dataset in DATASETS}
-    audit["current_counts"] = {dataset: sum(row["count"] for row in rows) for dataset, rows in current.items()}
-    audit["current_counts"]["manifest"] = len(audit["current_ids"])
-    audit["records_synced"] = sum(row["count"] for rows in current.values() for row in rows if row.is_new)
+    versions = store.current_versions()
+    stored = {dataset: store.read_current(dataset, versions) for dataset in DATASETS}
+    audit["current_counts"] = row_counts(stored) | {"manifest": len(versions)}
+    audit["records_synced"] = sum(row_counts({dataset: of_runs(rows, plan.new) for dataset, rows in stored.items()}).values())
     audit["raw_source_columns"] = {dataset: rows.columns for dataset, rows in extracted.items()}
     audit["message"] = "Sync completed"
     return _audited(store, audit)
@@ -199,7 +199,7 @@ def backfill_key_figures(store: Store, read: Reader, synced_at: datetime | None
         return 0
     rows = prepare("kentallen_route", run_table(read, "kentallen_route", runs), store.client, runs, started)
     store.replace_current("kentallen_route", rows, f"{started:%Y%m%d%H%M%S%f}")
-    return _rows_by_run(store.read_current("kentallen_route"), runs)
+    return store.read_current("kentallen_route").count()
 
 
 def backfill_clients(clients: list[tuple[Store, Reader]], synced_at: datetime | None = None) -> dict[str, int]:

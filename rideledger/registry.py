@@ -43,6 +43,6 @@ def report_columns(control: int) -> dict[str, str]:
 
 
 def control_dimension(spark: SparkSession) -> DataFrame:
-    """The registry as a small DataFrame."""
-    rows = [(control, *texts) for control, texts in CONTROLS.items()]
-    return spark.createDataFrame(rows, "control_id int, title string, entity string, metric_label string")
+    """The registry as a small DataFrame; its size is known to the planner."""
+    rows = ", ".join(f"({control}, '{title}', '{kind}', '{metric}')" for control, (title, kind, metric) in CONTROLS.items())
+    return spark.sql(f"select * from values {rows} as controls(control_id, title, entity, metric_label)")

@@ -72,19 +72,24 @@ class Store:
 
     # Current area.
 
-    def read_current(self, dataset: str, schema: str = BARE_SCHEMA) -> DataFrame:
+    def current_versions(self) -> dict[int, dict[str, str]]:
+        """Run id to the version of each of its datasets; one entry per invoice run."""
+        return {row[RUN]: row.data_versions for row in self.manifest().select(RUN, "data_versions").collect()}
+
+    def read_current(self, dataset: str, versions: dict[int, dict[str, str]] | None = None) -> DataFrame:
         """Rows of the current runs, columns merged by name; empty when nothing was stored yet.
 
-        Run ids and versions come from the manifest, which has one row per invoice run;
-        the filter on them prunes folders.
+        The filter on run ids and versions prunes folders. Give ``versions`` when reading
+        several datasets, so that all show the same state.
         """
         base = self.folder(dataset, "current")
-        runs = self.manifest().select(RUN, F.col("data_versions")[dataset].alias("version"))
+        runs = self.current_versions() if versions is None else versions
         by_version: dict[str, list[int]] = {}
-        for row in runs.where("version is not null").collect():
-            by_version.setdefault(row.version, []).append(row[RUN])
+        for run, held in runs.items():
+            if dataset in held:
+                by_version.setdefault(held[dataset], []).append(run)
         if not by_version or not self._matches(f"{base}/version=*/{RUN}=*"):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], BARE_SCHEMA)
         named = [
             (F.col("version") == version) & F.col(RUN).isin(sorted(run_ids)) for version, run_ids in by_version.items()
         ]

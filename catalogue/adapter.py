@@ -144,9 +144,13 @@ for _control in ROUTE_GENERIC:
     ROUTES[f"resultaat_{_control}"] = ([f"resultaat_{_control}"], f"max(resultaat_{_control})")
     ROUTES[f"tekst_{_control}"] = ([f"tekst_{_control}"], f"min(tekst_{_control})")
 
+# Cost in thousands with two decimals, rounded half up on whole cents, so that no engine's
+# own way to round a double shows in the input.
+HUNDREDTHS = "cast(floor((cast(round(sum(l_extendedprice) * 100) as bigint) + 500) / 1000) as bigint)"
 KEY_FIGURES = {
     "kosten_rit": "case when l_suppkey % 7 = 0 then 'n.v.t.' when l_suppkey % 5 = 0 then null "
-    "else cast(cast(sum(l_extendedprice) / 1000 as decimal(18,2)) as string) end",
+    f"else concat(cast(cast(floor({HUNDREDTHS} / 100) as bigint) as string), '.', "
+    f"lpad(cast({HUNDREDTHS} % 100 as string), 2, '0')) end",
     "n_ritten": "case when l_suppkey % 9 = 0 then null else cast(count(*) as string) end",
 }
 

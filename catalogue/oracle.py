@@ -653,7 +653,7 @@ def statements() -> dict[str, str]:
     plain["control_unpivot"] = f"SELECT * FROM {LONG_RIDES}"
     plain["deviation_flag"] = f"""SELECT l_orderkey, resultaat, {flag("resultaat")} AS is_deviation
         FROM (SELECT l_orderkey, {RESULT_TEXT} AS resultaat FROM lineitem)"""
-    plain["infer_column_types"] = """SELECT l_orderkey AS whole, CAST(l_extendedprice AS DECIMAL(18,2)) AS money,
+    plain["infer_column_types"] = """SELECT l_orderkey AS whole, l_extendedprice AS money,
         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS number,
         CASE WHEN l_linenumber = 7 THEN 'n.v.t.' ELSE CAST(l_partkey AS VARCHAR) END AS mixed,
         CASE WHEN l_linenumber <> 7 THEN l_suppkey END AS gaps, CAST(NULL AS VARCHAR) AS empty, l_returnflag AS words FROM lineitem"""

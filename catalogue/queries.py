@@ -457,7 +457,7 @@ def _deviation_flag(star: Star) -> DataFrame:
 
 
 add("infer_column_types", lambda star: normalise.promote_text_columns(star.table("lineitem").selectExpr(
-    "cast(l_orderkey as string) as whole", "cast(l_extendedprice as decimal(18,2)) as money",
+    "cast(l_orderkey as string) as whole", "l_extendedprice as money",
     "cast(cast(l_extendedprice as decimal(18,2)) as string) as number",
     "case when l_linenumber = 7 then 'n.v.t.' else cast(l_partkey as string) end as mixed",
     "case when l_linenumber = 7 then null else cast(l_suppkey as string) end as gaps", "cast(null as string) as empty",

@@ -680,6 +680,14 @@ def statements() -> dict[str, str]:
             ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS place FROM orders) WHERE place = 1"""
     plain["deviations_per_vervoerder"] = f"""SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) AS entities FROM {LONG_RIDES}
         WHERE is_deviation GROUP BY 1, 2"""
+    flagged = " OR ".join(nonzero(int(name.split("_")[1])) for name in RG_COLUMNS if name.startswith("resultaat_"))
+    plain["deviation_amount"] = f"""SELECT {R}, CAST(COALESCE(SUM(CASE WHEN {flagged} THEN CAST(bedrag_ex_btw AS DECIMAL(18,4)) END), 0) AS DOUBLE)
+        AS deviation_amount FROM ritten_detail GROUP BY 1"""
+    plain["history_dedupe"] = """SELECT entity_id, controle_id, resultaat, synced_at, stuurtabel_id FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY stuurtabel_id, entity_id, controle_id ORDER BY synced_at DESC) AS place FROM (
+            SELECT o_custkey AS entity_id, l_linenumber AS controle_id, l_returnflag AS resultaat,
+                l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey AS synced_at, l_quantity % 3 AS stuurtabel_id FROM base))
+        WHERE place = 1"""
 
     return {
         **{name: f"WITH {views} {sql}" for name, sql in plain.items()},

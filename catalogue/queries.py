@@ -586,7 +586,14 @@ def _kentallen_backfill(star: Star) -> DataFrame:
 # Specified for the platform, beyond its pages.
 
 
-@query("deviations_per_vervoerder")
-def _deviations_per_vervoerder(star: Star) -> DataFrame:
-    rows = _longs(star)["ritten_detail"].where("is_deviation")
-    return rows.groupBy(RUN, "vervoerder").agg(F.count_distinct("entity_id").alias("entities"))
+add("deviations_per_vervoerder", lambda star: dashboard.deviations_per_carrier(_longs(star)["ritten_detail"]))
+add("deviation_amount", lambda star: dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])))
+
+
+@query("history_dedupe")
+def _history_dedupe(star: Star) -> DataFrame:
+    rows = star.base(["o_custkey"]).selectExpr(
+        "o_custkey as entity_id", "l_linenumber as controle_id", "l_returnflag as resultaat",
+        "l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey as synced_at", "l_quantity % 3 as stuurtabel_id",
+    )
+    return sync.newest_rows(rows.groupBy(*rows.columns).count().drop("count"), [RUN, "entity_id", "controle_id"])

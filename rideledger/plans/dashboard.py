@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.fixed_values import CONTROL_DATASET, NON_DEVIATION_CONTROLS, TREND_RUNS
-from rideledger.functions.numeric import share
+from rideledger.functions.numeric import exact_sum, share
 from rideledger.functions.predicates import any_of, flags_deviation, measurable_controls, nonzero, result_controls
 from rideledger.operators.count import measure_controls, summary
 from rideledger.operators.detail import Detail
@@ -198,3 +198,17 @@ def drilldown_rows(longs: list[DataFrame]) -> Detail:
 def rows_per_control_code(executed: DataFrame) -> DataFrame:
     """Number of rows per control code."""
     return executed.groupBy("controlecode").agg(F.count("*").alias("n_rows"))
+
+
+def deviations_per_carrier(long: DataFrame) -> DataFrame:
+    """Distinct deviating entities per run and carrier."""
+    rows = long.where(F.col("is_deviation"))
+    return rows.groupBy(RUN, "vervoerder").agg(F.count_distinct("entity_id").alias("entities"))
+
+
+def deviation_amounts(rides: DataFrame) -> DataFrame:
+    """Invoiced amount of the rides with a deviating result, per run."""
+    controls = [control for control in result_controls(rides) if control not in NON_DEVIATION_CONTROLS]
+    deviating = any_of([flags_deviation(rides, control) for control in controls])
+    amount = F.coalesce(exact_sum(F.when(deviating, F.col("bedrag_ex_btw"))).cast("double"), F.lit(0.0))
+    return rides.groupBy(RUN).agg(amount.alias("deviation_amount"))

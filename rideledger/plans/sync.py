@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -95,19 +97,32 @@ def _extract(read: Reader, plan: RunPlan) -> dict[str, DataFrame]:
     return rows
 
 
+def _at_once(work: Callable[[str], object], datasets: Iterable[str]) -> None:
+    """Write several datasets side by side, so that small ones do not leave executors idle."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for done in [pool.submit(work, dataset) for dataset in datasets]:
+            done.result()
+
+
 def _store_new(store: Store, extracted: dict[str, DataFrame], plan: RunPlan, synced_at: datetime, version: str) -> None:
     """Write the rows of the new runs; control rows are derived from what was just stored."""
-    for dataset, rows in extracted.items():
+
+    def write_detail(dataset: str) -> None:
         if dataset == "executed_controls":
-            prepared = prepare_executed_controls(rows, store.client, plan.new, synced_at)
+            rows = prepare_executed_controls(extracted[dataset], store.client, plan.new, synced_at)
         else:
-            prepared = prepare(dataset, rows, store.client, plan.new, synced_at)
-        store.write_version(dataset, prepared, version)
-    for dataset, (detail, kind) in LONG_DATASETS.items():
+            rows = prepare(dataset, extracted[dataset], store.client, plan.new, synced_at)
+        store.write_version(dataset, rows, version)
+
+    def write_long(dataset: str) -> None:
+        detail, kind = LONG_DATASETS[dataset]
         stored = store.read_version(detail, version)
         if stored is not None:
             store.write_version(dataset, control_rows(stored, kind), version)
 
+    _at_once(write_detail, extracted)
+    _at_once(write_long, LONG_DATASETS)
+
 
 def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> dict[str, int]:
     """Copy the expired runs of every dataset to the history; returns the rows copied."""
@@ -115,8 +130,7 @@ def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> d
         return dict.fromkeys(DATASETS, 0)
     versions = store.current_versions()
     expired = {dataset: of_runs(store.read_current(dataset, versions), plan.expired) for dataset in DATASETS}
-    for dataset, rows in expired.items():
-        store.append_history(dataset, rows, synced_at, version)
+    _at_once(lambda dataset: store.append_history(dataset, expired[dataset], synced_at, version), DATASETS)
     return row_counts(expired)
 
 
@@ -185,6 +199,12 @@ def _audited(store: Store, audit: dict) -> DataFrame:
     return row
 
 
+def newest_rows(history: DataFrame, keys: list[str]) -> DataFrame:
+    """History rows without repeats: per key the row of the last sync."""
+    newest = F.max_by(F.struct(*history.columns), F.col("synced_at"))
+    return history.groupBy(*keys).agg(newest.alias("newest")).select("newest.*")
+
+
 def latest_sync(audit: DataFrame) -> DataFrame:
     """The newest audit row of each client."""
     newest = F.max_by(F.struct(*audit.columns), F.col("started_at"))

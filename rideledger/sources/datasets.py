@@ -79,25 +79,42 @@ class Store:
     def read_current(self, dataset: str, versions: dict[int, dict[str, str]] | None = None) -> DataFrame:
         """Rows of the current runs, columns merged by name; empty when nothing was stored yet.
 
-        The filter on run ids and versions prunes folders. Give ``versions`` when reading
-        several datasets, so that all show the same state.
+        Each version was written by one job and has one schema, so the versions are read
+        side by side and united by name: no footers are scanned to merge schemas, a column
+        whose type differs between syncs is widened, and only folders of named runs are read.
+        Give ``versions`` when reading several datasets, so that all show the same state.
         """
-        base = self.folder(dataset, "current")
         runs = self.current_versions() if versions is None else versions
         by_version: dict[str, list[int]] = {}
         for run, held in runs.items():
             if dataset in held:
                 by_version.setdefault(held[dataset], []).append(run)
-        if not by_version or not self._matches(f"{base}/version=*/{RUN}=*"):
-            return self.spark.createDataFrame([], BARE_SCHEMA)
-        named = [
-            (F.col("version") == version) & F.col(RUN).isin(sorted(run_ids)) for version, run_ids in by_version.items()
+        parts = [
+            rows.where(F.col(RUN).isin(sorted(run_ids)))
+            for version, run_ids in sorted(by_version.items())
+            if (rows := self.read_version(dataset, version)) is not None
         ]
-        stored = self._partitioned(base, f"{RUN} bigint, version string")
-        return stored.where(reduce(lambda left, right: left | right, named)).drop("version")
+        if not parts:
+            return self.spark.createDataFrame([], BARE_SCHEMA)
+        return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
 
-    def _partitioned(self, path: str, partition_types: str) -> DataFrame:
-        rows = self.spark.read.option("mergeSchema", True).parquet(path)
+    def drop_unlisted(self, dataset: str) -> int:
+        """Delete stored runs that the manifest does not name: expired ones and those of failed jobs.
+
+        Not part of a sync, because a reader may still use the list before. Returns how many
+        run folders were deleted.
+        """
+        listed = {(held.get(dataset), str(run)) for run, held in self.current_versions().items()}
+        deleted = 0
+        for folder in self._matches(f"{self.folder(dataset, 'current')}/version=*/{RUN}=*"):
+            version, run = folder.rsplit("version=", 1)[1].split(f"/{RUN}=")
+            if (version, run) not in listed:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                deleted += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return deleted
+
+    def _partitioned(self, path: str, partition_types: str, merge: bool = False) -> DataFrame:
+        rows = self.spark.read.option("mergeSchema", merge).parquet(path)
         for field in partition_types.split(", "):
             name, kind = field.split(" ")
             rows = rows.withColumn(name, F.col(name).cast(kind))
@@ -158,4 +175,4 @@ class Store:
         path = self.folder(dataset, "history")
         if not self._matches(f"{path}/year=*"):
             return None
-        return self._partitioned(path, f"{RUN} string, version string, year int, month int")
+        return self._partitioned(path, f"{RUN} string, version string, year int, month int", merge=True)

@@ -81,6 +81,22 @@ def test_a_sync_that_fails_half_way_can_be_repeated(spark, store, monkeypatch):
     assert store.read_history("ritten_detail").count() == 2
 
 
+def test_unlisted_runs_are_dropped_on_request(spark, store):
+    sync.sync_client(store, source(spark, [1, 3]), DAY)
+    sync.sync_client(store, source(spark, [3, 5]), DAY.replace(day=2))
+    before = sorted(map(tuple, store.read_current("ritten_detail").select("stuurtabel_id", "id").collect()))
+    assert store.drop_unlisted("ritten_detail") == 1
+    assert store.drop_unlisted("ritten_detail") == 0
+    assert sorted(map(tuple, store.read_current("ritten_detail").select("stuurtabel_id", "id").collect())) == before
+
+
+def test_types_that_differ_between_syncs_are_widened(spark, store):
+    for version, kind in (("1", "int"), ("2", "double")):
+        store.write_version("ritten_detail", spark.createDataFrame([(int(version), 7)], "stuurtabel_id int, v int").withColumn("v", F.col("v").cast(kind)), version)
+    rows = store.read_current("ritten_detail", {1: {"ritten_detail": "1"}, 2: {"ritten_detail": "2"}})
+    assert dict(rows.dtypes)["v"] == "double" and rows.count() == 2
+
+
 def test_history_partitions(spark, store):
     rows = spark.createDataFrame([(7, "a"), (None, "b")], "stuurtabel_id int, v string")
     store.append_history("ritten_detail", rows, DAY)

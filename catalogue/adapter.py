@@ -142,7 +142,11 @@ ROUTES: dict[str, tuple[list[str], str]] = {
 }
 for _control in ROUTE_GENERIC:
     ROUTES[f"resultaat_{_control}"] = ([f"resultaat_{_control}"], f"max(resultaat_{_control})")
-    ROUTES[f"tekst_{_control}"] = ([f"tekst_{_control}"], f"min(tekst_{_control})")
+    # The message of a control is the same text wherever there is one, so counting finds it.
+    ROUTES[f"tekst_{_control}"] = (
+        [f"tekst_{_control}"],
+        f"case when count(tekst_{_control}) > 0 then concat('Afwijking ', cast({_control} as string)) end",
+    )
 
 # Cost in thousands with two decimals, rounded half up on whole cents, so that no engine's
 # own way to round a double shows in the input.

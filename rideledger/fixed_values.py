@@ -128,6 +128,12 @@ RESULT_COLUMN = r"^resultaat_(\d+)$"
 LOCATION_CODE = r"^\d{5}\s+"
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Plates that stand for "unknown" (compared after trimming).
 PLACEHOLDER_PLATES = ["", "00-00-00", "XX-XX-XX", "-  -  -"]
 

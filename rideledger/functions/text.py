@@ -13,13 +13,14 @@ from rideledger.fixed_values import (
     TIME_FORMAT,
     TIMESTAMP_FORMAT,
     TRUTHY,
+    WHITE_SPACE,
 )
 from rideledger.functions.numeric import number
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not just spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_location_code(text: Column) -> Column:

@@ -16,19 +16,26 @@ def position_in_group(
     ``step`` is a column with a bounded set of values (seconds of a day). Only the rows
     of one step are ever sorted together; the rows before a step are added from the
     counts per step, of which a group has at most as many as there are step values.
-    Rows and counts are spread on the same keys, so one shuffle of the rows serves both.
+
+    Group and step travel as one struct: rows are shuffled on it once, for the numbering
+    and the join alike, also when they arrive partitioned by group. NULLs inside a struct
+    compare equal, so groups with NULL keys are numbered like any other. Its hash goes
+    first only to make comparing quick; equal hashes are still told apart by the struct.
     """
-    keys = [*group, step]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys).orderBy(*order)
-    matched = [F.col(f"numbered.{key}").eqNullSafe(F.col(f"before.{key}")) for key in keys]
-    numbered = df.withColumn("_within", F.row_number().over(within))
+    cell = F.struct(*[F.col(key).alias(f"k{place}") for place, key in enumerate([*group, step])])
+    rows = df.withColumn("_cell", cell).withColumn("_hash", F.xxhash64("_cell"))
+    shared = ["_hash", "_cell"]
+    group_keys = [f"_cell.k{place}" for place in range(len(group))]
+    earlier = (
+        Window.partitionBy(*group_keys)
+        .orderBy(f"_cell.k{len(group)}")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    )
+    counts = rows.groupBy(*shared).agg(F.count("*").alias("_rows"))
+    before = counts.select(*shared, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*shared).orderBy(*order)))
     return (
-        numbered.alias("numbered")
-        .join(before.alias("before"), matched)
-        .select("numbered.*", "_before")
+        numbered.join(before, shared)
         .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("_before", "_within")
+        .drop(*shared, "_before", "_within")
     )

@@ -83,31 +83,44 @@ def report_10_durations(routes: DataFrame, rides: DataFrame) -> DataFrame:
     )
 
 
-def _stop(kind: str, plan: str, side: str, time: str) -> Column:
-    place = strip_location_code(F.col(f"locatie_{side}"))
-    label = F.btrim(F.concat(place, F.lit(" - "), F.coalesce("reiziger_naam", F.lit(""))), F.lit(" -"))
-    return F.struct(
-        F.lit(plan).alias("plan"),
-        F.lit(kind).alias("event_type"),
-        label.alias("label"),
-        F.col(f"latitude_{side}").cast("double").alias("latitude"),
-        F.col(f"longitude_{side}").cast("double").alias("longitude"),
-        F.col(time).cast("int").alias("time_s"),
-    )
+# Stops of a ride: plan, kind of stop, column that holds its time.
+STOPS = [
+    ("actual", "pickup", "netto_instap_s"),
+    ("actual", "dropoff", "netto_uitstap_s"),
+    ("replanned", "pickup", "netto_herplan_instap_s"),
+    ("replanned", "dropoff", "netto_herplan_uitstap_s"),
+]
 
 
 def report_10_stops(routes: DataFrame, rides: DataFrame) -> DataFrame:
-    """Stops of every improved route in driving order, as driven and as replanned."""
-    stops = F.array(
-        _stop("pickup", "actual", "van", "netto_instap_s"),
-        _stop("dropoff", "actual", "naar", "netto_uitstap_s"),
-        _stop("pickup", "replanned", "van", "netto_herplan_instap_s"),
-        _stop("dropoff", "replanned", "naar", "netto_herplan_uitstap_s"),
+    """Stops of every improved route in driving order, as driven and as replanned.
+
+    Rides fan out to bare stops first; places and labels are only worked out for the
+    stops that remain.
+    """
+    per_ride = ", ".join(
+        f"struct('{plan}' as plan, '{kind}' as event_type, cast({time} as int) as time_s)" for plan, kind, time in STOPS
     )
-    known = F.filter(
-        stops, lambda stop: stop.latitude.isNotNull() & stop.longitude.isNotNull() & stop.time_s.isNotNull()
+
+    def at_stop(name: str) -> Column:
+        return F.when(F.col("event_type") == "pickup", F.col(f"{name}_van")).otherwise(F.col(f"{name}_naar"))
+
+    label = F.concat(strip_location_code(at_stop("locatie")), F.lit(" - "), F.coalesce("reiziger_naam", F.lit("")))
+    events = (
+        _improved_rides(routes, rides)
+        .select("*", F.expr(f"inline(array({per_ride}))"))
+        .select(
+            *ROUTE,
+            F.col("id").alias("ride_id"),
+            "plan",
+            "event_type",
+            "time_s",
+            at_stop("latitude").cast("double").alias("latitude"),
+            at_stop("longitude").cast("double").alias("longitude"),
+            F.btrim(label, F.lit(" -")).alias("label"),
+        )
+        .where("time_s is not null and latitude is not null and longitude is not null")
     )
-    events = _improved_rides(routes, rides).select(*ROUTE, F.col("id").alias("ride_id"), F.inline(known))
     order = ordering(["ride_id", "event_type", "label", "latitude", "longitude"])
     return position_in_group(events, [*ROUTE, "plan"], "time_s", order)
 

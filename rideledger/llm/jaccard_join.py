@@ -17,8 +17,8 @@ How the work is kept small, without losing a link:
   with it share its component, so pairs among them are never formed. For the rest, the
   pivot's answers bound theirs: Jaccard distance is a metric, so x and y cannot link if
   ``d(p, x) - d(p, y) > 0.15``.
-* Bitmap filter before sets are moved: the parity of a set over 512 bits bounds the symmetric
-  difference from below.
+* Bitmap filter before sets are moved: the parities of a set's members over cells (at least 512,
+  and half as many as it has members) bound the symmetric difference of two sets from below.
 
 Defined results: null text or no words give the empty set (size 0, linked with nothing, own
 component); fewer than four words give one shingle, the whole sequence; repeated rows each
@@ -99,8 +99,10 @@ def _prefix(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.n
 
 
 def _parity(members: np.ndarray) -> np.ndarray:
-    bits = np.bincount((members >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parities of a set over at least half as many cells as it has members, a power of two."""
+    cells = max(64 * BITMAP_WORDS, 1 << max(0, (len(members) // 2 - 1)).bit_length())
+    bits = np.bincount(((members >> np.uint64(17)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +191,14 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         own = known.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in known.columns])
         pairs = pairs.join(own, side)
-    apart = F.aggregate(
-        F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
+    length = F.least(F.size("parity_a"), F.size("parity_b"))  # of two sets that can link, one is at most twice the other
+
+    def folded(side: str) -> Column:
+        parts = F.slice(side, F.lit(1), length), F.slice(side, length + 1, length)
+        return F.when(F.size(side) > length, F.zip_with(*parts, lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(side))
+
+    differing = F.zip_with(folded("parity_a"), folded("parity_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.when(_possible("n_a", "n_b"), F.aggregate(differing, F.lit(0), lambda s, x: s + x))
     apart = F.greatest(apart, F.abs(F.col("n_a") - F.col("n_b")))
     return pairs.withColumn("apart", apart.cast("bigint")).drop("parity_a", "parity_b")
 

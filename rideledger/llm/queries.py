@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rideledger.llm import jaccard_join
+from rideledger.llm import jaccard_join, language, line_dedup, packing, quality, syncmers
 from rideledger.llm.oracle import SQL
 
 
@@ -14,6 +16,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer lies, on the machine that asks."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path(name))
+
+
+def op1_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
+def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.packed(table(spark, folder, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+
+
+def op6_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"))
+
+
+def op7_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    told = language.predicted(docs.select("doc_id", "text"), language.learned(docs))
+    return told.select("doc_id", language.held_out().alias("held_out"), F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.linked_documents(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -22,6 +55,11 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     return {
+        "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+        "op2_retrieval_packing": op2_retrieval_packing,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_quality_cascade": op6_quality_cascade,
+        "op7_language_crf": op7_language_crf,
         "op8_jaccard_join": op8_jaccard_join,
     }
 

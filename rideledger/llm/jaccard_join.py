@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,18 +106,23 @@ def _parity(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles frequent in a sample, sorted, and the place of each from rare to frequent."""
     total = docs.count()
     step = max(1, total // FREQUENCY_SAMPLE)
 
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"token": np.concatenate(sets) if sets else np.empty(0, np.int64)})
+            sets = [shingle_set(text).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["token"])
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
-    counted = some.mapInPandas(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
+    counted = some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
     rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     place = np.argsort(tokens)
@@ -130,22 +136,23 @@ def _described(docs: DataFrame) -> DataFrame:
     frequent, rank = _frequent(docs)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in batches:
-            sets = [shingle_set(text) for text in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n": [len(members) for members in sets],
-                    "node": pd.array([_node(members) for members in sets], dtype="Int64"),
-                    "prefix": [_prefix(members, frequent, rank).view(np.int64) for members in sets],
-                    "parity": [_parity(members) for members in sets],
-                }
+            sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(members) for members in sets], pa.int64()),
+                    pa.array([_node(members) for members in sets], pa.int64()),
+                    _lists([_prefix(members, frequent, rank).view(np.int64) for members in sets]),
+                    _lists([_parity(members) for members in sets]),
+                ],
+                ["doc_id", "n", "node", "prefix", "parity"],
             )
 
     schema = "doc_id bigint, n bigint, node bigint, prefix array<bigint>, parity array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(describe, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(describe, schema)
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,19 +171,21 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     wanted = spark.sparkContext.broadcast({row.bucket: bytes(row.bits) for row in rows})
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {bucket: np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little") for bucket, held in wanted.value.items()}
         for batch in batches:
-            keep = np.array(
-                [b in bits and bool(bits[b][p]) for b, p in zip(batch["bucket"], batch["position"], strict=True)], dtype=bool
+            places = zip(batch.column("bucket").to_pylist(), batch.column("position").to_pylist(), strict=True)
+            rows = [row for row, (bucket, position) in enumerate(places) if bucket in bits and bits[bucket][position]]
+            sets = [shingle_set(text) for text in batch.column("text").take(pa.array(rows, pa.int64())).to_pylist()]
+            sets = [found for found in sets if len(found)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_node(found) for found in sets], pa.int64()), _lists([found.view(np.int64) for found in sets])], ["node", "members"]
             )
-            sets = [shingle_set(text) for text in batch["text"][keep]]
-            yield pd.DataFrame({"node": [_node(s) or 0 for s in sets], "members": [s.view(np.int64) for s in sets]})
 
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS))
     made = docs.select(
         "text", F.bitmap_bucket_number(hashed).alias("bucket"), F.bitmap_bit_position(hashed).alias("position")
-    ).mapInPandas(members, "node bigint, members array<bigint>")
+    ).mapInArrow(members, "node bigint, members array<bigint>")
     return made.groupBy("node").agg(F.first("members").alias("members"))
 
 

@@ -53,9 +53,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     behind = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     all_ = Window.partitionBy()
     level = (F.sum("source_size").over(all_) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / F.sum("weight").over(behind)
-    levels = weighed.withColumns({"limit": limit, "level": level})
+    levels = weighed.withColumns({"limit": limit, "level": level, "place": F.row_number().over(rising)})
     # The level holds from the first source on that it doesn't lift above its limit.
-    final = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "level"))).over(all_)["level"]
+    final = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct("place", "level"))).over(all_)["level"]
     return levels.select("source", "source_size", F.least("limit", F.coalesce(final, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 

@@ -16,8 +16,8 @@ How the work is kept small, without losing a link:
 * Answer-level skipping: the sets of a list are first compared with one pivot. Those linked
   with it share its component, so pairs among them are never formed. For the rest, the
   pivot's answers bound theirs: Jaccard distance is a metric, so x and y cannot link if
-  ``d(p, x) - d(p, y) > 0.15``.
-* Bitmap filter before sets are moved: the parities of a set's members over cells (at least 512,
+  ``d(p, x) - d(p, y) > 0.15``. The pivot is the set that stands in most lists.
+* Bitmap filter, within the join of a list and before sets are moved: the parities of a set's members over cells (at least 512,
   and half as many as it has members) bound the symmetric difference of two sets from below.
 
 Defined results: null text or no words give the empty set (size 0, linked with nothing, own
@@ -43,11 +43,11 @@ from rideledger.llm.words import lower_words
 
 SHINGLE = 4
 PERCENT = 85
-FREQUENCY_SAMPLE = 8192
-FREQUENT = 131_072
+FREQUENCY_SAMPLE = 65_536
+FREQUENT = 1 << 20
 BITMAP_WORDS = 8
 FILTER_BITS = 26
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -122,7 +122,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["token"])
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
-    counted = some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
+    counted = some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
     rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     place = np.argsort(tokens)
@@ -194,29 +194,36 @@ def _possible(m: str, n: str) -> Column:
     return F.expr(f"{PERCENT} * greatest({m}, {n}) <= 100 * least({m}, {n})")
 
 
+def _least_apart(n_a: str, parity_a: str, n_b: str, parity_b: str) -> Column:
+    """So many shingles at least are in one of two sets alone, by their sizes and parities."""
+    length = F.least(F.size(parity_a), F.size(parity_b))  # of two sets that can link, one is at most twice the other
+
+    def folded(side: str) -> Column:
+        parts = F.slice(side, F.lit(1), length), F.slice(side, length + 1, length)
+        return F.when(F.size(side) > length, F.zip_with(*parts, lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(side))
+
+    differing = F.zip_with(folded(parity_a), folded(parity_b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.when(_possible(n_a, n_b), F.aggregate(differing, F.lit(0), lambda s, x: s + x))
+    return F.greatest(apart, F.abs(F.col(n_a) - F.col(n_b))).cast("bigint")
+
+
+def _open(apart: Column, n_a: str, n_b: str) -> Column:
+    """Whether sets that are at least so far apart can link: |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|) if they do."""
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(n_a) + F.col(n_b))
+
+
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) with both sizes, labels and ``apart``: at least so many shingles are in one set alone."""
     known = nodes.select("node", "n", "parity", "label")
     for side in ("a", "b"):
         own = known.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in known.columns])
         pairs = pairs.join(own, side)
-    length = F.least(F.size("parity_a"), F.size("parity_b"))  # of two sets that can link, one is at most twice the other
-
-    def folded(side: str) -> Column:
-        parts = F.slice(side, F.lit(1), length), F.slice(side, length + 1, length)
-        return F.when(F.size(side) > length, F.zip_with(*parts, lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(side))
-
-    differing = F.zip_with(folded("parity_a"), folded("parity_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.when(_possible("n_a", "n_b"), F.aggregate(differing, F.lit(0), lambda s, x: s + x))
-    apart = F.greatest(apart, F.abs(F.col("n_a") - F.col("n_b")))
-    return pairs.withColumn("apart", apart.cast("bigint")).drop("parity_a", "parity_b")
+    return pairs.withColumn("apart", _least_apart("n_a", "parity_a", "n_b", "parity_b")).drop("parity_a", "parity_b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact ``apart`` for the pairs whose bound leaves a link possible; the others keep their bound."""
-    # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|) for linked sets
-    open_ = (100 + PERCENT) * F.col("apart") <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
-    pairs = settled(pairs.withColumn("open", open_))
+    pairs = settled(pairs.withColumn("open", _open(F.col("apart"), "n_a", "n_b")))
     asked = pairs.where("open")
     ends = asked.select(F.explode(F.array(*[F.struct(F.col(s).alias("node"), F.col(f"label_{s}").alias("label")) for s in "ab"])).alias("e")).select("e.*")
     sets = _sets_of(docs, ends.distinct())
@@ -246,8 +253,12 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         )
     )
     posted = nodes.select(F.explode("prefix").alias("token"), "node", "n")
-    shared = posted.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("pivot")).where("held > 1").drop("held")
+    shared = posted.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").drop("held")
     lists = settled(posted.join(shared, "token"))
+    # The pivot of a list is the set that stands in most lists: the one the others were made from, if any.
+    degree = lists.groupBy("node").agg(F.count("*").alias("degree"))
+    central = lists.join(degree, "node").groupBy("token").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
+    lists = settled(lists.join(central, "token"))
 
     first = lists.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     answers = _verified(docs, _bounded(first, nodes))
@@ -270,21 +281,21 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         .drop("pivot_root")
     )
     listed = settled(listed.join(listed.where("not answered").select("token").distinct(), "token", "left_semi"))
+    listed = listed.join(nodes.select("node", "parity"), "node")
     left = listed.where("not answered").select(
         "token", F.explode(F.array(*[F.col("block") + step for step in (-1, 0, 1)])).alias("block"),
-        F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("distance").alias("away"),
+        F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("root_a"), F.col("distance").alias("away"), F.col("parity").alias("parity_a"),
     )
     right = listed.where("node <> pivot").select(
-        "token", "block", F.col("node").alias("b"), "n", F.col("root").alias("root_b"), "answered", "distance", "linked"
-    )
-    skip = F.col("linked") & (F.col("away") - F.col("distance") > 1 - PERCENT / 100 + 1e-9)
-    second = (
-        left.join(right, ["token", "block"])
-        .where((F.col("root_a") != F.col("root_b")) & _possible("m", "n"))
-        .where((F.col("answered") | (F.col("a") < F.col("b"))) & ~F.coalesce(skip, F.lit(False)))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        F.col("token").alias("met_token"), F.col("block").alias("met_block"), F.col("node").alias("b"), "n", F.col("root").alias("root_b"), "answered", "distance", "linked", "parity"
     )
+    skip = F.coalesce(F.col("linked") & (F.col("away") - F.col("distance") > 1 - PERCENT / 100 + 1e-9), F.lit(False))
+    wanted = (
+        (F.col("root_a") != F.col("root_b")) & (F.col("answered") | (F.col("a") < F.col("b"))) & _possible("m", "n") & ~skip
+        & _open(_least_apart("m", "parity_a", "n", "parity"), "m", "n")
+    )
+    meeting = (F.col("token") == F.col("met_token")) & (F.col("block") == F.col("met_block")) & wanted
+    second = left.join(right, meeting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = _verified(docs, _bounded(second, nodes))
     links = answers.where("linked").select("a", "b").unionAll(rest.where("linked").select("a", "b"))
     member = components(links, "a", "b")

@@ -18,18 +18,23 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.llm.cluster import settled, ship
+from rideledger.llm.cluster import ship
 
 K = 20
 S = 8
 SKETCH = 64
+STRETCH = 1024
+MOST_STRETCHES = 65_536
+SAMPLE_PER_STRETCH = 8
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -105,103 +110,110 @@ def anchors(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(listed, "doc_id bigint, position bigint, hash bigint")
 
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        marks = pa.array([fingerprint(text) for text in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*batch.schema.names, "fingerprint"])
+Key = tuple[bool, int, int]
 
 
-def _followed(docs: DataFrame) -> DataFrame:
-    """Each document's key with the key of the next one, without gathering the order anywhere.
+def _key(doc_id: int | None, tie: int) -> Key:
+    return doc_id is not None, doc_id or 0, tie
 
-    Keys are sorted over many partitions and settled; a partition needs nothing from the others but
-    the first key of the next one, and there is one such key per partition.
-    """
-    keys = docs.select("doc_id", "tie", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
-    keys = settled(keys.orderBy(F.asc_nulls_first("doc_id"), "tie"))
 
-    def first_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                break
-        for _ in batches:
-            pass
-
-    firsts = (
-        keys.withColumn("part", F.spark_partition_id())
-        .mapInArrow(first_key, "doc_id bigint, tie bigint, n_chars bigint, part int")
-        .collect()
-    )
-    firsts = sorted(((row.part, row.doc_id, row.tie) for row in firsts), key=lambda row: row[0])
+def _cuts(docs: DataFrame) -> list[Key]:
+    """First keys of stretches of about ``STRETCH`` documents in a row, the first of all among them.
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tie", "n_chars", "next_id", "next_tie"]
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            held = rows.slice(rows.num_rows - 1).to_batches()[0]
-            now, then = rows.slice(0, rows.num_rows - 1), rows.slice(1)
-            for out in pa.table([now[0], now[1], now[2], then[0], then[1]], names).to_batches():
-                yield out
-        if held is not None:
-            part = held.column("part")[0].as_py()
-            after = next((row for row in firsts if row[0] > part), firsts[0])
-            yield pa.RecordBatch.from_arrays(
-                [held.column(0), held.column(1), held.column(2), pa.array([after[1]], pa.int64()), pa.array([after[2]], pa.int64())], names
-            )
+    Taken from a sample of keys, ``SAMPLE_PER_STRETCH`` for a stretch; every one is the key of a document.
+    """
+    count = docs.count()
+    stretches = max(1, min(MOST_STRETCHES, -(-count // STRETCH)))
+    step = max(1, count // (stretches * SAMPLE_PER_STRETCH))
+    keys = docs.select("doc_id", "tie")
+    sample = keys.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(step)) == 0).collect()
+    first = keys.agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first")).first().first
+    found = sorted({_key(row.doc_id, row.tie) for row in sample})
+    chosen = {found[len(found) * i // stretches] for i in range(stretches)} if found else set()
+    return sorted(chosen | {_key(first.doc_id, first.tie)}) if first else []
 
-    return keys.withColumn("part", F.spark_partition_id()).mapInArrow(
-        lead, "doc_id bigint, tie bigint, n_chars bigint, next_id bigint, next_tie bigint"
-    )
 
+class _Document:
+    """A document with its fingerprint, which its neighbour asks for too."""
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        changed = [edited(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("head").to_pylist(), strict=True)]
-        own, after = batch.column("fingerprint").to_pylist(), batch.column("next_fingerprint").to_pylist()
-        marks = [fingerprint(text) for text in changed]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("n_chars"),
-                pa.array([hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() for text in changed], pa.string()),
-                batch.column("fingerprint"),
-                pa.array(marks, pa.string()),
-                pa.array([likeness(a, b) for a, b in zip(own, marks, strict=True)], pa.float64()),
-                pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
-            ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+    def __init__(self, doc_id: int | None, tie: int, packed: bytes, unpack: zstandard.ZstdDecompressor):
+        self.doc_id, self.key, self.times = doc_id, _key(doc_id, tie), 1
+        self.text = unpack.decompress(packed).decode("utf-8", "surrogatepass")
+        self.fingerprint = fingerprint(self.text)
+
+    def row(self, after: _Document) -> tuple:
+        changed = edited(self.text, after.text)
+        mark = fingerprint(changed)
+        digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+        near = likeness(self.fingerprint, mark), likeness(self.fingerprint, after.fingerprint)
+        return self.doc_id, len(self.text), digest, self.fingerprint, mark, *near
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text, of its edited text, and their likeness to each other and the next document.
 
-    Texts are shuffled once; only the quarter that the document before needs travels a second time.
+    The order of documents is cut into stretches that are sorted each on its own. The first document of a stretch
+    also goes to the end of the one before, as the next document of its last. So texts are
+    shuffled once, compressed, and a task holds two documents at a time.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("text"))
-    marked = docs.withColumn("n_chars", F.char_length("text").cast("bigint")).mapInArrow(
-        _fingerprinted, "doc_id bigint, text string, tie bigint, n_chars bigint, fingerprint string"
-    )
-    asked = _followed(docs).select(
-        F.col("next_id").alias("_id"), F.col("next_tie").alias("_tie"),
-        F.col("doc_id").alias("to_id"), F.col("tie").alias("to_tie"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"),
-    )
-    given = (
-        marked.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie")))
-        .select("to_id", "to_tie", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-        .groupBy("to_id", "to_tie")
-        .agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
-    )
-    met = marked.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")) & F.col("tie").eqNullSafe(F.col("to_tie")))
-    return met.select("doc_id", "text", "n_chars", "fingerprint", "head", "next_fingerprint").mapInArrow(
-        _finished,
+    cuts = docs.sparkSession.sparkContext.broadcast(_cuts(docs))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = cuts.value
+        places = {start: place for place, start in enumerate(starts)}
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            rows, stretches, guests = [], [], []
+            for row, key in enumerate(map(_key, batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist())):
+                stretch = bisect_right(starts, key) - 1
+                rows.append(row)
+                stretches.append(stretch)
+                guests.append(False)
+                if key in places:
+                    rows.append(row)
+                    stretches.append((stretch - 1) % len(starts))
+                    guests.append(True)
+            at = pa.array(rows, pa.int64())
+            packed = pa.array([packer.compress(text.encode("utf-8", "surrogatepass")) for text in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(stretches, pa.int64()), pa.array(guests, pa.bool_()), batch.column("doc_id").take(at),
+                    batch.column("tie").take(at), packed.take(at),
+                ],
+                ["stretch", "guest", "doc_id", "tie", "packed"],
+            )
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        held: _Document | None = None
+        stretch = None
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [batch.column(name).to_pylist() for name in ("stretch", "guest", "doc_id", "tie", "packed")]
+            for now, guest, doc_id, tie, packed in zip(*columns, strict=True):
+                if now != stretch:
+                    stretch, held = now, None
+                elif held is None:
+                    continue  # a further row of the guest that has closed the stretch
+                if held is not None and not guest and held.key == _key(doc_id, tie):
+                    held.times += 1
+                    continue
+                document = _Document(doc_id, tie, packed, unpack)
+                if held is not None:
+                    done += [held.row(document)] * held.times
+                held = None if guest else document
+            columns = list(zip(*done, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)], names)
+
+    moved = docs.select("doc_id", "text", "tie").mapInArrow(dealt, "stretch bigint, guest boolean, doc_id bigint, tie bigint, packed binary")
+    ordered = moved.repartition("stretch").sortWithinPartitions("stretch", "guest", F.asc_nulls_first("doc_id"), "tie")
+    return ordered.mapInArrow(
+        finished,
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )

@@ -71,7 +71,9 @@ def test_likeness():
     assert likeness(fingerprint(""), fingerprint("a")) == 0.0
 
 
-def test_contract(spark):
+@pytest.mark.parametrize("stretch", [1, 7, 1024])
+def test_contract(spark, monkeypatch, stretch):
+    monkeypatch.setattr(sy, "STRETCH", stretch)
     rng = random.Random(3)
     rows = [(i * 7, text_of(rng, rng.choice([0, 1, 5, 40, 900])), "x", "y", "z") for i in range(120)]
     rows += [(5000, None, "x", "y", "z"), (5001, "", "x", "y", "z"), (rows[3][0] + 1, rows[3][1], "x", "y", "z")]
@@ -91,7 +93,9 @@ def test_contract(spark):
         assert row.near_next == likeness(fingerprint(text), fingerprint(after))
 
 
-def test_repeated_rows_null_ids_and_empty_table(spark):
+@pytest.mark.parametrize("stretch", [1, 1024])
+def test_repeated_rows_null_ids_and_empty_table(spark, monkeypatch, stretch):
+    monkeypatch.setattr(sy, "STRETCH", stretch)
     rows = [(1, "a" * 50, "", "", ""), (1, "a" * 50, "", "", ""), (1, "b" * 50, "", "", ""), (None, "c" * 50, "", "", "")]
     got = fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4

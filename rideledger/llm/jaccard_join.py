@@ -43,8 +43,8 @@ from rideledger.llm.words import lower_words
 
 SHINGLE = 4
 PERCENT = 85
-FREQUENCY_SAMPLE = 65_536
-FREQUENT = 1 << 20
+FREQUENCY_SAMPLE = 32_768
+FREQUENT = 1 << 19
 BITMAP_WORDS = 8
 FILTER_BITS = 26
 _KNOWN_WORDS = 200_000
@@ -122,12 +122,21 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["token"])
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
-    counted = some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 2")
-    rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    counted = settled(some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 2"))
+    # The most frequent ones, all that are as frequent as the last, as long as they are few enough.
+    left, least = FREQUENT, None
+    for row in counted.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toLocalIterator():
+        left -= row.tokens
+        if left < 0:
+            break
+        least = row.n
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    held = counted.where(F.col("n") >= least).toArrow()
+    tokens, counts = held.column("token").to_numpy().view(np.uint64), held.column("n").to_numpy()
     place = np.argsort(tokens)
-    order = np.empty(len(tokens), np.int64)
-    order[np.lexsort((tokens, counts))] = np.arange(len(tokens))
+    order = np.empty(len(tokens), np.int32)
+    order[np.lexsort((tokens, counts))] = np.arange(len(tokens), dtype=np.int32)
     return tokens[place], order[place]
 
 

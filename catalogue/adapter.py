@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +49,8 @@ RIDES: dict[str, str] = {
     "stuurtabel_id": RUN_ID,
     "soortvervoer": TRANSPORT,
     "datum": "case when l_linenumber = 7 then null else cast(o_orderdate as date) end",
-    "route_nummer": "concat('R', cast(l_suppkey % 5 as string))",
+    # Routes are what a supplier's vehicle drives on a day, so their number grows with the suppliers.
+    "route_nummer": "concat('R', cast(l_suppkey % 5 + 10 * cast(floor((l_suppkey - 1) / 100) as bigint) as string))",
     "kenteken": "case when l_partkey % 13 = 0 then null when l_partkey % 11 = 0 then '00-00-00' "
     "when l_partkey % 17 = 0 then '  ' else concat('NL-', lpad(cast(l_partkey % 40 as string), 3, '0')) end",
     "klant_nummer": "o_custkey",
@@ -106,7 +106,7 @@ VA_RIDES: dict[str, str] = {
     for name in (
         "id", "stuurtabel_id", "kenteken", "klant_nummer", "vervoerder", "perceel", "afstand_direct",
         "plaats_van", "postcode_van", "postcode_naar", "bestelde_vertrektijd_s",
-        "gerealiseerde_instap_tijd_s", "gerealiseerde_uitstap_tijd_s", *sorted(VA_ONLY),
+        "gerealiseerde_instap_tijd_s", "gerealiseerde_uitstap_tijd_s", "resultaat_2", "tekst_2", *sorted(VA_ONLY),
     )
 } | {
     "rit_datum": RIDES["datum"],
@@ -169,25 +169,6 @@ CONTROL_PLAN = """
 """
 
 
-WORTH_SPREADING = 4 << 20
-SMALL_INPUT = 1 << 30
-
-
-@lru_cache(maxsize=256)
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table; one that is small but lies in a few files is spread over all cores.
-
-    The driver's tables are one file with one row group each, which a single task would
-    have to read and process. Large tables come in enough splits and are left alone.
-    """
-    rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if WORTH_SPREADING < size < SMALL_INPUT and len(rows.inputFiles()) < cores:
-        rows = rows.repartition(cores, rows.columns[0])
-    return rows
-
-
 class Star:
     """The test tables of one folder, as the domain datasets."""
 
@@ -196,7 +177,7 @@ class Star:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def base(self, expressions: Iterable[str]) -> DataFrame:
         """``lineitem`` joined to the dimensions that the expressions mention."""

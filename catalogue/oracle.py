@@ -17,7 +17,7 @@ from catalogue.adapter import (
     VA_RIDES,
     sql_views,
 )
-from catalogue.queries import GENERIC, RESULT_TEXT, SHEETS, SHOWN_TEXT, generic_dataset
+from catalogue.queries import DIGITS, GENERIC, RESULT_TEXT, SHEETS, SHOWN_TEXT, generic_dataset
 from rideledger.fixed_values import CONTROL_DATASET, CONTROLS, DEVIATION_WORDS, REPORT_COLUMNS, STACKED_LABELS
 
 R = "stuurtabel_id"
@@ -61,6 +61,12 @@ def summary(dataset: str, deviation: str, digits: int = 3, where: str = "TRUE")
           FROM {dataset} WHERE {where} GROUP BY 1)"""
 
 
+def checked_summary(dataset: str, checked: str, deviation: str) -> str:
+    """Summary of the checked rows; a run without any has zeros."""
+    return f"""SELECT {R}, n AS total_checked, d AS total_deviations, {pct("d", "n", 3)} AS deviation_percentage
+    FROM (SELECT {R}, COUNT(*) FILTER (WHERE {checked}) AS n, COUNT(*) FILTER (WHERE ({checked}) AND {deviation}) AS d FROM {dataset} GROUP BY 1)"""
+
+
 def conditions(control: int, dataset: str) -> tuple[str, str]:
     """What a control checks and what deviates, in words of SQL."""
     if control == 8:
@@ -335,13 +341,10 @@ UNION ALL SELECT {R}, '{trips}', category, NULL, NULL, CAST(trips AS DOUBLE), CA
 UNION ALL SELECT {R}, '{km}', category, NULL, NULL, distance, CAST(percentage AS VARCHAR) || '%' FROM distances"""
 
 
-COST = "TRY_CAST(kosten_rit AS DECIMAL(18,4))"
-COUNTED = "COALESCE(TRY_CAST(n_ritten AS DECIMAL(18,4)), 0)"
+COST = "TRY_CAST(kosten_rit AS DOUBLE)"
+COUNTED = "COALESCE(TRY_CAST(n_ritten AS DOUBLE), 0)"
 WEIGHT = f"SUM(CASE WHEN {COST} IS NOT NULL THEN {COUNTED} ELSE 0 END)"
-MEAN_COST = (
-    f"CASE WHEN {WEIGHT} = 0 THEN NULL ELSE CAST(SUM(COALESCE({COST}, 0) * CASE WHEN {COST} IS NOT NULL THEN {COUNTED} ELSE 0 END) AS DOUBLE) "
-    f"/ CAST({WEIGHT} AS DOUBLE) END"
-)
+MEAN_COST = f"CASE WHEN {WEIGHT} <> 0 THEN ROUND(SUM({COST} * {COUNTED}) / {WEIGHT}, {DIGITS}) END"
 DAILY_COST = f"SELECT {R}, datum, CAST(SUM({COUNTED}) AS BIGINT) AS n_ritten, {MEAN_COST} AS kosten_rit FROM kentallen_route GROUP BY 1, 2"
 
 
@@ -390,6 +393,12 @@ SHEET_SQL = {
     11: (f"""WITH {CLASSED} SELECT {R}, kenteken, emission_class, COUNT(DISTINCT datum) AS inzetdagen,
          COUNT(DISTINCT route_nummer) AS routes, COUNT(*) AS rides FROM classed GROUP BY 1, 2, 3""",
          "kenteken emission_class inzetdagen routes rides"),
+    13: (f"""WITH {ages(13, "ritten_detail", "datum")}, kinds AS (SELECT {R}, kenteken, MAX(voertuigtype) AS kind FROM routes_detail WHERE {PLATE} GROUP BY 1, 2)
+         SELECT v.{R}, v.kenteken, inzetdagen, vervoerde_passagiers, drempelwaarde, controlewaarde, COALESCE(k.kind, '') AS kind, inrichting
+         FROM ({age_vehicles(13, "CAST(NULL AS VARCHAR)", "''")}) v LEFT JOIN kinds k ON k.{R} = v.{R} AND k.kenteken = v.kenteken
+         UNION ALL SELECT {R}, 'Totaal', inzetdagen, passagiers, '', '', '', '' FROM ({age_totals()})""",
+         "kenteken inzetdagen vervoerde_passagiers drempelwaarde controlewaarde kind inrichting"),
+    20: (DAILY_COST, "datum n_ritten kosten_rit"),
     1004: (f"WITH {stacked(1004)}", "type dimensie category cell totaal percentage"),
     1005: (f"WITH {stacked(1005)}", "type dimensie category cell totaal percentage"),
     1006: (f"""WITH {ages(1006, "va_ritten_detail", "rit_datum")}
@@ -400,14 +409,24 @@ SHEET_SQL = {
 }
 
 
+def quoted(text: str) -> str:
+    return f"CASE WHEN regexp_matches({text}, '[;\"\\r\\n]') THEN '\"' || replace({text}, '\"', '\"\"') || '\"' ELSE {text} END"
+
+
 def bundle() -> str:
+    """Sheets of every control; generic ride controls have one for each kind of run that has the control's columns."""
     parts = []
     for control in SHEETS:
-        rows, names = SHEET_SQL[control]
-        cells = ", ".join(shown('"type"' if name == "type" else name) for name in names.split())
-        parts.append(f"SELECT {R}, {control} AS control_id, concat_ws(';', {cells}) AS line FROM ({rows}) AS rows_{control}")
-    return f"""{EXECUTED}, lines AS ({" UNION ALL ".join(parts)})
-SELECT l.* FROM lines l WHERE EXISTS (SELECT 1 FROM executed e WHERE e.{R} = l.{R} AND e.control_id = l.control_id)"""
+        if control in SHEET_SQL:
+            sheets = [SHEET_SQL[control]]
+        else:
+            both = ["ritten_detail", "va_ritten_detail"] if generic_dataset(control) == "ritten_detail" else [generic_dataset(control)]
+            held = [dataset for dataset in both if f"resultaat_{control}" in columns_of(dataset)]
+            sheets = [(generic_detail(control, dataset), " ".join(generic_names(control, dataset))) for dataset in held]
+        for number, (rows, names) in enumerate(sheets):
+            cells = ", ".join(quoted(shown('"type"' if name == "type" else name)) for name in names.split())
+            parts.append(f"SELECT {R}, {control} AS control_id, concat_ws(';', {cells}) AS line FROM ({rows}) AS rows_{control}_{number}")
+    return f"""lines AS ({" UNION ALL ".join(parts)}) SELECT * FROM lines"""
 
 
 # Normalising and sync.
@@ -417,7 +436,8 @@ CURRENT = f"(SELECT {R} FROM manifest WHERE is_current)"
 
 def prepared(dataset: str, transport: str) -> str:
     held = columns_of(dataset) if dataset != "kentallen_route" else [R, "datum", "route_id", "kosten_rit", "n_ritten"]
-    listed = ", ".join(f"CAST({R} AS BIGINT) AS {R}" if name == R else name for name in held)
+    typed = {R: "BIGINT", "perceel": "DOUBLE"}
+    listed = ", ".join(f"CAST({name} AS {typed[name]}) AS {name}" if name in typed else name for name in held)
     return f"""SELECT {listed}, 'demo' AS client_slug FROM {dataset}
     WHERE {R} IN (SELECT {R} FROM manifest WHERE is_current AND soortvervoer = '{transport}')"""
 
@@ -454,8 +474,7 @@ SELECT l_orderkey, shown, kind, CASE WHEN kind = 3 THEN CAST(dutch AS DOUBLE) EN
         WHEN 2 THEN lpad(v, 5, '0') WHEN 4 THEN LOWER(v) END AS text FROM kinds"""
 
 
-def generic_detail(control: int) -> str:
-    dataset = generic_dataset(control)
+def generic_names(control: int, dataset: str) -> list[str]:
     held = columns_of(dataset)
     outcome = ("resultaat", "tekst", "controlewaarde", "dempelwaarde")
     listed = []
@@ -463,8 +482,16 @@ def generic_detail(control: int) -> str:
         name = f"{name}_{control}" if name in outcome else name
         name = name if name in held else f"{name}_s"
         if name in held:
-            is_place = name in ("locatie_van", "locatie_naar") and dataset != "routes_detail"
-            listed.append(f"{strip(name)} AS {name}" if is_place else name)
+            listed.append(name)
+    return listed
+
+
+def generic_detail(control: int, dataset: str | None = None) -> str:
+    dataset = dataset or generic_dataset(control)
+    listed = []
+    for name in generic_names(control, dataset):
+        is_place = name in ("locatie_van", "locatie_naar") and dataset != "routes_detail"
+        listed.append(f"{strip(name)} AS {name}" if is_place else name)
     return f"SELECT {R}, {', '.join(listed)} FROM {dataset} WHERE {deviates(control, dataset)}"
 
 
@@ -481,7 +508,9 @@ def statements() -> dict[str, str]:
     chained["control_dimension"] = f"""{EXECUTED}, {TITLES}, {entities}
         SELECT {R}, control_id, COALESCE(omschrijving, title) AS control_name, entity, title
         FROM executed JOIN titles USING (control_id) JOIN kinds USING (control_id) WHERE control_id <> 20"""
-    plain["controlcode_counts"] = "SELECT controlecode, COUNT(*) AS n_rows FROM executed_controls GROUP BY 1"
+    plain["controlcode_counts"] = """SELECT CASE WHEN klant_nummer % 11 <> 0 THEN klant_nummer % 11 END AS controlecode, COUNT(*) AS n_rows
+        FROM ritten_detail GROUP BY 1"""
+    plain["controlcode_row_count"] = "SELECT COUNT(*) AS n_rows FROM ritten_detail"
     newest = f"(SELECT MAX({R}) FROM manifest WHERE is_current)"
     plain["selected_run"] = f"""SELECT {R}, omschrijving, soortvervoer, 'current' AS asked FROM manifest WHERE {R} = 200106
         UNION ALL SELECT {R}, omschrijving, soortvervoer, a FROM manifest, (VALUES ('not current'), ('none')) AS t(a) WHERE {R} = {newest}"""
@@ -504,6 +533,7 @@ def statements() -> dict[str, str]:
             COALESCE(d, 0) AS total_deviations, {pct("COALESCE(d, 0)", "COALESCE(n, 0)", 2)} AS deviation_percentage
         FROM points p LEFT JOIN counts c ON c.{R} = p.{R}"""
     plain["drilldown_rows"] = DRILL
+    plain["drilldown_total"] = f"SELECT {R}, COUNT(*) AS total_rows FROM ({DRILL}) GROUP BY 1"
     drill_ties = [R, "entity_id", "vervoerder", "perceel", "resultaat", "tekst"]
     plain["drilldown_page"] = paged(DRILL, "datum DESC NULLS LAST, controle_id ASC NULLS LAST", drill_ties, 100, 100)
 
@@ -519,7 +549,7 @@ def statements() -> dict[str, str]:
     plain["report_5_detail"] = REPORT_5
     plain["report_5_route_rides"] = REPORT_5_RIDES
     planned = "geplande_instap_tijd_s IS NOT NULL AND geplande_uitstap_tijd_s IS NOT NULL"
-    plain["report_8_summary"] = summary("ritten_detail", nonzero(8), where=planned)
+    plain["report_8_summary"] = checked_summary("ritten_detail", planned, nonzero(8))
     plain["report_8_detail"] = REPORT_8
     ties_8 = [
         R, "reiziger_naam", "locatie_van", "locatie_naar", "geplande_instap_tijd_s", "geplande_uitstap_tijd_s", "max_reistijd",
@@ -527,7 +557,7 @@ def statements() -> dict[str, str]:
     ]
     order_8 = "overschrijding DESC NULLS LAST, datum ASC NULLS LAST, klant_nummer ASC NULLS LAST"
     plain["report_8_page"] = paged(REPORT_8, order_8, ties_8, 100, 0)
-    plain["report_10_summary"] = summary("routes_detail", nonzero(10), where="route_nummer IS NOT NULL")
+    plain["report_10_summary"] = checked_summary("routes_detail", "route_nummer IS NOT NULL", nonzero(10))
     plain["report_10_routes"] = ROUTE_LIST
     plain["report_10_default_route"] = f"""SELECT {R}, route_key FROM (SELECT *, ROW_NUMBER() OVER (
         PARTITION BY {R} ORDER BY COALESCE(improvement_minutes, 0) DESC, route_datum DESC NULLS LAST, route_nummer) AS place
@@ -624,6 +654,12 @@ def statements() -> dict[str, str]:
         FROM (SELECT real_reistijd, COUNT(*) AS rides FROM ({REPORT_8}) GROUP BY 1)"""
     chained["typed_sort"] = f"shown_rows AS (SELECT l_orderkey, {SHOWN_TEXT} AS shown FROM lineitem) SELECT * FROM ({TYPED})"
 
+    chained["typed_sort_rows"] = f"""shown_rows AS (SELECT l_orderkey, l_linenumber, l_returnflag, {SHOWN_TEXT} AS shown,
+            l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS position FROM lineitem),
+        keyed AS (SELECT s.*, t.kind, t.number, t.text FROM shown_rows s JOIN (SELECT DISTINCT shown, kind, number, text FROM ({TYPED})) t USING (shown))
+        SELECT l_linenumber, ROW_NUMBER() OVER (PARTITION BY l_linenumber ORDER BY kind DESC, number DESC NULLS LAST, text DESC NULLS LAST,
+            LOWER(l_returnflag), position) AS place, shown, l_returnflag, position FROM keyed"""
+
     scanned = f"id, CAST({R} AS BIGINT) AS {R}, klant_nummer, bedrag_ex_btw, netto_instap_s"
     plain["source_table_scan"] = f"SELECT {scanned.replace(f'CAST({R} AS BIGINT) AS {R}', R)} FROM ritten_detail"
     plain["run_filtered_scan"] = f"SELECT {scanned} FROM ritten_detail WHERE {R} IN {CURRENT}"
@@ -639,6 +675,7 @@ def statements() -> dict[str, str]:
     plain["coerce_types"] = """SELECT l_orderkey, CASE WHEN l_linenumber <> 3 THEN CAST(l_shipdate AS DATE) END AS datum,
         CASE WHEN l_linenumber <> 2 THEN l_partkey END AS id,
         CASE WHEN l_linenumber <> 4 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) END AS bedrag_ex_btw,
+        CASE WHEN l_linenumber = 5 THEN NULL WHEN l_linenumber = 1 THEN l_suppkey + 0.5::DOUBLE ELSE CAST(l_suppkey AS DOUBLE) END AS perceel,
         l_linenumber IN (1, 2, 3, 4) AS uitgevoerd FROM lineitem"""
     plain["prepare_rides"] = prepared("ritten_detail", "RG")
     plain["prepare_routes"] = prepared("routes_detail", "RG")
@@ -651,6 +688,8 @@ def statements() -> dict[str, str]:
         CAST(x.controle_id AS BIGINT) AS controlecode, c.omschrijving, x.uitgevoerd, 'demo' AS client_slug
         FROM executed_controls x LEFT JOIN ({CONTROL_PLAN}) c ON c.controle_id = x.controle_id WHERE x.{R} IN {CURRENT}"""
     plain["control_unpivot"] = f"SELECT * FROM {LONG_RIDES}"
+    plain["control_unpivot_va"] = f"SELECT * FROM {LONG_VA}"
+    plain["control_unpivot_routes"] = f"SELECT * FROM {long_rows('routes_detail', 'route')}"
     plain["deviation_flag"] = f"""SELECT l_orderkey, resultaat, {flag("resultaat")} AS is_deviation
         FROM (SELECT l_orderkey, {RESULT_TEXT} AS resultaat FROM lineitem)"""
     plain["infer_column_types"] = """SELECT l_orderkey AS whole, l_extendedprice AS money,
@@ -681,7 +720,7 @@ def statements() -> dict[str, str]:
     plain["deviations_per_vervoerder"] = f"""SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) AS entities FROM {LONG_RIDES}
         WHERE is_deviation GROUP BY 1, 2"""
     flagged = " OR ".join(nonzero(int(name.split("_")[1])) for name in RG_COLUMNS if name.startswith("resultaat_"))
-    plain["deviation_amount"] = f"""SELECT {R}, CAST(COALESCE(SUM(CASE WHEN {flagged} THEN CAST(bedrag_ex_btw AS DECIMAL(18,4)) END), 0) AS DOUBLE)
+    plain["deviation_amount"] = f"""SELECT {R}, ROUND(COALESCE(SUM(CASE WHEN {flagged} THEN bedrag_ex_btw END), 0), {DIGITS})
         AS deviation_amount FROM ritten_detail GROUP BY 1"""
     plain["history_dedupe"] = """SELECT entity_id, controle_id, resultaat, synced_at, stuurtabel_id FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY stuurtabel_id, entity_id, controle_id ORDER BY synced_at DESC) AS place FROM (

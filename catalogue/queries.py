@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +17,10 @@ from catalogue.adapter import CONTROL_PLAN, RG_COLUMNS, ROUTE_KEYS, ROUTES, VA_R
 from rideledger.fixed_values import REPORT_COLUMNS, SOURCE_TABLES
 from rideledger.functions.text import deviation_flag, minutes_label, sort_key, strip_location_code
 from rideledger.operators import normalise
-from rideledger.operators.detail import Detail, format_cells
+from rideledger.operators.detail import Detail, format_cells, sorted_rows
 from rideledger.operators.unpivot import control_rows
 from rideledger.plans import costs, dashboard, export, fleet, rides, routes, runs, sync
 from rideledger.registry import RUN, detail_dataset
-from rideledger.session import tuned
 from rideledger.sources.datasets import Store, shared_folder
 from rideledger.sources.tables import run_table, whole_table
 
@@ -46,7 +44,7 @@ def add(name: str, build: Callable[[Star], DataFrame | Detail]) -> None:
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            result = build(Star(tuned(spark), folder))
+            result = build(Star(spark, folder))
             return result.listing() if isinstance(result, Detail) else result
 
         return run
@@ -54,6 +52,15 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(build) for name, build in QUERIES.items()}
 
 
+# Sums of doubles differ in their last digits from engine to engine; results are compared to so many decimals.
+DIGITS = 6
+
+
+def rounded(result: DataFrame | Detail, *names: str) -> DataFrame:
+    rows = result.listing() if isinstance(result, Detail) else result
+    return rows.withColumns({name: F.round(name, DIGITS) for name in names})
+
+
 # Input sets.
 
 OUTCOME_KINDS = ("resultaat_", "tekst_")
@@ -107,12 +114,18 @@ def pascal(df: DataFrame) -> DataFrame:
     return df.toDF(*[source_name(name) for name in df.columns])
 
 
+def with_code(star: Star) -> DataFrame:
+    """Rides with the control code that a source may store with them; these tables have none, so one is made."""
+    return star.ritten_detail(["klant_nummer"]).withColumn("controlecode", F.expr("case when klant_nummer % 11 <> 0 then klant_nummer % 11 end"))
+
+
 # Run list and controls.
 
 add("current_run_list", current)
 add("executed_controls", lambda star: runs.executed_controls(star.executed_controls()))
 add("control_dimension", lambda star: runs.deviation_controls(star.executed_controls()))
-add("controlcode_counts", lambda star: dashboard.rows_per_control_code(star.executed_controls()))
+add("controlcode_counts", lambda star: dashboard.rows_per_control_code(with_code(star)).listing())
+add("controlcode_row_count", lambda star: with_code(star).agg(F.count("*").alias("n_rows")))
 
 
 @query("selected_run")
@@ -126,6 +139,10 @@ def _selected_run(star: Star) -> DataFrame:
 # Dashboard.
 
 
+def drilldown_total(detail: Detail) -> DataFrame:
+    return detail.total().orderBy(RUN)
+
+
 def _ride_datasets(star: Star) -> dict[str, DataFrame]:
     return {
         "ritten_detail": star.ritten_detail(["id", *RIDE_RESULTS]),
@@ -155,6 +172,7 @@ add("trend_previous_point", lambda star: dashboard.trend_previous_point(dashboar
 add("control_1_trend", lambda star: dashboard.control_1_trend(
     current(star), {"ritten_detail": star.ritten_detail(["resultaat_1"]), "va_ritten_detail": star.va_ritten_detail(["id"])}))
 add("drilldown_rows", lambda star: dashboard.drilldown_rows(list(_longs(star).values())))
+add("drilldown_total", lambda star: drilldown_total(dashboard.drilldown_rows(list(_longs(star).values()))))
 add("drilldown_page", lambda star: dashboard.drilldown_rows(list(_longs(star).values())).page(100, 100))
 
 
@@ -307,18 +325,24 @@ add("export_1004_weekly_wide", lambda star: export.weekly_matrix_wide(_fleet_row
 
 # Costs.
 
-add("report_20_summary", lambda star: costs.report_20_summary(star.kentallen_route()))
-add("report_20_daily_table", lambda star: costs.report_20_daily_table(star.kentallen_route()))
-add("report_20_daily_chart", lambda star: costs.report_20_daily_chart(star.kentallen_route()))
-add("report_20_monthly", lambda star: costs.report_20_monthly(star.kentallen_route()))
+add("report_20_summary", lambda star: rounded(costs.report_20_summary(star.kentallen_route()), "average_cost"))
+add("report_20_daily_table", lambda star: rounded(costs.report_20_daily_table(star.kentallen_route()), "kosten_rit"))
+add("report_20_daily_chart", lambda star: rounded(costs.report_20_daily_chart(star.kentallen_route()), "kosten_rit"))
+add("report_20_monthly", lambda star: rounded(costs.report_20_monthly(star.kentallen_route()), "kosten_rit"))
 
 
 # Exports.
 
-SHEETS = [1, 5, 8, 10, 11, 1004, 1005, 1006]
+# Every control with a sheet, as executed in all runs whose data it reads.
+SHEETS = sorted({1, 5, 8, 10, 11, 13, 20, 1004, 1005, 1006, *REPORT_COLUMNS} - {12})
+
+
+def _executed_everywhere(star: Star) -> DataFrame:
+    return star.run_list().withColumn("control_id", F.explode(F.array(*map(F.lit, SHEETS))))
+
 
 add("export_summary", lambda star: export.export_summary(breakdown(star)))
-add("export_bundle_long", lambda star: export.export_bundle(details(star), breakdown(star), SHEETS))
+add("export_bundle_long", lambda star: export.export_bundle(details(star), _executed_everywhere(star), SHEETS).where("row_no > 0").drop("row_no"))
 add("export_10_all_routes", lambda star: format_cells(routes.report_10_detail(ROUTES_10(star), REPORT_10_RIDES(star)).listing()))
 add("export_12_monthly_wide", lambda star: export.fuel_matrix_wide(FUELS(star), "monthly"))
 add("format_export_columns", lambda star: format_cells(REPORT_8(star)))
@@ -345,6 +369,18 @@ def _typed_sort(star: Star) -> DataFrame:
     return shown.withColumn("key", sort_key(F.col("shown"))).select("l_orderkey", "shown", "key.kind", "key.number", "key.text")
 
 
+SORTED_BY = [("shown", False), ("l_returnflag", True)]
+
+
+@query("typed_sort_rows")
+def _typed_sort_rows(star: Star) -> DataFrame:
+    """A table sorted by two displayed columns; rows that are alike in both keep their order."""
+    shown = star.base([]).select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.expr(SHOWN_TEXT).alias("shown"))
+    shown = shown.withColumn("position", F.expr("l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey"))
+    placed = sorted_rows(shown, SORTED_BY, "position", within=["l_linenumber"])
+    return placed.select("l_linenumber", "place", "shown", "l_returnflag", "position")
+
+
 # Normalising.
 
 
@@ -407,15 +443,16 @@ def _coerce_types(star: Star) -> DataFrame:
         "case when l_linenumber = 3 then 'geen' else cast(cast(l_shipdate as date) as string) end as datum",
         "case when l_linenumber = 2 then 'x1' when l_linenumber = 6 then concat(' ', cast(l_partkey as string)) else cast(l_partkey as string) end as id",
         "case when l_linenumber = 4 then '-' else cast(cast(l_extendedprice as decimal(18,2)) as string) end as bedrag_ex_btw",
+        "case when l_linenumber = 5 then 'los' when l_linenumber = 1 then concat(cast(l_suppkey as string), '.5') else cast(l_suppkey as string) end as perceel",
         "case l_linenumber when 1 then '1' when 2 then 'true' when 3 then 'YES' when 4 then ' ja ' when 5 then 'nee' when 6 then '0' end as uitgevoerd",
     )
-    return normalise.coerce_types(texts, ["datum"], ["id", "bedrag_ex_btw"])
+    return normalise.coerce_types(texts, ["datum"], ["id", "bedrag_ex_btw", "perceel"])
 
 
 def _prepared(dataset: str, transport: str) -> Callable[[Star], DataFrame]:
     def build(star: Star) -> DataFrame:
-        rows = run_table(_reader(star), dataset, current_ids(star, transport))
-        out = normalise.prepare(dataset, rows, CLIENT, current_ids(star, transport), SYNCED_AT)
+        ids = current_ids(star, transport)
+        out = normalise.prepare(dataset, run_table(_reader(star), dataset, ids), CLIENT, ids, SYNCED_AT)
         return out.drop("synced_at")
 
     return build
@@ -427,23 +464,24 @@ add("prepare_key_figures", _prepared("kentallen_route", "RG"))
 add("prepare_va_rides", _prepared("va_ritten_detail", "VA"))
 
 
-def _joined_controls(star: Star) -> DataFrame:
+def _joined_controls(star: Star, ids: list[int]) -> DataFrame:
     read = _reader(star)
-    return normalise.join_executed_controls(
-        run_table(read, "controls_done", current_ids(star)), whole_table(read, "control_catalog")
-    )
+    return normalise.join_executed_controls(run_table(read, "controls_done", ids), whole_table(read, "control_catalog"))
 
 
-add("executed_controls_join", _joined_controls)
+add("executed_controls_join", lambda star: _joined_controls(star, current_ids(star)))
 
 
 @query("prepare_executed_controls")
 def _prepare_executed_controls(star: Star) -> DataFrame:
-    out = normalise.prepare_executed_controls(_joined_controls(star), CLIENT, current_ids(star), SYNCED_AT)
+    ids = current_ids(star)
+    out = normalise.prepare_executed_controls(_joined_controls(star, ids), CLIENT, ids, SYNCED_AT)
     return out.select(RUN, "controle_id", "controlecode", "omschrijving", "uitgevoerd", "timestamp", "client_slug").drop("timestamp")
 
 
 add("control_unpivot", lambda star: _longs(star)["ritten_detail"].drop("client_slug", "synced_at"))
+add("control_unpivot_va", lambda star: _longs(star)["va_ritten_detail"].drop("client_slug", "synced_at"))
+add("control_unpivot_routes", lambda star: control_rows(star.routes_detail(), "route").drop("client_slug", "synced_at"))
 
 RESULT_TEXT = """case l_linenumber when 1 then ' OK ' when 2 then 'Niet ok' when 3 then cast(l_quantity as string)
     when 4 then concat(' ', cast(l_partkey % 3 as string), ' ') when 5 then concat('Rit overschrijdt ', l_returnflag)
@@ -523,13 +561,8 @@ def _history_append(star: Star) -> DataFrame:
     return store.read_history("kentallen_route").groupBy("year", "month", RUN).agg(F.count("*").alias("n_rows"))
 
 
-@lru_cache(maxsize=8)
-def _synced(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
-    """Two syncs of one client: first the runs up to 200106, then those from 199603 on.
-
-    Done once per session and folder; several queries look at what they left behind.
-    """
-    star = Star(spark, folder)
+def _synced(star: Star) -> tuple[Store, list[DataFrame]]:
+    """Two syncs of one client: first the runs up to 200106, then those from 199603 on."""
     store = _new_store(star)
     read = _reader(star)
     audits = []
@@ -543,7 +576,7 @@ def _synced(spark: SparkSession, folder: str) -> tuple[Store, list[DataFrame]]:
 
 @query("sync_snapshot")
 def _sync_snapshot(star: Star) -> DataFrame:
-    store, _ = _synced(star.spark, star.folder)
+    store, _ = _synced(star)
     counted = []
     for dataset in sync.DATASETS:
         for area, rows in (("current", store.read_current(dataset)), ("history", store.read_history(dataset))):
@@ -558,13 +591,13 @@ def _sync_snapshot(star: Star) -> DataFrame:
 
 @query("expire_to_history")
 def _expire_to_history(star: Star) -> DataFrame:
-    store, _ = _synced(star.spark, star.folder)
+    store, _ = _synced(star)
     return store.read_history("kentallen_route").select(F.col(RUN).cast("bigint").alias(RUN), "datum", "route_id", "kosten_rit", "n_ritten")
 
 
 @query("sync_audit_counts")
 def _sync_audit_counts(star: Star) -> DataFrame:
-    _, audits = _synced(star.spark, star.folder)
+    _, audits = _synced(star)
     both = audits[0].unionByName(audits[1])
     return both.select(F.dayofmonth("started_at").alias("day"), F.explode("current_counts").alias("dataset", "n_current"), "history_counts").select(
         "day", "dataset", "n_current", F.coalesce(F.try_element_at("history_counts", F.col("dataset")), F.lit(0)).alias("n_history"))
@@ -587,7 +620,7 @@ def _kentallen_backfill(star: Star) -> DataFrame:
 
 
 add("deviations_per_vervoerder", lambda star: dashboard.deviations_per_carrier(_longs(star)["ritten_detail"]))
-add("deviation_amount", lambda star: dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])))
+add("deviation_amount", lambda star: rounded(dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])), "deviation_amount"))
 
 
 @query("history_dedupe")

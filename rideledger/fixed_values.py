@@ -126,6 +126,7 @@ DEVIATION_WORDS = r"afwijk|deviat|niet|fout|overschrij"
 # Patterns.
 RESULT_COLUMN = r"^resultaat_(\d+)$"
 LOCATION_CODE = r"^\d{5}\s+"
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 # Every character that counts as white space at the ends of a text.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rideledger.fixed_values import NUMBER_TEXT
 
-EXACT = "decimal(18,4)"
+EXACT = "decimal(38,12)"
 
 
 def half_even(value: Column, digits: int) -> Column:
@@ -40,16 +40,23 @@ def number(text: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum as a decimal, so that the result does not depend on the order of rows."""
-    return F.sum(value.cast(EXACT))
+    """Sum of doubles. It does not depend on the order of rows as long as decimals can hold it.
+
+    Values of up to 26 digits before and 12 after the point are summed as decimals, without any
+    loss. Where a group has a value that is larger, finer, infinite or NaN, or its sum grows
+    too large, the sum is the one of doubles: nothing is cut and nothing fails.
+    """
+    number = value.cast("double")
+    exact = number.try_cast(EXACT)
+    held = F.min(F.when(number.isNotNull(), F.coalesce(exact.cast("double") == number, F.lit(False))))
+    return F.coalesce(F.when(held, F.try_sum(exact).cast("double")), F.sum(number))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean of ``value`` weighted by ``weight`` over rows that have a value; NULL without weight."""
     has_value = value.isNotNull()
-    product = F.sum(F.when(has_value, value.cast(EXACT) * weight.cast(EXACT)))
-    total = F.sum(F.when(has_value, weight.cast(EXACT)))
-    return product.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
+    product = exact_sum(F.when(has_value, value.cast("double") * weight.cast("double")))
+    return product / F.nullif(exact_sum(F.when(has_value, weight)), F.lit(0.0))
 
 
 def minutes_between(start_s: Column, end_s: Column) -> Column:

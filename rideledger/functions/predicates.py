@@ -19,7 +19,7 @@ def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def _differs_from_zero(df: DataFrame, name: str) -> str:
-    return f"coalesce(try_cast({name} as double), 0) <> 0" if name in df.columns else "false"
+    return f"coalesce(nanvl(try_cast({name} as double), 0), 0) <> 0" if name in df.columns else "false"
 
 
 def nonzero(df: DataFrame, name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rideledger.fixed_values import (
@@ -130,3 +130,21 @@ def sort_key(text: Column) -> Column:
         F.when(kind == 3, dutch.try_cast("double")).alias("number"),
         F.when(kind == 1, turned).when(kind == 2, F.lpad(value, 5, "0")).when(kind == 4, F.lower(value)).alias("text"),
     )
+
+
+def as_text(df: DataFrame, name: str) -> Column:
+    """A value of any type as text, NULL and NaN as NULL; NULL where the column is absent."""
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(None).cast("string")
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(name), plain_number(F.col(name)))
+    return F.col(name).cast("string")
+
+
+def as_label(df: DataFrame, name: str) -> Column:
+    """A number that names something, as text: whole ones without a fraction."""
+    if dict(df.dtypes)[name] in ("double", "float"):
+        whole = F.col(name).try_cast("bigint")
+        return F.coalesce(F.when(whole == F.col(name), whole.cast("string")), as_text(df, name))
+    return as_text(df, name)

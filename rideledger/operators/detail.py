@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.fixed_values import PAGE_ROWS
-from rideledger.functions.text import cell
+from rideledger.functions.text import cell, sort_key
+from rideledger.registry import RUN
 
 
 def ordering(names: list[str]) -> list[Column]:
@@ -38,6 +40,10 @@ class Detail:
     def listing(self) -> DataFrame:
         return self.rows.drop(*self.hidden)
 
+    def total(self, by: Sequence[str] = (RUN,)) -> DataFrame:
+        """Number of rows that the pages of a run have together."""
+        return self.rows.groupBy(*by).agg(F.count("*").alias("total_rows"))
+
     def sorted(self) -> DataFrame:
         return self.rows.orderBy(*self.total_order()).drop(*self.hidden)
 
@@ -45,6 +51,19 @@ class Detail:
         return self.rows.orderBy(*self.total_order()).offset(offset).limit(limit).drop(*self.hidden)
 
 
+def sorted_rows(
+    df: DataFrame, keys: Sequence[tuple[str, bool]], position: str, within: Sequence[str] = (), name: str = "place"
+) -> DataFrame:
+    """Rows numbered from 1 in the order a reader sorts displayed columns in, within each table.
+
+    ``keys`` are (column, whether ascending), the first the most important. Blanks come first in ascending
+    and last in descending order; rows that are alike in all keys keep the order of ``position``.
+    """
+    columns = [sort_key(F.col(column)).asc() if ascending else sort_key(F.col(column)).desc() for column, ascending in keys]
+    order = Window.partitionBy(*within).orderBy(*columns, F.col(position).asc())
+    return df.withColumn(name, F.row_number().over(order).cast("bigint"))
+
+
 def format_cells(df: DataFrame) -> DataFrame:
     """Every column as displayed text."""
     return df.select(*[cell(name, kind, F.col(name)).alias(name) for name, kind in df.dtypes])

@@ -8,12 +8,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.fixed_values import ALIASES, DATE_COLUMNS, NUMBER_COLUMNS, RUN_ID_NAMES, TIME_COLUMNS
+from rideledger.fixed_values import ALIASES, DATE_COLUMNS, DATE_TEXT, NUMBER_COLUMNS, RUN_ID_NAMES, TIME_COLUMNS
 from rideledger.functions.numeric import number
-from rideledger.functions.text import truthy
+from rideledger.functions.text import as_text, truthy
 from rideledger.registry import RUN
 
-AMOUNTS = ("bedrag_ex_btw",)
+# Numbers that may have a fraction; the others identify something and are whole.
+AMOUNTS = ("bedrag_ex_btw", "perceel")
 
 
 def snake_case(name: str) -> str:
@@ -158,12 +159,13 @@ def join_executed_controls(done: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Joined on control and run, never on a bare row id; NULL keys match. Other columns
     both sides have are kept as ``_done`` and ``_controle``; the description is the
-    catalog's where it has one to offer. An empty catalog leaves the rows as they are.
+    catalog's. With an empty catalog rows keep their own; whether it is empty shows when the rows are
+    computed, not before.
     """
     left = _with_control_id(snake_case_columns(done))
     right = _with_control_id(snake_case_columns(catalog))
     keys = [name for name in (RUN, "controle_id", "controlecode") if name in left.columns and name in right.columns]
-    if not keys or right.isEmpty():
+    if not keys:
         return left
     both = [name for name in left.columns if name in right.columns and name not in keys]
     left = left.withColumnsRenamed({name: f"{name}_done" for name in both})
@@ -171,12 +173,14 @@ def join_executed_controls(done: DataFrame, catalog: DataFrame) -> DataFrame:
     matched = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
     joined = left.join(right, matched, "left").drop(*[f"_{key}" for key in keys])
     if "omschrijving" in both:
-        joined = joined.withColumn("omschrijving", F.col("omschrijving_controle"))
+        entries = catalog.agg(F.count("*")).scalar()
+        described = F.when(entries > 0, F.col("omschrijving_controle")).otherwise(F.col("omschrijving_done"))
+        joined = joined.withColumn("omschrijving", described)
     return joined
 
 
 def promote_text_columns(df: DataFrame) -> DataFrame:
-    """Text columns that hold only numbers become numeric: whole numbers or doubles.
+    """Text columns that hold only dates or only numbers get that type: dates, whole numbers or doubles.
 
     One aggregation over all text columns decides; columns without any value stay text.
     """
@@ -190,14 +194,25 @@ def promote_text_columns(df: DataFrame) -> DataFrame:
             ("values", F.count(name)),
             ("numbers", F.count(number(F.col(name)))),
             ("wholes", F.count(F.trim(name).try_cast("bigint"))),
+            ("dates", F.count(F.when(F.trim(name).rlike(DATE_TEXT), F.trim(name).try_cast("date")))),
         )
     ]
     found = df.agg(*checks).first()
     promoted = {}
     for position, name in enumerate(texts):
         values = found[f"values_{position}"]
-        if values and found[f"wholes_{position}"] == values:
+        if values and found[f"dates_{position}"] == values:
+            promoted[name] = F.trim(name).cast("date")
+        elif values and found[f"wholes_{position}"] == values:
             promoted[name] = F.trim(name).cast("bigint")
         elif values and found[f"numbers_{position}"] == values:
             promoted[name] = number(F.col(name))
     return df.withColumns(promoted) if promoted else df
+
+
+def united(top: DataFrame, below: DataFrame) -> DataFrame:
+    """Rows of both, columns matched by name; a column that is a text on one side is one on both."""
+    kinds = dict(top.dtypes), dict(below.dtypes)
+    texts = {name for name in kinds[0].keys() & kinds[1].keys() if kinds[0][name] != kinds[1][name] and "string" in (kinds[0][name], kinds[1][name])}
+    parts = [df.withColumns({name: as_text(df, name) for name in sorted(texts)}) if texts else df for df in (top, below)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rideledger.functions.predicates import flags_deviation, optional, result_controls
-from rideledger.functions.text import plain_number
+from rideledger.functions.text import as_label, as_text
 
 LONG_SCHEMA = (
     "client_slug string, stuurtabel_id bigint, entity_type string, entity_id bigint, datum date, vervoerder string, "
@@ -15,14 +15,6 @@ LONG_SCHEMA = (
 )
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A value of any type as text, NULL kept; NULL where the column is absent."""
-    kind = dict(df.dtypes).get(name)
-    if kind in ("double", "float"):
-        return plain_number(F.col(name))
-    return optional(df, name).cast("string")
-
-
 def first_present(df: DataFrame, names: list[str], kind: str) -> Column:
     """The first of the named columns that exists, else NULL."""
     return next((F.col(name) for name in names if name in df.columns), F.lit(None)).cast(kind)
@@ -54,7 +46,7 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
         optional(df, id_column, "bigint").cast("bigint").alias("entity_id"),
         first_present(df, [date_column, "rit_datum", "datum"], "date").alias("datum"),
         optional(df, "vervoerder").alias("vervoerder"),
-        first_present(df, ["perceel", "perceel_id"], "string").alias("perceel"),
+        next((as_label(df, name) for name in ("perceel", "perceel_id") if name in df.columns), F.lit(None).cast("string")).alias("perceel"),
         optional(df, "synced_at", "timestamp").alias("synced_at"),
         F.inline(elements),
     ).where("resultaat is not null or tekst is not null")

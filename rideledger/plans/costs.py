@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.fixed_values import COST_MONTHS
-from rideledger.functions.numeric import number, share, weighted_mean
+from rideledger.functions.numeric import exact_sum, number, share, weighted_mean
 from rideledger.operators.count import PER_RUN
 from rideledger.operators.detail import Detail
 from rideledger.registry import RUN
@@ -51,15 +51,26 @@ def report_20_daily_chart(key_figures: DataFrame, by: Sequence[str] = PER_RUN) -
 def report_20_monthly(key_figures: DataFrame, months: int = COST_MONTHS) -> Detail:
     """Mean cost per month over the year up to the last month of each run, from the rows of all runs.
 
-    Rows are counted per month once; each run then picks its months by an equality join.
+    Rows are reduced once, to sums per run and month. Windows over this small table (a few rows per run)
+    give the mean of every month over all runs and the list of months, one entry each, of which
+    a run then takes the twelve up to its own last month, or the newest if it has no dates.
     """
-    month = F.trunc(F.col("datum").cast("date"), "MM")
-    per_month = key_figures.groupBy(month.alias("month_start")).agg(
-        weighted_mean(_cost(), _rides()).alias("kosten_rit")
+    counts = _cost().isNotNull()
+    parts = key_figures.groupBy(RUN, F.trunc(F.to_date("datum"), "MM").alias("month_start")).agg(
+        exact_sum(F.when(counts, _cost() * _rides())).alias("cost"), exact_sum(F.when(counts, _rides())).alias("rides")
+    )
+    unbounded = Window.unboundedPreceding, Window.unboundedFollowing
+    month = Window.partitionBy("month_start").orderBy(RUN).rowsBetween(*unbounded)
+    mean = F.sum("cost").over(month) / F.nullif(F.sum("rides").over(month), F.lit(0.0))
+    everything = Window.partitionBy(F.lit(0))
+    known = F.when(F.col("month_start").isNotNull(), F.struct("month_start", "kosten_rit"))
+    listed = parts.withColumn("kosten_rit", mean).withColumns(
+        {"listed": F.collect_set(known).over(everything), "newest": F.max("month_start").over(everything)}
+    )
+    per_run = listed.groupBy(RUN).agg(
+        F.coalesce(F.max("month_start"), F.max("newest")).alias("last_month"), F.first("listed").alias("listed")
+    )
+    rows = per_run.select(RUN, "last_month", F.inline("listed")).where(
+        F.col("month_start").between(F.add_months("last_month", 1 - months), F.col("last_month"))
     )
-    last_day = key_figures.agg(F.max(F.to_date("datum"))).scalar()
-    anchors = key_figures.groupBy(RUN).agg(F.max(F.to_date("datum")).alias("own_last"))
-    last_month = F.trunc(F.coalesce("own_last", last_day), "MM")
-    window = F.sequence(F.add_months(last_month, 1 - months), last_month, F.expr("interval 1 month"))
-    rows = anchors.select(RUN, F.explode(window).alias("month_start")).join(per_month, "month_start")
     return Detail(rows.select(RUN, F.date_format("month_start", "yyyy-MM").alias("month"), "kosten_rit"), ["month"])

@@ -195,9 +195,9 @@ def drilldown_rows(longs: list[DataFrame]) -> Detail:
     return Detail(rows.select(*columns), ["-datum", "controle_id"])
 
 
-def rows_per_control_code(executed: DataFrame) -> DataFrame:
-    """Number of rows per control code."""
-    return executed.groupBy("controlecode").agg(F.count("*").alias("n_rows"))
+def rows_per_control_code(rides: DataFrame) -> Detail:
+    """Number of rides per control code, most first."""
+    return Detail(rides.groupBy("controlecode").agg(F.count("*").alias("n_rows")), ["-n_rows", "controlecode"])
 
 
 def deviations_per_carrier(long: DataFrame) -> DataFrame:
@@ -210,5 +210,5 @@ def deviation_amounts(rides: DataFrame) -> DataFrame:
     """Invoiced amount of the rides with a deviating result, per run."""
     controls = [control for control in result_controls(rides) if control not in NON_DEVIATION_CONTROLS]
     deviating = any_of([flags_deviation(rides, control) for control in controls])
-    amount = F.coalesce(exact_sum(F.when(deviating, F.col("bedrag_ex_btw"))).cast("double"), F.lit(0.0))
+    amount = F.coalesce(exact_sum(F.when(deviating, F.col("bedrag_ex_btw"))), F.lit(0.0))
     return rides.groupBy(RUN).agg(amount.alias("deviation_amount"))

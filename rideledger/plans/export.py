@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,13 +19,12 @@ from rideledger.fixed_values import (
     REPORT_20_COLUMNS,
     STACKED_HEADERS,
     STACKED_LABELS,
-    SUMMARY_HEADERS,
     TOTAL_LABEL,
     VEHICLE_AGE_COLUMNS,
 )
 from rideledger.functions.numeric import half_even, share
 from rideledger.functions.text import cell, plain_number
-from rideledger.operators.count import PER_RUN
+from rideledger.operators.count import PER_RUN, only_run
 from rideledger.operators.detail import Detail, format_cells
 from rideledger.plans.fleet import (
     age_totals,
@@ -41,9 +41,11 @@ from rideledger.plans.fleet import (
 from rideledger.plans.costs import report_20_daily_table
 from rideledger.plans.rides import generic_detail, generic_fields, grouped_detail, report_1_detail, report_5_detail, report_8_detail
 from rideledger.plans.routes import report_10_detail
+from rideledger.plans.sync import transport_group
 from rideledger.registry import RUN, detail_dataset, report_columns
 
 SEPARATOR = ";"
+TRANSPORTS = ("RG", "VA")
 # Decimals of the percentage in each report summary, where not three.
 SUMMARY_DIGITS = {11: 2}
 
@@ -69,10 +71,6 @@ def export_summary(breakdown: DataFrame) -> DataFrame:
     )
 
 
-def summary_headers() -> dict[str, str]:
-    return SUMMARY_HEADERS
-
-
 # Sheets.
 
 
@@ -119,25 +117,50 @@ def grouped_sheet(va_rides: DataFrame, control: int) -> tuple[Detail, list[str]]
     return detail, [GROUPED_COLUMNS[control][name] for name in detail.rows.columns if name != RUN]
 
 
-def sheet_lines(detail: Detail, control: int) -> DataFrame:
-    """Rows of a sheet as formatted lines of text."""
+def quoted(text: Column) -> Column:
+    """A cell of a line: in quotes, doubled inside, where it holds a separator, a quote or a line break."""
+    inside = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike(f'[{SEPARATOR}"\\r\\n]'), inside).otherwise(text)
+
+
+def sheet_lines(detail: Detail, headers: Sequence[str], control: int) -> DataFrame:
+    """Lines of a sheet per run in report order, numbered from 1; line 0 has the headers."""
     kinds = dict(detail.rows.dtypes)
     held = [name for name in detail.rows.columns if name not in (RUN, *detail.hidden)]
-    line = F.concat_ws(SEPARATOR, *[cell(name, kinds[name], F.col(name)) for name in held])
-    return detail.rows.select(RUN, F.lit(control).alias("control_id"), line.alias("line"))
-
+    line = F.concat_ws(SEPARATOR, *[quoted(cell(name, kinds[name], F.col(name))) for name in held])
+    head = F.concat_ws(SEPARATOR, *[quoted(F.lit(header)) for header in headers])
+    place = F.row_number().over(Window.partitionBy(RUN).orderBy(*detail.total_order()))
+    lines = detail.rows.select(RUN, place.cast("bigint").alias("row_no"), line.alias("line"))
+    heads = detail.rows.select(RUN).distinct().select(RUN, F.lit(0).cast("bigint").alias("row_no"), head.alias("line"))
+    return lines.unionAll(heads).select(RUN, F.lit(control).alias("control_id"), "row_no", "line")
 
-def export_bundle(details: Mapping[str, DataFrame], breakdown: DataFrame, controls: Sequence[int]) -> DataFrame:
-    """Lines of all sheets, for the runs in which each control was executed."""
-    lines = [sheet_lines(control_sheet(details, control)[0], control) for control in controls]
-    executed = breakdown.select(RUN, "control_id").distinct()
-    return reduce(DataFrame.unionByName, lines).join(executed, [RUN, "control_id"], "left_semi")
 
+def control_lines(details: Mapping[str, DataFrame], executed: DataFrame, control: int) -> DataFrame:
+    """Lines of the sheet of one control, for the runs that executed it, each read from its transport's dataset.
 
-def write_csv(detail: Detail, headers: Sequence[str], path: str) -> None:
-    """One CSV folder: formatted cells under their headers, file after file in report order."""
-    shown = detail.sorted().drop(RUN)
-    format_cells(shown).toDF(*headers).write.option("header", True).mode("errorifexists").csv(path)
+    ``executed`` holds run, control_id and soortvervoer. Write a bundle control by control: each
+    is a plan of its own.
+    """
+    runs = executed.where(F.col("control_id") == control).select(RUN, transport_group(F.col("soortvervoer")).alias("_group")).distinct()
+    datasets = {transport: detail_dataset(control, transport) for transport in TRANSPORTS}
+    parts = []
+    for dataset in dict.fromkeys(datasets.values()):
+        groups = [transport for transport in TRANSPORTS if datasets[transport] == dataset]
+        detail, headers = control_sheet(details, control, groups[0])
+        chosen = runs.where(F.col("_group").isin(groups)).select(RUN)
+        parts.append(sheet_lines(replace(detail, rows=detail.rows.join(chosen, RUN, "left_semi")), headers, control))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def export_bundle(details: Mapping[str, DataFrame], executed: DataFrame, controls: Sequence[int]) -> DataFrame:
+    """(run, control_id, row_no, line) of all sheets."""
+    return reduce(DataFrame.unionByName, [control_lines(details, executed, control) for control in controls])
+
+
+def write_csv(detail: Detail, headers: Sequence[str], path: str, run_id: int) -> None:
+    """One CSV folder with the rows of one run: formatted cells under their headers, in report order."""
+    chosen = replace(detail, rows=only_run(detail.rows, run_id))
+    format_cells(chosen.sorted().drop(RUN)).toDF(*headers).write.option("header", True).mode("errorifexists").csv(path)
 
 
 # Matrices.

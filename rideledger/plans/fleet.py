@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.fixed_values import CLIENT_KM, MERGED_EMISSION
-from rideledger.functions.numeric import EXACT, exact_sum, number, share
+from rideledger.functions.numeric import exact_sum, number, share
 from rideledger.functions.predicates import any_of, checked_and_deviating, has_plate, has_real_plate, nonzero, optional
 from rideledger.operators.count import PER_RUN, summary
 from rideledger.operators.detail import Detail
@@ -38,8 +38,8 @@ def _classified(rides: DataFrame) -> DataFrame:
 
 
 def _client_km(rides: DataFrame) -> Column:
-    parts = [F.coalesce(F.col(name).cast(EXACT), F.lit(0).cast(EXACT)) for name in CLIENT_KM if name in rides.columns]
-    return reduce(lambda left, right: left + right, parts, F.lit(0).cast(EXACT))
+    parts = [F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in CLIENT_KM if name in rides.columns]
+    return reduce(lambda left, right: left + right, parts, F.lit(0.0))
 
 
 def report_11_summary(rides: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
@@ -51,11 +51,11 @@ def report_11_classes(rides: DataFrame, by: Sequence[str] = PER_RUN) -> Detail:
     per_plate = (
         _classified(rides)
         .groupBy(*by, "emission_class", "kenteken")
-        .agg(F.count("*").alias("rides"), F.sum(_client_km(rides)).alias("km"))
+        .agg(F.count("*").alias("rides"), exact_sum(_client_km(rides)).alias("km"))
     )
     rows = (
         per_plate.groupBy(*by, "emission_class")
-        .agg(F.count("kenteken").alias("vehicles"), F.sum("rides").alias("rides"), F.sum("km").alias("km"))
+        .agg(F.count("kenteken").alias("vehicles"), F.sum("rides").alias("rides"), exact_sum(F.col("km")).alias("km"))
         .withColumns({"all_rides": _total("rides", by), "all_km": _total("km", by)})
     )
     km_share = F.when(F.col("all_km") > 0, share(F.col("km"), F.col("all_km"), 2))
@@ -65,7 +65,7 @@ def report_11_classes(rides: DataFrame, by: Sequence[str] = PER_RUN) -> Detail:
         "vehicles",
         "rides",
         share(F.col("rides"), F.col("all_rides"), 2).alias("ride_percentage"),
-        F.col("km").cast("double").alias("client_km"),
+        F.col("km").alias("client_km"),
         km_share.alias("client_km_percentage"),
     )
     return Detail(shown, ["-vehicles", "-rides", "emission_class"])
@@ -73,20 +73,24 @@ def report_11_classes(rides: DataFrame, by: Sequence[str] = PER_RUN) -> Detail:
 
 def report_11_totals(rides: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
     """Classified rides, and whether kilometres are known."""
-    km = F.sum(_client_km(rides))
+    km = exact_sum(_client_km(rides))
     return _classified(rides).groupBy(*by).agg(F.count("*").alias("classified_rides"), (km > 0).alias("has_km"))
 
 
 def report_11_vehicles(rides: DataFrame, by: Sequence[str] = PER_RUN) -> Detail:
-    """Days, routes and rides per vehicle and emission class."""
-    rows = (
+    """Days, routes and rides per vehicle and emission class.
+
+    Detail rows are counted once per day and route; the distinct counts see only what is left.
+    """
+    counted = (
         _classified(rides)
-        .groupBy(*by, "kenteken", "emission_class")
-        .agg(
-            F.count_distinct(F.to_date("datum")).alias("inzetdagen"),
-            F.count_distinct("route_nummer").alias("routes"),
-            F.count("*").alias("rides"),
-        )
+        .groupBy(*by, "kenteken", "emission_class", F.to_date("datum").alias("day"), "route_nummer")
+        .agg(F.count("*").alias("rides"))
+    )
+    rows = counted.groupBy(*by, "kenteken", "emission_class").agg(
+        F.count_distinct("day").alias("inzetdagen"),
+        F.count_distinct("route_nummer").alias("routes"),
+        F.sum("rides").alias("rides"),
     )
     return Detail(rows, ["emission_class", "-rides", "kenteken"])
 
@@ -171,13 +175,13 @@ def fleet_distance(rides: DataFrame, control: int, by: Sequence[str] = PER_RUN)
     rows = (
         _categorised(rides, control)
         .groupBy(*by, "category")
-        .agg(exact_sum(F.coalesce("afstand_direct", F.lit(0.0))).alias("exact"))
+        .agg(exact_sum(F.coalesce("afstand_direct", F.lit(0.0))).alias("distance"))
     )
     shown = rows.select(
         *by,
         "category",
-        F.col("exact").cast("double").alias("distance"),
-        share(F.col("exact"), _total("exact", by), 2).alias("percentage"),
+        "distance",
+        share(F.col("distance"), _total("distance", by), 2).alias("percentage"),
     )
     return Detail(shown, ["-distance", "category"])
 
@@ -188,22 +192,28 @@ def fleet_distance(rides: DataFrame, control: int, by: Sequence[str] = PER_RUN)
 def vehicles_by_age(rides: DataFrame, control: int, date_column: str = "datum", by: Sequence[str] = PER_RUN) -> DataFrame:
     """One row per vehicle that the age control looked at; every age report starts from it.
 
-    Counting per day first gives distinct days without a distinct aggregate.
+    Detail rows are only counted, per day and combination of texts, which hashes without sorting;
+    the largest texts are taken over the few rows that are left. Counting per day also gives distinct
+    days without a distinct aggregate.
     """
     names = [f"{kind}_{control}" for kind in ("controlewaarde", "dempelwaarde", "resultaat", "tekst")]
     looked_at = any_of([F.col(name).isNotNull() for name in names if name in rides.columns])
-    value = optional(rides, names[0])
-    per_day = (
+    counted = (
         rides.where(has_plate() & looked_at)
-        .groupBy(*by, "kenteken", F.to_date(date_column).alias("day"))
-        .agg(
-            F.count("*").alias("rides"),
-            F.max(optional(rides, names[1])).alias("threshold"),
-            F.max(value).alias("value"),
-            F.max(optional(rides, names[3])).alias("text"),
-            exact_sum(number(value)).alias("age_sum"),
-            F.count(number(value)).alias("ages"),
+        .groupBy(
+            *by, "kenteken", F.to_date(date_column).alias("day"), optional(rides, names[1]).alias("threshold"),
+            optional(rides, names[0]).alias("value"), optional(rides, names[3]).alias("text"),
         )
+        .agg(F.count("*").alias("rides"))
+    )
+    age = number(F.col("value"))
+    per_day = counted.groupBy(*by, "kenteken", "day").agg(
+        F.sum("rides").alias("rides"),
+        F.max("threshold").alias("threshold"),
+        F.max("value").alias("value"),
+        F.max("text").alias("text"),
+        exact_sum(age * F.col("rides")).alias("age_sum"),
+        F.sum(F.when(age.isNotNull(), F.col("rides"))).alias("ages"),
     )
     return per_day.groupBy(*by, "kenteken").agg(
         F.count("day").alias("days"),
@@ -211,8 +221,8 @@ def vehicles_by_age(rides: DataFrame, control: int, date_column: str = "datum",
         F.max("threshold").alias("threshold"),
         F.max("value").alias("value"),
         F.max("text").alias("text"),
-        F.sum("age_sum").alias("age_sum"),
-        F.sum("ages").alias("ages"),
+        exact_sum(F.col("age_sum")).alias("age_sum"),
+        F.coalesce(F.sum("ages"), F.lit(0)).alias("ages"),
     )
 
 
@@ -224,7 +234,7 @@ def age_summary(vehicles: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
         F.sum("rides").alias("total_checked"),
         F.count("*").alias("vehicles"),
         share(valued, F.count("*"), 2).alias("coverage_percentage"),
-        (F.sum("age_sum").cast("double") / F.nullif(ages, F.lit(0.0))).alias("average_age"),
+        (exact_sum(F.col("age_sum")) / F.nullif(ages, F.lit(0.0))).alias("average_age"),
     )
 
 
@@ -255,6 +265,6 @@ def age_totals(vehicles: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
 
 def age_histogram(vehicles: DataFrame, by: Sequence[str] = PER_RUN) -> Detail:
     """Vehicles per rounded mean age."""
-    mean = F.col("age_sum").cast("double") / F.nullif(F.col("ages"), F.lit(0)).cast("double")
+    mean = F.col("age_sum") / F.nullif(F.col("ages"), F.lit(0)).cast("double")
     aged = vehicles.withColumn("age_years", F.round(mean).cast("int")).where(F.col("age_years").isNotNull())
     return Detail(aged.groupBy(*by, "age_years").agg(F.count("*").alias("vehicles")), ["age_years"])

@@ -99,9 +99,9 @@ def report_5_route_rides(routes: DataFrame, rides: DataFrame) -> Detail:
 
 
 def report_8_summary(rides: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
-    """Only rides with both planned times count; a run without any has no row."""
+    """Only rides with both planned times count; a run without any has zeros."""
     planned, deviating = checked_and_deviating(rides, 8)
-    return summary(rides.where(planned), deviating, by=by)
+    return summary(rides, deviating, checked=planned, by=by)
 
 
 def report_8_detail(rides: DataFrame) -> Detail:

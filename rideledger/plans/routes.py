@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.functions.numeric import elapsed_minutes, minutes_between
@@ -12,7 +12,6 @@ from rideledger.functions.predicates import checked_and_deviating, optional
 from rideledger.functions.text import strip_location_code
 from rideledger.operators.count import PER_RUN, summary
 from rideledger.operators.detail import Detail, ordering
-from rideledger.operators.rank import position_in_group
 from rideledger.plans.rides import listed
 from rideledger.registry import RUN
 
@@ -21,7 +20,7 @@ ROUTE = [RUN, "datum", "route_nummer"]
 
 def report_10_summary(routes: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame:
     numbered, deviating = checked_and_deviating(routes, 10)
-    return summary(routes.where(numbered), deviating, by=by)
+    return summary(routes, deviating, checked=numbered, by=by)
 
 
 def _improved(routes: DataFrame) -> DataFrame:
@@ -95,8 +94,9 @@ STOPS = [
 def report_10_stops(routes: DataFrame, rides: DataFrame) -> DataFrame:
     """Stops of every improved route in driving order, as driven and as replanned.
 
-    Rides fan out to bare stops first; places and labels are only worked out for the
-    stops that remain.
+    Rides fan out to bare stops first; places and labels are only worked out for the stops that remain.
+    A window numbers the stops of a route: that is what one vehicle does on one day, at most a few
+    hundred stops, and the number of routes grows with the rides.
     """
     per_ride = ", ".join(
         f"struct('{plan}' as plan, '{kind}' as event_type, cast({time} as int) as time_s)" for plan, kind, time in STOPS
@@ -121,8 +121,8 @@ def report_10_stops(routes: DataFrame, rides: DataFrame) -> DataFrame:
         )
         .where("time_s is not null and latitude is not null and longitude is not null")
     )
-    order = ordering(["ride_id", "event_type", "label", "latitude", "longitude"])
-    return position_in_group(events, [*ROUTE, "plan"], "time_s", order)
+    order = ordering(["time_s", "ride_id", "event_type", "label", "latitude", "longitude"])
+    return events.withColumn("index", F.row_number().over(Window.partitionBy(*ROUTE, "plan").orderBy(*order)))
 
 
 def report_10_detail(routes: DataFrame, rides: DataFrame) -> Detail:

@@ -18,6 +18,7 @@ from rideledger.operators.normalise import (
     of_runs,
     prepare,
     prepare_executed_controls,
+    united,
 )
 from rideledger.operators.unpivot import control_rows
 from rideledger.registry import RUN
@@ -50,7 +51,7 @@ def transport_group(transport: Column) -> Column:
 
 def merge_current(current: DataFrame, new: DataFrame, retained: list[int]) -> DataFrame:
     """Rows of the retained runs with the new rows, columns matched by name."""
-    return of_runs(current, retained).unionByName(new, allowMissingColumns=True)
+    return united(of_runs(current, retained), new)
 
 
 def build_manifest(runs: DataFrame, client: str, synced_at: datetime | Column) -> DataFrame:
@@ -150,9 +151,11 @@ def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -
     started = synced_at or datetime.now(UTC)
     version = f"{started:%Y%m%d%H%M%S%f}"
     local = store.manifest()
-    source = current_runs(read(SOURCE_TABLES["runs"]))
+    # The run list is read once. What a later read would say does not belong to this sync.
+    listed = current_runs(read(SOURCE_TABLES["runs"])).collect()
+    source = store.spark.createDataFrame(listed, f"{RUN} bigint, omschrijving string, soortvervoer string")
     plan = plan_runs(local, source)
-    described = {row[RUN]: row for row in source.collect()}
+    described = {row[RUN]: row for row in listed}
     audit = {
         "client_slug": store.client,
         "started_at": started,
@@ -178,8 +181,8 @@ def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -
     texts = [F.max(name).alias(name) for name in ("omschrijving", "soortvervoer")]
     one_per_run = source.groupBy(RUN).agg(*texts)
     manifest = build_manifest(one_per_run, store.client, started).join(kept, RUN, "left")
-    listed = manifest.withColumn("data_versions", F.coalesce("kept", fresh)).drop("kept")
-    store.publish(listed.select(*local.columns), version)
+    current = manifest.withColumn("data_versions", F.coalesce("kept", fresh)).drop("kept")
+    store.publish(current.select(*local.columns), version)
 
     versions = store.current_versions()
     stored = {dataset: store.read_current(dataset, versions) for dataset in DATASETS}

@@ -4,24 +4,25 @@ Layout below the root folder::
 
     client=<slug>/dataset=<name>/current/version=<v>/stuurtabel_id=<run>/
     client=<slug>/dataset=<name>/history/year=<y>/month=<m>/stuurtabel_id=<run>/version=<v>/
+    client=<slug>/dataset=<name>/columns/version=<v>/
     client=<slug>/dataset=manifest/current/version=<v>/
 
 A write never touches files that are being read. New runs go to a folder of their own
 version and become visible when a manifest that names them has been written completely;
 runs that stay are not rewritten. A failed job leaves folders no manifest names, and
-repeating it is safe.
+repeating it is safe. Columns have declared types (``sources/schema.py``); their names are noted
+beside the data, so nothing has to merge schemas from file footers.
 """
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.registry import RUN
+from rideledger.sources.schema import as_stored, read_schema
 
 MANIFEST_SCHEMA = (
     "client_slug string, stuurtabel_id bigint, omschrijving string, soortvervoer string, is_current boolean, "
@@ -31,9 +32,26 @@ MANIFEST_SCHEMA = (
 BARE_SCHEMA = "client_slug string, stuurtabel_id bigint"
 
 
+SCRATCH = "spark.checkpoint.dir"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rideledger-")
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+
+    Where all work is done on one machine and nothing is named, a folder below the warehouse serves.
+    """
+    folder = spark.conf.get(SCRATCH, None)
+    on_one_machine = spark.sparkContext.master.startswith("local")
+    if folder is None and on_one_machine:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    if folder is None or not on_one_machine and (folder.startswith("file:") or "://" not in folder and _is_local(spark)):
+        raise ValueError(f"{SCRATCH} must name a folder that all executors share")
+    return folder
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """Whether paths without a scheme lie on the machine's own disk."""
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
 class Store:
@@ -76,27 +94,38 @@ class Store:
         """Run id to the version of each of its datasets; one entry per invoice run."""
         return {row[RUN]: row.data_versions for row in self.manifest().select(RUN, "data_versions").collect()}
 
+    def _note_columns(self, dataset: str, names: list[str], version: str) -> None:
+        rows = self.spark.createDataFrame(list(enumerate(names)), "place int, name string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder(dataset, 'columns')}/version={version}")
+
+    def columns(self, dataset: str, version: str = "*") -> list[str]:
+        """Names of the stored columns, of one version or of all."""
+        path = f"{self.folder(dataset, 'columns')}/version={version}"
+        if not self._matches(f"{path}/_SUCCESS"):
+            return []
+        noted = self.spark.read.schema("place int, name string").parquet(path)
+        found = noted.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
+        return [row.name for row in found]
+
+    def _read(self, dataset: str, area: str, paths: list[str], names: list[str], **kinds: str) -> DataFrame:
+        reader = self.spark.read.schema(read_schema(dataset, names, **kinds)).option("basePath", self.folder(dataset, area))
+        return reader.parquet(*paths)
+
     def read_current(self, dataset: str, versions: dict[int, dict[str, str]] | None = None) -> DataFrame:
-        """Rows of the current runs, columns merged by name; empty when nothing was stored yet.
+        """Rows of the current runs; empty when nothing was stored yet.
 
-        Each version was written by one job and has one schema, so the versions are read
-        side by side and united by name: no footers are scanned to merge schemas, a column
-        whose type differs between syncs is widened, and only folders of named runs are read.
-        Give ``versions`` when reading several datasets, so that all show the same state.
+        One scan over the folders of the named runs, however many syncs wrote them. Give ``versions`` when
+        reading several datasets, so that all show the same state.
         """
         runs = self.current_versions() if versions is None else versions
-        by_version: dict[str, list[int]] = {}
-        for run, held in runs.items():
-            if dataset in held:
-                by_version.setdefault(held[dataset], []).append(run)
-        parts = [
-            rows.where(F.col(RUN).isin(sorted(run_ids)))
-            for version, run_ids in sorted(by_version.items())
-            if (rows := self.read_version(dataset, version)) is not None
-        ]
-        if not parts:
-            return self.spark.createDataFrame([], BARE_SCHEMA)
-        return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+        named = {f"version={held[dataset]}/{RUN}={run}" for run, held in runs.items() if dataset in held}
+        there = self._matches(f"{self.folder(dataset, 'current')}/version=*/{RUN}=*")
+        paths = [path for path in there if "/".join(path.rsplit("/", 2)[1:]) in named]
+        names = self.columns(dataset)
+        if not paths:
+            return self.spark.createDataFrame([], read_schema(dataset, names) if names else BARE_SCHEMA)
+        rows = self._read(dataset, "current", paths, names, version="string", **{RUN: "bigint"})
+        return rows.select(*names)
 
     def drop_unlisted(self, dataset: str) -> int:
         """Delete stored runs that the manifest does not name: expired ones and those of failed jobs.
@@ -113,13 +142,6 @@ class Store:
                 deleted += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return deleted
 
-    def _partitioned(self, path: str, partition_types: str, merge: bool = False) -> DataFrame:
-        rows = self.spark.read.option("mergeSchema", merge).parquet(path)
-        for field in partition_types.split(", "):
-            name, kind = field.split(" ")
-            rows = rows.withColumn(name, F.col(name).cast(kind))
-        return rows
-
     def write_version(self, dataset: str, rows: DataFrame, version: str) -> None:
         """Store rows of new runs under a version; not visible before a manifest names it.
 
@@ -127,6 +149,8 @@ class Store:
         several tasks, and small ones share a task.
         """
         path = f"{self.folder(dataset, 'current')}/version={version}"
+        rows = as_stored(dataset, rows)
+        self._note_columns(dataset, rows.columns, version)
         rows.hint("rebalance", RUN).write.mode("overwrite").partitionBy(RUN).parquet(path)
 
     def read_version(self, dataset: str, version: str) -> DataFrame | None:
@@ -134,7 +158,8 @@ class Store:
         path = f"{self.folder(dataset, 'current')}/version={version}"
         if not self._matches(f"{path}/{RUN}=*"):
             return None
-        return self._partitioned(path, f"{RUN} bigint")
+        names = self.columns(dataset, version)
+        return self._read(dataset, "current", [path], names, version="string", **{RUN: "bigint"}).select(*names)
 
     def replace_current(self, dataset: str, rows: DataFrame, version: str) -> None:
         """Replace a dataset for all current runs and publish that."""
@@ -156,7 +181,9 @@ class Store:
             raise ValueError(f"no {RUN} column among: " + ", ".join(rows.columns))
         if "version" not in rows.columns:
             rows = rows.withColumn("version", F.lit(version))
-        keyed = rows.withColumns(
+        names = [name for name in rows.columns if name != "version"]
+        self._note_columns(dataset, names, version)
+        keyed = as_stored(dataset, rows).withColumns(
             {
                 "year": F.lit(f"{synced_at:%Y}"),
                 "month": F.lit(f"{synced_at:%m}"),
@@ -175,4 +202,11 @@ class Store:
         path = self.folder(dataset, "history")
         if not self._matches(f"{path}/year=*"):
             return None
-        return self._partitioned(path, f"{RUN} string, version string, year int, month int", merge=True)
+        names = self.columns(dataset)
+        kinds = {"year": "int", "month": "int", RUN: "string", "version": "string"}
+        return self._read(dataset, "history", [path], names, **kinds).select(*names, "version", "year", "month")
+
+    def remove(self) -> None:
+        """Delete everything stored for the client."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.home)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rideledger.functions.numeric import elapsed_minutes, half_even, minutes_between, number, share, weighted_mean
+from rideledger.functions.numeric import exact_sum, elapsed_minutes, half_even, minutes_between, number, share, weighted_mean
 
 
 def test_half_even_equals_python_round(spark):
@@ -34,6 +34,29 @@ def test_minutes(spark, start, end, crossed, elapsed):
     assert (row.x, row.y) == (crossed, elapsed)
 
 
+@pytest.mark.parametrize(
+    "values, total",
+    [
+        ([0.00004, 0.00002], 0.00006), ([1e15, 2e15, 0.25], 3e15 + 0.25), ([1e30, 1e30], 2e30), ([1e-20, 1.0], 1.0 + 1e-20),
+        ([0.1] * 10, 1.0), ([None, 2.5], 2.5), ([None], None), ([math.inf, 1.0], math.inf), ([9e25] * 40, 9e25 * 40),
+    ],
+)
+def test_sums_are_neither_cut_nor_fail(spark, values, total):
+    row = spark.createDataFrame([(value,) for value in values], "v double").agg(exact_sum(F.col("v")).alias("s")).first()
+    assert row.s == (None if total is None else pytest.approx(total, rel=1e-14))
+
+
+def test_sums_do_not_depend_on_order(spark):
+    values = [x / 100 for x in range(1, 3000, 7)]
+    sums = {spark.createDataFrame([(v,) for v in order], "v double").repartition(n).agg(exact_sum(F.col("v")).alias("s")).first().s for n, order in ((1, values), (7, values[::-1]))}
+    assert len(sums) == 1
+
+
+def test_small_and_large_costs_are_weighed(spark):
+    rows = [(0.00004, 2.0), (1e15, 0.0)]
+    assert spark.createDataFrame(rows, "v double, w double").agg(weighted_mean(F.col("v"), F.col("w")).alias("m")).first().m == pytest.approx(0.00004)
+
+
 def test_weighted_mean_without_weight_is_null(spark):
     df = spark.createDataFrame([(5.0, 0.0), (None, 3.0)], "v double, w double")
     assert df.agg(weighted_mean(F.col("v"), F.col("w")).alias("m")).first().m is None

@@ -7,11 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalogue.oracle import statements
+from catalogue.queries import callables
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = callables()
+SQL = statements()
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
@@ -31,6 +33,7 @@ def comparable(rows, names):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -90,11 +90,54 @@ def test_unlisted_runs_are_dropped_on_request(spark, store):
     assert sorted(map(tuple, store.read_current("ritten_detail").select("stuurtabel_id", "id").collect())) == before
 
 
-def test_types_that_differ_between_syncs_are_widened(spark, store):
-    for version, kind in (("1", "int"), ("2", "double")):
-        store.write_version("ritten_detail", spark.createDataFrame([(int(version), 7)], "stuurtabel_id int, v int").withColumn("v", F.col("v").cast(kind)), version)
-    rows = store.read_current("ritten_detail", {1: {"ritten_detail": "1"}, 2: {"ritten_detail": "2"}})
-    assert dict(rows.dtypes)["v"] == "double" and rows.count() == 2
+def test_types_that_differ_between_syncs_fit_together(spark, store):
+    for version, kind in (("1", "int"), ("2", "double"), ("3", "string")):
+        rows = spark.createDataFrame([(int(version), 7, version)], "stuurtabel_id int, v int, perceel string")
+        store.write_version("ritten_detail", rows.withColumn("v", F.col("v").cast(kind)), version)
+    rows = store.read_current("ritten_detail", {run: {"ritten_detail": str(run)} for run in (1, 2, 3)})
+    kinds = dict(rows.dtypes)
+    assert (kinds["v"], kinds["perceel"], kinds["stuurtabel_id"]) == ("string", "double", "bigint")
+    assert sorted((row.stuurtabel_id, row.v, row.perceel) for row in rows.collect()) == [(1, "7", 1.0), (2, "7.0", 2.0), (3, "7", 3.0)]
+    # one scan, however many versions
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def changing_source(spark, runs, kind):
+    """Source whose first result column has another type from sync to sync."""
+    read = source(spark, runs)
+    value = F.when(F.col("Id") % 2 == 1, "niet ok").otherwise("ok") if kind == "string" else F.col("Resultaat_1")
+    return lambda table: read(table).withColumn("Resultaat_1", value) if table == "gecontroleerdeRittenDetail" else read(table)
+
+
+def test_a_result_that_changes_its_type_does_not_block_later_syncs(spark, store):
+    sync.sync_client(store, changing_source(spark, [1, 3], "string"), DAY)
+    second = sync.sync_client(store, changing_source(spark, [3, 5], "int"), DAY.replace(day=2)).first()
+    assert second.message == "Sync completed"
+    found = {(row.stuurtabel_id, row.resultaat_1) for row in store.read_current("ritten_detail").collect()}
+    assert found == {(3, "ok"), (3, "niet ok"), (5, "0"), (5, "1")}
+    third = sync.sync_client(store, changing_source(spark, [5], "int"), DAY.replace(day=3)).first()
+    assert third.expired_ids == [3]
+    assert {(row.stuurtabel_id, row.resultaat_1) for row in store.read_history("ritten_detail").collect()} == {
+        ("1", "ok"), ("1", "niet ok"), ("3", "ok"), ("3", "niet ok")
+    }
+    flags = store.read_current("ritten_controls_long").where("controle_id = 1").select("resultaat", "is_deviation").collect()
+    assert {(row.resultaat, row.is_deviation) for row in flags} == {("0", False), ("1", True)}
+
+
+def test_a_run_that_appears_during_a_sync_is_fetched_by_the_next(spark, store):
+    read, reads = source(spark, [1, 3, 5]), []
+
+    def growing(table):
+        rows = read(table)
+        if table == "stuurtabel2_last":
+            reads.append(table)
+            return rows.where("StuurtabelId < 5") if len(reads) == 1 else rows
+        return rows
+
+    first = sync.sync_client(store, growing, DAY).first()
+    assert len(reads) == 1 and first.current_ids == [1, 3] and runs_of(store.manifest()) == [1, 3]
+    second = sync.sync_client(store, growing, DAY.replace(day=2)).first()
+    assert second.new_ids == [5] and runs_of(store.read_current("ritten_detail")) == [1, 3, 5]
 
 
 def test_history_partitions(spark, store):

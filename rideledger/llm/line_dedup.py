@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rideledger.llm.cluster import settled
+from rideledger.llm.marks import marked
 
 EDITS = 1
 MIN_CHARS = 20
@@ -54,20 +55,6 @@ def _halves(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("n") >= MIN_CHARS).select(F.explode(F.array(*ends)).alias("end"), "h")
 
 
-def _of_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that may have one of the keys (doc_id, tie), chosen before anything is shuffled.
-
-    The keys are marked in a bitmap of 2^23 bits, one row for 64 of them, which is broadcast: at
-    most 131,072 rows of two numbers, whatever the input. Where it fills up, more rows pass.
-    """
-    place = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 23))
-    marked = keys.select(place.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
-    )
-    tagged = docs.withColumn("bit", place).withColumn("word", F.expr("bit div 64"))
-    return tagged.join(F.broadcast(marked), "word").where("bit_get(bits, bit % 64) = 1").drop("word", "bit", "bits")
-
-
 def _variants(lines: DataFrame) -> DataFrame:
     """(h, g, variant, place): texts with at most one character deleted, hashed.
 
@@ -107,7 +94,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     hashes = ends.join(shared, "end", "left_semi").select("h").distinct()
     open_ = settled(groups.join(hashes, "h", "left_semi").drop("times"))
     texts = settled(
-        _of_documents(docs, open_).join(open_.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+        marked(docs, open_, ["doc_id", "tie"]).where("_marked").join(open_.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
         .select("h", "g", F.struct("doc_id", "tie", "place").alias("first"), F.element_at(F.split("text", "\n"), F.col("place") + 1).alias("line"))
         .dropDuplicates(["h", "g"])
         .withColumn("n", F.char_length("line"))
@@ -131,11 +118,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("near", F.lit(True))
     )
-    marked = groups.join(near, ["h", "g"], "left").where("times > 1 or near").select(
+    going_on = groups.join(near, ["h", "g"], "left").where("times > 1 or near").select(
         "h", "g", F.struct("doc_id", "tie", "place").alias("first"), F.coalesce("near", F.lit(False)).alias("near")
     )
     going = F.col("near") | ~F.struct("doc_id", "tie", "place").eqNullSafe(F.col("first"))
-    return occurrences.join(marked, ["h", "g"]).where(going).select("doc_id", "tie", "place")
+    return occurrences.join(going_on, ["h", "g"]).where(going).select("doc_id", "tie", "place")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Writing: every page becomes a WARC/1.1 record with its HTTP response as block. Of pages with equal
 payloads of at least ``REVISIT_BYTES``, the one with the largest id keeps the payload and the
-others become revisit records that refer to it. Spark's text writer writes the archives: the
+others become revisit records that refer to it; other pages are written where they are read. Spark's text writer writes the archives: the
 two line breaks that end a record are its line separator.
 
 Reading: archives are read as whole files and parted by Content-Length alone, payload digests are
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.llm.cluster import new_folder, settled, ship
+from rideledger.llm.marks import marked
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 4096
@@ -68,7 +69,10 @@ def records(pages: DataFrame) -> DataFrame:
         held.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("times"))
         .where("times > 1 and keeper is not null").select("digest", "keeper")
     )
-    met = held.join(shared, "digest", "left")
+    # Only pages that may have an equal are shuffled.
+    told = marked(held, shared, ["digest"])
+    alone = told.where("not _marked").withColumn("keeper", F.lit(None).cast("bigint"))
+    met = told.where("_marked").join(shared, "digest", "left").unionByName(alone).drop("_marked")
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False))
     met = met.withColumn("again", again)
     http = _lines(

@@ -127,6 +127,18 @@ DEVIATION_WORDS = r"afwijk|deviat|niet|fout|overschrij"
 RESULT_COLUMN = r"^resultaat_(\d+)$"
 LOCATION_CODE = r"^\d{5}\s+"
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
+DUTCH_DATE_TEXT = r"^(\d{2})-(\d{2})-(\d{4})$"
+TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+CLOCK_TEXT = r"^\d{1,2}:\d{2}$"
+PLAIN_NUMBER_TEXT = r"^-?\d+(\.\d+)?$"
+TIME_AT_END = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?$"
+WORD_BREAK = r"([a-z0-9])([A-Z])"
+NOT_IN_NAMES = r"[^a-zA-Z0-9]+"
+
+# Parts of names of columns that hold times.
+TIME_NAME_PART = "tijd"
+TIME_NAME_START = "netto_"
+TIME_NAME_ENDS = ("_uitstap", "_instap", "_start")
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 # Every character that counts as white space at the ends of a text.

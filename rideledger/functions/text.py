@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from rideledger.fixed_values import (
     CLOCK_COLUMNS,
+    CLOCK_TEXT,
     DATE_FORMAT,
+    DATE_TEXT,
     DEVIATION_WORDS,
+    DUTCH_DATE_TEXT,
     LOCATION_CODE,
+    PLAIN_NUMBER_TEXT,
     TIME_FORMAT,
+    TIME_NAME_ENDS,
+    TIME_NAME_PART,
+    TIME_NAME_START,
     TIMESTAMP_FORMAT,
+    TIMESTAMP_TEXT,
     TRUTHY,
     WHITE_SPACE,
 )
@@ -60,7 +68,7 @@ def minutes_label(minutes: Column) -> Column:
 
 
 def is_time_like(name: str) -> bool:
-    return "tijd" in name or name.startswith("netto_") or name.endswith(("_uitstap", "_instap", "_start"))
+    return TIME_NAME_PART in name or name.startswith(TIME_NAME_START) or name.endswith(TIME_NAME_ENDS)
 
 
 def plain_number(value: Column) -> Column:
@@ -94,11 +102,11 @@ def cell(name: str, kind: str, value: Column) -> Column:
 def _text_cell(name: str, value: Column) -> Column:
     text = strip(value)
     stamp = F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    day = F.when(text.rlike(DATE_TEXT), F.try_to_date(text, "yyyy-MM-dd"))
     shape = DATE_FORMAT if name == "datum" else TIME_FORMAT if name in CLOCK_COLUMNS else TIMESTAMP_FORMAT
     rest = F.substring(value, 1, 5) if is_time_like(name) else value
     return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.date_format(stamp, shape)),
+        F.when(text.rlike(TIMESTAMP_TEXT), F.date_format(stamp, shape)),
         F.date_format(day, DATE_FORMAT),
         rest,
     )
@@ -115,14 +123,14 @@ def sort_key(text: Column) -> Column:
     kind compare by value; a column that mixes kinds is ordered by kind first.
     """
     value = F.coalesce(strip(text), F.lit(""))
-    day = F.regexp_extract(value, r"^(\d{2})-(\d{2})-(\d{4})$", 0)
-    turned = F.regexp_replace(value, r"^(\d{2})-(\d{2})-(\d{4})$", "$3-$2-$1")
+    day = F.regexp_extract(value, DUTCH_DATE_TEXT, 0)
+    turned = F.regexp_replace(value, DUTCH_DATE_TEXT, "$3-$2-$1")
     dutch = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\.", ""), "^([^,]*),", "$1."), "^([^%]*)%", "$1")
     kind = (
         F.when(value == "", 0)
-        .when((day != "") | value.rlike(r"^\d{4}-\d{2}-\d{2}$"), 1)
-        .when(value.rlike(r"^\d{1,2}:\d{2}$"), 2)
-        .when(dutch.rlike(r"^-?\d+(\.\d+)?$"), 3)
+        .when((day != "") | value.rlike(DATE_TEXT), 1)
+        .when(value.rlike(CLOCK_TEXT), 2)
+        .when(dutch.rlike(PLAIN_NUMBER_TEXT), 3)
         .otherwise(4)
     )
     return F.struct(

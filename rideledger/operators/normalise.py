@@ -8,7 +8,17 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.fixed_values import ALIASES, DATE_COLUMNS, DATE_TEXT, NUMBER_COLUMNS, RUN_ID_NAMES, TIME_COLUMNS
+from rideledger.fixed_values import (
+    ALIASES,
+    DATE_COLUMNS,
+    DATE_TEXT,
+    NOT_IN_NAMES,
+    NUMBER_COLUMNS,
+    RUN_ID_NAMES,
+    TIME_AT_END,
+    TIME_COLUMNS,
+    WORD_BREAK,
+)
 from rideledger.functions.numeric import number
 from rideledger.functions.text import as_text, truthy
 from rideledger.registry import RUN
@@ -19,8 +29,8 @@ AMOUNTS = ("bedrag_ex_btw", "perceel")
 
 def snake_case(name: str) -> str:
     """``BedragExBTW`` to ``bedrag_ex_btw``; digits are not split off from letters before them."""
-    split = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
-    return re.sub(r"[^a-zA-Z0-9]+", "_", split).strip("_").lower()
+    split = re.sub(WORD_BREAK, r"\1_\2", name)
+    return re.sub(NOT_IN_NAMES, "_", split).strip("_").lower()
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def coerce_types(df: DataFrame, dates: list[str], numbers: list[str]) -> DataFra
 
 
 def _seconds(df: DataFrame, name: str) -> Column:
-    text = F.regexp_extract(F.col(name).cast("string"), r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?$", 0)
+    text = F.regexp_extract(F.col(name).cast("string"), TIME_AT_END, 0)
     parts = F.split(F.split(text, r"\.")[0], ":")
     second = F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0))
     return F.when(text != "", parts[0].try_cast("int") * 3600 + F.get(parts, F.lit(1)).try_cast("int") * 60 + second)

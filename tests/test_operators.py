@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rideledger.operators.count import measure_controls, only_run, summary
-from rideledger.operators.detail import Detail, ordering
+from rideledger.functions.predicates import nonzero
+from rideledger.operators.detail import Detail, sorted_rows
 from rideledger.operators.matrix import zero_filled
-from rideledger.operators.rank import position_in_group
 from rideledger.operators.unpivot import control_rows
+from rideledger.plans.export import export_bundle, sheet_lines
 
 
 def test_unpivot_keeps_results_and_texts(spark):
@@ -33,21 +34,6 @@ def test_unpivot_without_controls_is_empty(spark):
     assert control_rows(spark.createDataFrame([(1,)], "id int"), "rit").count() == 0
 
 
-def test_position_in_group_equals_sorting(spark):
-    # One group holds most rows, steps repeat, one group key is NULL.
-    rows = [("hot", step % 7, i) for i, step in enumerate(range(500))] + [("cold", 3, 1), ("cold", 1, 2), (None, 5, 9), (None, 5, 4)]
-    df = spark.createDataFrame(rows, "g string, t int, i int")
-    got = position_in_group(df, ["g"], "t", ordering(["i"])).collect()
-    expected = {}
-    groups = defaultdict(list)
-    for g, t, i in rows:
-        groups[g].append((t, i))
-    for g, members in groups.items():
-        for place, (t, i) in enumerate(sorted(members), start=1):
-            expected[(g, t, i)] = place
-    assert {(row.g, row.t, row.i): row["index"] for row in got} == expected
-
-
 def test_pages_add_up_to_the_sorted_listing(spark):
     df = spark.createDataFrame([(i % 5, i % 3, i) for i in range(53)] + [(None, 1, 99)], "a int, b int, c int")
     detail = Detail(df, ["-a", "b"])
@@ -86,3 +72,48 @@ def test_measures_follow_the_columns_there_are(spark, column, expected):
 def test_text_results_are_tolerated(spark):
     df = spark.createDataFrame([(1, "1"), (1, "n.v.t."), (1, "0")], "stuurtabel_id int, resultaat_9 string")
     assert measure_controls(df, "ritten_detail").first().total_deviations == 1
+
+
+def test_total_of_pages(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "stuurtabel_id int, v string")
+    assert {tuple(row) for row in Detail(df, ["v"]).total().collect()} == {(1, 2), (2, 1)}
+    assert Detail(df, ["v"]).total(by=()).first().total_rows == 3
+
+
+def test_sorted_by_several_displayed_columns(spark):
+    shown = ["10-01-2024", "", "2,5%", "1.000", "9:05", "10:00", "b", "A", None, "2023-12-31", "b"]
+    df = spark.createDataFrame([(i, text, str(i % 2)) for i, text in enumerate(shown)], "i int, t string, u string")
+    up = [row.t for row in sorted_rows(df, [("t", True)], "i").orderBy("place").collect()]
+    assert up == ["", None, "2023-12-31", "10-01-2024", "9:05", "10:00", "2,5%", "1.000", "A", "b", "b"]
+    down = [(row.t, row.i) for row in sorted_rows(df, [("t", False)], "i").orderBy("place").collect()]
+    assert [text for text, _ in down] == ["b", "b", "A", "1.000", "2,5%", "10:00", "9:05", "10-01-2024", "2023-12-31", "", None]
+    assert down[:2] == [("b", 6), ("b", 10)]  # alike: in the order they stood in
+    both = [row.i for row in sorted_rows(df, [("u", False), ("t", True)], "i").orderBy("place").collect()]
+    assert both[:5] == [1, 9, 5, 3, 7] and len(both) == len(shown)
+
+
+def test_nan_is_no_deviation(spark):
+    df = spark.createDataFrame([(float("nan"),), (0.0,), (2.0,), (None,)], "resultaat_9 double")
+    assert [row.d for row in df.select(nonzero(df, "resultaat_9").alias("d")).collect()] == [False, False, True, False]
+    rows = control_rows(df, "rit").collect()
+    assert sorted((row.resultaat, row.is_deviation) for row in rows) == [("0.0", False), ("2.0", True)]
+
+
+def test_lines_are_quoted_numbered_and_headed(spark):
+    df = spark.createDataFrame([(1, "a;b", 'say "x"'), (1, "c", "d"), (2, "line\nbreak", None)], "stuurtabel_id int, v string, w string")
+    lines = {(row.stuurtabel_id, row.row_no): row.line for row in sheet_lines(Detail(df, ["-v"]), ["V", "W;X"], 9).collect()}
+    assert lines == {
+        (1, 0): 'V;"W;X"', (1, 1): "c;d", (1, 2): '"a;b";"say ""x"""', (2, 0): 'V;"W;X"', (2, 1): '"line\nbreak";'
+    }
+
+
+def test_sheets_come_from_the_dataset_of_the_runs_transport(spark):
+    kinds = "stuurtabel_id int, id int, resultaat_2 int, tekst_2 string, resultaat_1001 int, tekst_1001 string"
+    details = {
+        "ritten_detail": spark.createDataFrame([(1, 10, 1, "rg", 0, None), (2, 11, 1, "lost", 0, None)], kinds),
+        "va_ritten_detail": spark.createDataFrame([(2, 20, 1, "va", 1, "va"), (1, 21, 1, "lost", 1, "lost")], kinds),
+        "routes_detail": spark.createDataFrame([], kinds),
+    }
+    executed = spark.createDataFrame([(1, 2, "RG"), (2, 2, " va "), (2, 1001, "VA")], "stuurtabel_id int, control_id int, soortvervoer string")
+    got = export_bundle(details, executed, [2, 1001]).where("row_no > 0").collect()
+    assert sorted((row.stuurtabel_id, row.control_id, row.line.split(";")[-1]) for row in got) == [(1, 2, "rg"), (2, 2, "va"), (2, 1001, "va")]

@@ -199,8 +199,8 @@ def test_table_names_and_shared_folder(spark, tmp_path):
 
 
 def test_csv_export_keeps_order_and_headers(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "b", 2.0), (1, "a", None)], "stuurtabel_id int, kenteken string, km double")
-    write_csv(Detail(rows, ["kenteken"]), ["Kenteken", "Km"], f"{tmp_path}/csv")
+    rows = spark.createDataFrame([(1, "b", 2.0), (1, "a", None), (2, "c", 1.0)], "stuurtabel_id int, kenteken string, km double")
+    write_csv(Detail(rows, ["kenteken"]), ["Kenteken", "Km"], f"{tmp_path}/csv", 1)
     lines = [line.value for line in spark.read.text(f"{tmp_path}/csv").collect()]
     assert lines[0] == "Kenteken,Km"
     assert [line for line in lines if line != "Kenteken,Km"] == ['a,""', "b,2.0"]

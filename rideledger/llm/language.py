@@ -38,6 +38,7 @@ LEXICON = 3000
 EPOCHS = 6
 CHAIN_SEGMENTS = 4
 WORDS_AT_ONCE = 300_000
+DOCS_AT_ONCE = 2048
 _KNOWN_WORDS = 300_000
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -292,7 +293,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(at, DOCS_AT_ONCE) for whole in batches for at in range(0, max(1, whole.num_rows), DOCS_AT_ONCE)):
             found = tagger.documents(batch.column(names.index(text)).to_pylist())
             told = [pa.array([label for label, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*names, "_pred", "_score"])

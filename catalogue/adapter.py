@@ -50,7 +50,7 @@ RIDES: dict[str, str] = {
     "soortvervoer": TRANSPORT,
     "datum": "case when l_linenumber = 7 then null else cast(o_orderdate as date) end",
     # Routes are what a supplier's vehicle drives on a day, so their number grows with the suppliers.
-    "route_nummer": "concat('R', cast(l_suppkey % 5 + 10 * cast(floor((l_suppkey - 1) / 100) as bigint) as string))",
+    "route_nummer": "concat('R', cast(l_suppkey % 5 + 10 * cast(floor(l_suppkey / 100) as bigint) as string))",
     "kenteken": "case when l_partkey % 13 = 0 then null when l_partkey % 11 = 0 then '00-00-00' "
     "when l_partkey % 17 = 0 then '  ' else concat('NL-', lpad(cast(l_partkey % 40 as string), 3, '0')) end",
     "klant_nummer": "o_custkey",

@@ -17,7 +17,7 @@ from catalogue.adapter import (
     VA_RIDES,
     sql_views,
 )
-from catalogue.queries import DIGITS, GENERIC, RESULT_TEXT, SHEETS, SHOWN_TEXT, generic_dataset
+from catalogue.queries import AMOUNT_DIGITS, DIGITS, GENERIC, RESULT_TEXT, SHEETS, SHOWN_TEXT, generic_dataset
 from rideledger.fixed_values import CONTROL_DATASET, CONTROLS, DEVIATION_WORDS, REPORT_COLUMNS, STACKED_LABELS
 
 R = "stuurtabel_id"
@@ -720,7 +720,7 @@ def statements() -> dict[str, str]:
     plain["deviations_per_vervoerder"] = f"""SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) AS entities FROM {LONG_RIDES}
         WHERE is_deviation GROUP BY 1, 2"""
     flagged = " OR ".join(nonzero(int(name.split("_")[1])) for name in RG_COLUMNS if name.startswith("resultaat_"))
-    plain["deviation_amount"] = f"""SELECT {R}, ROUND(COALESCE(SUM(CASE WHEN {flagged} THEN bedrag_ex_btw END), 0), {DIGITS})
+    plain["deviation_amount"] = f"""SELECT {R}, ROUND(COALESCE(SUM(CASE WHEN {flagged} THEN bedrag_ex_btw END), 0), {AMOUNT_DIGITS})
         AS deviation_amount FROM ritten_detail GROUP BY 1"""
     plain["history_dedupe"] = """SELECT entity_id, controle_id, resultaat, synced_at, stuurtabel_id FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY stuurtabel_id, entity_id, controle_id ORDER BY synced_at DESC) AS place FROM (

@@ -52,13 +52,15 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: bind(build) for name, build in QUERIES.items()}
 
 
-# Sums of doubles differ in their last digits from engine to engine; results are compared to so many decimals.
-DIGITS = 6
+# Sums of doubles differ in their last digits from engine to engine; results are compared to so many decimals:
+# more than a mean of cents over a few rides has, and for amounts more than the two they have.
+DIGITS = 9
+AMOUNT_DIGITS = 4
 
 
-def rounded(result: DataFrame | Detail, *names: str) -> DataFrame:
+def rounded(result: DataFrame | Detail, name: str, digits: int = DIGITS) -> DataFrame:
     rows = result.listing() if isinstance(result, Detail) else result
-    return rows.withColumns({name: F.round(name, DIGITS) for name in names})
+    return rows.withColumn(name, F.round(name, digits))
 
 
 # Input sets.
@@ -620,7 +622,7 @@ def _kentallen_backfill(star: Star) -> DataFrame:
 
 
 add("deviations_per_vervoerder", lambda star: dashboard.deviations_per_carrier(_longs(star)["ritten_detail"]))
-add("deviation_amount", lambda star: rounded(dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])), "deviation_amount"))
+add("deviation_amount", lambda star: rounded(dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])), "deviation_amount", AMOUNT_DIGITS))
 
 
 @query("history_dedupe")

@@ -190,19 +190,32 @@ def stacked_matrix(rides: DataFrame, control: int, by: Sequence[str] = PER_RUN)
     return Detail(stacked, [f"-{kind}", dimension, "category"])
 
 
+# A wide matrix has a column for every category; more than this many are no report any more.
+MOST_HEADS = 200
+
+
 def categories(matrix: DataFrame, column: str) -> list[str]:
-    """Column heads of a wide matrix: the distinct categories, sorted."""
-    return [row[0] for row in matrix.select(column).distinct().orderBy(column).collect()]
+    """Column heads of a wide matrix: the distinct categories, sorted; refused if they are too many."""
+    heads = [row[0] for row in matrix.select(column).distinct().limit(MOST_HEADS + 1).collect()]
+    if len(heads) > MOST_HEADS:
+        raise ValueError(f"more than {MOST_HEADS} different values of {column}")
+    return sorted(heads)
 
 
 def wide_matrix(
-    matrix: DataFrame, keys: Sequence[str], column: str, values: Mapping[str, str], total: str = "total"
+    matrix: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    values: Mapping[str, str],
+    total: str = "total",
+    heads: Sequence[str] | None = None,
 ) -> DataFrame:
     """A long matrix with one column per category and value, and the row total last.
 
-    ``values`` maps a value column to the suffix of its wide columns.
+    ``values`` maps a value column to the suffix of its wide columns. Give the ``heads`` where they are known;
+    else a job looks them up first.
     """
-    heads = categories(matrix, column)
+    heads = categories(matrix, column) if heads is None else heads
     cells = [
         F.coalesce(F.max(F.when(F.col(column) == head, F.col(value))), F.lit(0)).alias(f"{head} {suffix}".strip())
         for head in heads

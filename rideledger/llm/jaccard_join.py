@@ -47,7 +47,7 @@ FREQUENCY_SAMPLE = 32_768
 FREQUENT = 1 << 19
 BITMAP_WORDS = 8
 FILTER_BITS = 26
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 

@@ -39,7 +39,7 @@ EPOCHS = 6
 CHAIN_SEGMENTS = 4
 WORDS_AT_ONCE = 300_000
 DOCS_AT_ONCE = 2048
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 150_000
 _RUN = re.compile(r"[^\W\d_]+")
 
 

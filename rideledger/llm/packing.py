@@ -30,7 +30,7 @@ END = 1
 SHARD_DOCS = 1024
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-_KEPT = 400_000
+_KEPT = 300_000
 _TOKENS: dict[str, TokenIds] = {}
 
 

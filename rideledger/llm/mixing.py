@@ -7,9 +7,10 @@ the others by weight until none is above.
 Schedule: a slot for every ``block`` words of the mix. Slot i takes the golden-ratio point
 ``i * 2654435769 mod 2^32`` through the cumulative targets to a source, so that every stretch
 of the schedule is mixed alike; its rank among the slots of its source says which block it plays.
-Blocks hold equal numbers of words (the last of a source is shorter) of the source's documents
-in shuffled order; ranks beyond the last block begin the next epoch. Slots and blocks are
-joined on (source, block).
+The blocks of a source are equal parts of its target, of about ``block`` words, so it gets its target
+(rounded to words) at every size; a source that no point meets plays its target in one slot, chosen by hash.
+Blocks lie one behind the other in the source's documents in shuffled order, which begin
+anew with every epoch. Blocks and documents are joined on (source, cell of ``block`` words).
 
 Work at scale: positions within a source are prefix sums in two steps, over ranges of the
 shuffle hash and within a range, and ranks of slots likewise over stretches of the schedule, so no
@@ -73,13 +74,17 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
-    """(slot, source, block, epoch): what every slot of the mix plays."""
+    """What every slot of the mix plays: (slot, source, block, epoch, first, last, source_size).
+
+    ``block`` counts the blocks of a source over all epochs, ``epoch`` is the one it begins in, and its words
+    are those from ``first`` up to ``last`` of the source's documents, read as often as needed.
+    """
     whole = 1 << 32
+    slots = -(-total // block)
     ordered = Window.orderBy(F.asc_nulls_last("source"))
     mark = F.floor(F.sum("target").over(ordered) / F.sum("target").over(Window.partitionBy()) * float(whole))
-    arcs = goals.where("target > 0").withColumns(
-        {"high": mark, "blocks": F.ceil(F.col("source_size") / F.lit(block)).cast("bigint")}
-    ).withColumns(
+    goal = F.round("target").cast("bigint")
+    arcs = goals.where("target > 0").withColumns({"high": mark, "goal": goal}).withColumns(
         {
             "low": F.coalesce(F.lag("high").over(ordered), F.lit(0)),
             "high": F.when(F.lead("high").over(ordered).isNull(), F.lit(whole)).otherwise(F.col("high")),
@@ -87,24 +92,33 @@ def schedule(goals: DataFrame, total: int, block: int) -> DataFrame:
     )
     # Points meet arcs by equal cells of the circle; an arc lies in each cell it touches.
     cells = arcs.where("low < high").select(
-        "source", "blocks", "low", "high", F.explode(F.expr(f"sequence(low div {CELL}, (high - 1) div {CELL})")).alias("cell")
+        "source", "source_size", "goal", "low", "high", F.explode(F.expr(f"sequence(low div {CELL}, (high - 1) div {CELL})")).alias("cell")
     )
-    points = goals.sparkSession.range(-(-total // block)).select(
+    points = goals.sparkSession.range(slots).select(
         F.col("id").alias("slot"), F.expr(f"id div {STRETCH}").alias("stretch"), F.expr(f"(id % {whole}) * {GOLDEN} % {whole}").alias("point")
     )
     drawn = points.withColumn("cell", F.expr(f"point div {CELL}")).join(cells, "cell").where("low <= point and point < high")
-    drawn = drawn.select("slot", "stretch", "source", "blocks")
+    drawn = drawn.select("slot", "stretch", "source", "source_size", "goal")
     counts = drawn.groupBy("stretch", "source").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("n").over(before), F.lit(0))
-    counts = counts.select(F.col("stretch").alias("_stretch"), F.col("source").alias("_source"), base.alias("base"))
+    blocks = F.sum("n").over(Window.partitionBy("source"))
+    counts = counts.select(F.col("stretch").alias("_stretch"), F.col("source").alias("_source"), base.alias("base"), blocks.alias("blocks"))
     inner = F.row_number().over(Window.partitionBy("stretch", "source").orderBy("slot")) - 1
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("stretch") == F.col("_stretch"))
-    ranked = drawn.withColumn("inner", inner).join(counts, same).withColumn("rank", F.col("base") + F.col("inner"))
-    # A rank beyond the last epoch plays nothing, so that no document is taken more often than that.
-    return ranked.select("slot", "source", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("epoch")).where(
-        F.col("epoch") < EPOCHS
+    ranked = drawn.withColumn("inner", inner).join(counts, same).select(
+        "slot", "source", (F.col("base") + F.col("inner")).alias("block"), "blocks", "source_size", "goal"
     )
+    # Sources of less than a block can lie between all points.
+    missed = arcs.join(counts.select("_source").distinct(), F.col("source").eqNullSafe(F.col("_source")), "left_anti").select(
+        F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(slots)).alias("slot"), "source",
+        F.lit(0).cast("bigint").alias("block"), F.lit(1).cast("bigint").alias("blocks"), "source_size", "goal",
+    )
+    # floor(block * goal / blocks), without the large product
+    first = F.expr("block * (goal div blocks) + block * (goal % blocks) div blocks")
+    last = F.expr("(block + 1) * (goal div blocks) + (block + 1) * (goal % blocks) div blocks")
+    played = ranked.unionAll(missed).withColumns({"first": first, "last": last}).where("first < last")
+    return played.select("slot", "source", "block", F.expr("first div source_size").alias("epoch"), "first", "last", "source_size")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -124,11 +138,21 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     goals = targets(sizes)
     total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, min(MOST_BLOCK, -(-total // SLOTS)))
-    cut = _placed(rows).withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
-    slots = schedule(goals, total, block).withColumnsRenamed({"source": "_source", "block": "_block"})
-    parts = cut.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-    first = F.greatest(F.lit(0), F.col("block") * block - F.col("begin"))
-    last = F.least("size", (F.col("block") + 1) * block - F.col("begin"))
+    cut = _placed(rows).withColumn("cell", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
+    turns = schedule(goals, total, block).select(
+        "slot", F.col("source").alias("_source"), "first", "last", "source_size",
+        F.explode(F.expr("sequence(first div source_size, (last - 1) div source_size)")).alias("epoch"),
+    )
+    # Words of the source, from 0 in every epoch.
+    start = F.col("epoch") * F.col("source_size")
+    turns = turns.select(
+        "slot", "_source", "epoch", F.greatest(F.lit(0), F.col("first") - start).alias("from"), F.least("source_size", F.col("last") - start).alias("to")
+    )
+    turns = turns.withColumn("_cell", F.explode(F.expr(f"sequence(`from` div {block}, (`to` - 1) div {block})")))
+    parts = cut.join(turns, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell")))
+    first = F.greatest(F.lit(0), F.col("cell") * block - F.col("begin"), F.col("from") - F.col("begin"))
+    last = F.least(F.col("size"), (F.col("cell") + 1) * block - F.col("begin"), F.col("to") - F.col("begin"))
+    parts = parts.where(first < last)
     parts = parts.select("slot", "epoch", "source", "doc_id", "tie", "size", "begin", first.alias("first"), (last - first).alias("n"))
     return rows, goals, parts
 

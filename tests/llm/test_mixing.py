@@ -97,6 +97,28 @@ def test_mixture_is_what_is_taken(spark):
     assert dict(words) == {row.doc_id: row.taken for row in taken(df).collect() if row.taken}
 
 
+def test_targets_are_met_by_sources_of_less_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    sizes = {"big": 3000, "tiny": 1, "small": 20, "less than a block": 300, None: 460, "other": 2000}
+    rows, key = [], 0
+    for name, size in sizes.items():
+        while size:
+            n = min(size, 37)
+            rows.append((key, " ".join(f"w{key}x{i}" for i in range(n)), name, 0, "x", "y"))
+            key, size = key + 1, size - n
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    total = sum(sizes.values())
+    assert -(-total // mixing.SLOTS) > 700
+    want, sums = filled(sizes), defaultdict(int)
+    for row in taken(df).collect():
+        sums[rows[row.doc_id][2]] += row.taken
+        full = row.target // row.source_size
+        assert full * row.size <= row.taken <= (full + 1) * row.size
+    assert {name: abs(sums[name] - value) <= 0.5 + 1e-6 for name, value in want.items()} == dict.fromkeys(sizes, True)
+    words = Counter(word for row in mixture(df).collect() for word in row.text.split())
+    assert sum(words.values()) == sum(sums.values()) and max(words.values()) <= 3
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, "a b c d", "s", 0, "", "")] * 5 + [(2, "e f", "t", 0, "", "")]
     got = taken(spark.createDataFrame(rows, SCHEMA))

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 class Licence(NamedTuple):
     label: str
-    #: Short identifier and title as patterns over words in lower case, parted by single spaces.
+    #: Short identifier (empty if another entry has it) and title as patterns over words in lower case, parted by single spaces.
     short: str
     title: str
     #: Words that every text matching the title contains.
@@ -69,7 +69,8 @@ LICENCES = [
     Licence("ofl-1.1", "ofl 1 1", "sil open font" + VERSION + "1 1", "open font", "scripts sil org ofl"),
     Licence("ms-pl", "ms pl", "microsoft public licen[cs]e", "microsoft public", "opensource org licenses ms pl"),
     Licence("odbl-1.0", "odbl 1 0", "open database" + VERSION + "1(?: 0)?", "open database", "opendatacommons org licenses odbl"),
-    Licence("cc0-1.0", "cc0(?: 1 0)?", "(?:creative commons zero|cc0)(?: 1 0)?(?: universal)?", "cc0", "creativecommons org publicdomain zero"),
+    Licence("cc0-1.0", "cc0(?: 1 0)?", "cc0(?: 1 0)?(?: universal)?", "cc0", "creativecommons org publicdomain zero"),
+    Licence("cc0-1.0", "", "creative commons zero(?: 1 0)?(?: universal)?", "creative commons zero"),
     Licence("cc-by-1.0", "cc by 1 0", CC + " 1 0", CC, "creativecommons org licenses by 1 0"),
     Licence("cc-by-2.0", "cc by 2 0", CC + " 2 0", CC, "creativecommons org licenses by 2 0"),
     Licence("cc-by-3.0", "cc by 3 0", CC + " 3 0", CC, "creativecommons org licenses by 3 0"),
@@ -110,9 +111,10 @@ def rules() -> list[Rule]:
     made = list(SIGNATURES)
     for place, licence in enumerate(LICENCES):
         step = place / 1000  # specific licences stand before general ones
-        made.append(Rule(1 + step, licence.label, "spdx license identifier", f"spdx license identifier {licence.short}"))
         made.append(Rule(2 + step, licence.label, licence.keyword, f"{GRANT}{licence.title}"))
-        made.append(Rule(3 + step, licence.label, licence.short.split("(")[0], f"{GRANT}{licence.short}(?: licen[cs]e)?"))
+        if licence.short:
+            made.append(Rule(1 + step, licence.label, "spdx license identifier", f"spdx license identifier {licence.short}"))
+            made.append(Rule(3 + step, licence.label, licence.short.split("(")[0], f"{GRANT}{licence.short}(?: licen[cs]e)?"))
         made.append(Rule(4 + step, licence.label, licence.keyword, licence.title))
         if licence.address:
             made.append(Rule(5 + step, licence.label, licence.address, f"(?:www )?{licence.address}(?: html| txt)?"))

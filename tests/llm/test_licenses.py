@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import product
 
 import pytest
 
@@ -74,6 +75,43 @@ def test_gates_hold_for_every_rule():
         assert any(gate.strip() in held or gate.strip() in rule.keyword for gate in GATES), rule
 
 
+def wordings(parsed):
+    """Texts that a parsed pattern matches, with every alternative, option and letter of a class."""
+    parts = []
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            parts.append([chr(value)])
+        elif kind == "NOT_LITERAL" or kind == "ANY":
+            parts.append(["q"])
+        elif kind == "IN":
+            parts.append([chr(each) for _, each in value])
+        elif kind == "SUBPATTERN":
+            parts.append(wordings(value[-1]))
+        elif kind == "BRANCH":
+            parts.append([text for branch in value[1] for text in wordings(branch)])
+        else:
+            least, _, inner = value
+            assert kind in ("MAX_REPEAT", "MIN_REPEAT")
+            parts.append(sorted({text * n for text in wordings(inner) for n in {least, max(1, least)}}))
+    return ["".join(each) for each in product(*parts)]
+
+
+def test_every_wording_holds_keyword_and_gate():
+    for rule in rules():
+        for text in wordings(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text)
+            assert rule.keyword in text, rule
+            assert any(gate in f" {text} " for gate in GATES), rule
+
+
+def test_cc0_by_its_name(spark):
+    rows = [(1, "Creative Commons Zero 1.0 Universal"), (2, "Licensed under Creative Commons Zero"), (3, "creative commons zero, v1.0 universal"), (4, "CC0 1.0")]
+    got = summary(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(row.labels, round(row.score * row.n_words)) for row in got] == [("cc0-1.0", 6), ("cc0-1.0", 5), ("cc0-1.0", 3), ("cc0-1.0", 3)]
+    assert [tuple(row)[:-1] + (round(row.score, 9),) for row in got] == [brute_force(*row) for row in rows]
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
 def test_whole_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")

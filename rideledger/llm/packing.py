@@ -1,11 +1,19 @@
 """Lexical retrieval packing into windows of fixed size.
 
-Documents are dealt by a hash over shards of about ``SHARD_DOCS`` documents. Every shard holds a
-BM25 inverted index over the token ids of its documents. A seed asks it with its ``QUERY_TERMS``
-heaviest terms, and the unused neighbours fill the seed's window greedily, best first. The one that
-no longer fits is cut, and its rest becomes the next seed. What a document has in whole
-windows of its own leaves as such before. So all windows of a shard are full but the last, which
-is parted into windows of powers of two and needs no padding.
+Three passes over all documents. The first makes token ids, which stay in the shared folder, and
+counts in how many documents each id stands. From these counts and the mean length the second gives
+every document a key: its ``KEY_TERMS`` heaviest BM25 terms that another document holds, heaviest first.
+In the order of these keys likes lie together, copies next to each other. Ranges of the order (splitters
+come from a sample by hash; equal keys are parted by a hash of the row) are cut into shards of
+``SHARD_DOCS`` documents. The third builds a BM25 inverted index for each shard, with the counts and
+the mean length of all documents. A seed asks it with its ``QUERY_TERMS`` heaviest terms, and the
+unused neighbours fill the seed's window greedily, best first. The one that no longer fits is cut,
+and its rest becomes the next seed. What a document has in whole windows of its own leaves as
+such before. So all windows of a shard are full but the last, which is parted into windows of
+powers of two and needs no padding.
+
+Limit: a seed meets the neighbours of its shard only. Likes whose heaviest terms differ can lie in other
+shards; the README has the measured share of nearest neighbours that lie in a seed's shard.
 
 Defined results: null text counts as empty; a document's ids are those of its text and then
 id 1, so the empty document has one id; repeated rows and ids are packed each on its own; an
@@ -15,7 +23,9 @@ empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.llm.cluster import ship
+from rideledger.llm.cluster import new_folder, ship
 
 WINDOW = 2048
 END = 1
 SHARD_DOCS = 1024
 QUERY_TERMS = 12
+KEY_TERMS = 3
+RANGE_DOCS = 8 * SHARD_DOCS
+RANGE_SAMPLES = 64
 K1, B = 1.2, 0.75
 _KEPT = 300_000
 _TOKENS: dict[str, TokenIds] = {}
@@ -115,10 +128,38 @@ def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
     return _TOKENS[path](texts)
 
 
+class Statistics(NamedTuple):
+    """Of all documents: their number, their mean length and how many hold each token id."""
+
+    count: int
+    mean: float
+    held: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        held = self.held[terms]
+        return np.log1p((self.count - held + 0.5) / (held + 0.5))
+
+
+def like_key(ids: np.ndarray, of_all: Statistics) -> int:
+    """The heaviest terms of a document that another one holds, heaviest first, as one number."""
+    terms, times = np.unique(ids, return_counts=True)
+    shared = of_all.held[terms] > 1
+    terms, times = terms[shared], times[shared]
+    weights = of_all.idf(terms) * times * (K1 + 1) / (times + K1 * (1 - B + B * len(ids) / max(of_all.mean, 1)))
+    key = 0
+    if len(weights) > KEY_TERMS:
+        heavy = weights >= np.partition(weights, -KEY_TERMS)[-KEY_TERMS]
+        terms, weights = terms[heavy], weights[heavy]
+    chosen = terms[np.lexsort((terms, -weights))[:KEY_TERMS]].tolist()
+    for term in [*chosen, *[0] * (KEY_TERMS - len(chosen))]:
+        key = key << 21 | min(term, (1 << 21) - 1)
+    return key
+
+
 class Neighbours:
-    """BM25 inverted index over the documents of a shard."""
+    """BM25 inverted index over the documents of a shard; what it knows of all documents weighs the terms."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], of_all: Statistics | None = None):
         count = len(documents)
         lengths = np.array([len(d) for d in documents], dtype=np.int64)
         owners = np.repeat(np.arange(count, dtype=np.int64), lengths)
@@ -126,8 +167,12 @@ class Neighbours:
         terms, self.owners = keys // count, keys % count
         self.terms, self.starts, held = np.unique(terms, return_index=True, return_counts=True)
         self.ends = self.starts + held
-        idf = np.repeat(np.log1p((count - held + 0.5) / (held + 0.5)), held)
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
+        if of_all is None:
+            idf, mean = np.log1p((count - held + 0.5) / (held + 0.5)), lengths.mean()
+        else:
+            idf, mean = of_all.idf(self.terms), of_all.mean
+        idf = np.repeat(idf, held)
+        norm = K1 * (1 - B + B * lengths / max(mean, 1))
         self.weights = idf * times * (K1 + 1) / (times + norm[self.owners])
         # The heaviest terms of each document; a term held by one document has no neighbour.
         place = np.repeat(np.arange(len(self.terms)), held)
@@ -150,7 +195,7 @@ class Neighbours:
         )
 
 
-def windows(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+def windows(documents: list[np.ndarray], window: int = WINDOW, of_all: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of one shard; each is a list of (document, start, length)."""
     rest: dict[int, int] = {}
     for number, ids in enumerate(documents):
@@ -159,7 +204,7 @@ def windows(documents: list[np.ndarray], window: int = WINDOW) -> Iterator[list[
             yield [(number, start, window)]
         if len(ids) > whole:
             rest[number] = whole
-    index = Neighbours(documents) if len(rest) > 1 else None
+    index = Neighbours(documents, of_all) if len(rest) > 1 else None
     unused = np.zeros(len(documents), dtype=bool)
     unused[list(rest)] = True
     waiting = iter(list(rest))
@@ -213,42 +258,124 @@ def _powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield part
 
 
+def _with_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, tie, ids, code) of every document, and a row for each task that has its counts only."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, documents, tokens = np.zeros(0, dtype=np.int64), 0, 0
+
+        def rows(doc_id: pa.Array, tie: pa.Array, ids: list, code: list, counts: list) -> pa.RecordBatch:
+            columns = [doc_id, tie, pa.array(ids, pa.binary()), pa.array(code, pa.string())]
+            columns += [pa.array([count] * len(ids), kind) for count, kind in zip(counts, (pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "ids", "code", "held", "documents", "tokens"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SHARD_DOCS):
+                part = batch.slice(start, SHARD_DOCS)
+                found = [np.append(ids, ids.dtype.type(END)) for ids in token_ids(tokenizer, part.column("text").to_pylist())]
+                more = np.bincount(np.concatenate([np.unique(ids) for ids in found]), minlength=len(held))
+                more[: len(held)] += held
+                held, documents, tokens = more, documents + len(found), tokens + sum(map(len, found))
+                yield rows(part.column("doc_id"), part.column("tie"), [ids.tobytes() for ids in found], [ids.dtype.str for ids in found], [None] * 3)
+        none = pa.nulls(1, pa.int64())
+        yield rows(none, none, [None], [None], [held.astype("<i8").tobytes(), documents, tokens])
+
+    told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("tie"))
+    return told.mapInArrow(read, "doc_id bigint, tie bigint, ids binary, code string, held binary, documents bigint, tokens bigint")
+
+
+def _statistics(rows: DataFrame) -> Statistics:
+    """Sums of the tasks' counts: one row per token id reaches the driver."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for each in batch.column("held").to_pylist():
+                held = np.frombuffer(each, "<i8")
+                terms = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(held[terms], pa.int64())], ["term", "held"])
+
+    counted = rows.where("held is not null")
+    count, tokens = counted.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    sums = counted.select("held").mapInArrow(spread, "term bigint, held bigint").groupBy("term").agg(F.sum("held").alias("held")).toArrow()
+    terms = sums.column("term").to_numpy()
+    held = np.zeros(int(terms.max(initial=0)) + 1, dtype=np.int64)
+    held[terms] = sums.column("held").to_numpy()
+    return Statistics(count, tokens / max(count, 1), held)
+
+
+def dealt(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, Statistics]:
+    """(doc_id, tie, ids, code, key, range) of every document, and the statistics of all."""
+    spark = docs.sparkSession
+    ship(spark)
+    path = new_folder(spark, "packing")
+    _with_ids(docs, tokenizer).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    of_all = _statistics(stored)
+    shared = spark.sparkContext.broadcast(of_all)
+    rows = stored.where("ids is not null").select("doc_id", "tie", "ids", "code")
+
+    def keyed(asked: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_all = shared.value
+            for batch in batches:
+                documents = zip(batch.column("ids").to_pylist(), batch.column("code").to_pylist(), strict=True)
+                keys = [like_key(np.frombuffer(ids, code), of_all) for ids, code in documents]
+                places = [bisect_right(splitters, pair) for pair in zip(keys, batch.column("tie").to_pylist(), strict=True)]
+                yield batch.append_column("key", pa.array(keys, pa.int64())).append_column("range", pa.array(places, pa.int64()))
+
+        return asked.mapInArrow(read, "doc_id bigint, tie bigint, ids binary, code string, key bigint, range bigint")
+
+    parts = max(1, -(-of_all.count // RANGE_DOCS))
+    splitters: list[tuple[int, int]] = []
+    if parts > 1:
+        step = max(1, of_all.count // (parts * RANGE_SAMPLES))
+        some = rows.where(F.pmod(F.xxhash64(F.lit("range"), "tie"), F.lit(step)) == 0)
+        sample = sorted((row.key, row.tie) for row in keyed(some, []).select("key", "tie").collect())
+        splitters = [sample[len(sample) * part // parts] for part in range(1, parts)] if sample else []
+    return keyed(rows, splitters), of_all
+
+
 def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pieces of packed sequences: document, place in it, ids (little-endian 32-bit), sequence and offset there."""
-    ship(docs.sparkSession)
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
-
-    def pack(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        documents = [np.append(ids, ids.dtype.type(END)) for ids in token_ids(tokenizer, shard.column("text").to_pylist())]
-        number = shard.column("shard")[0].as_py()
-        owners, starts, lengths, held, sequences, offsets = [], [], [], [], [], []
-        for position, pieces in enumerate(windows(documents)):
-            offset = 0
-            for owner, start, length in pieces:
-                owners.append(owner)
-                starts.append(start)
-                lengths.append(length)
-                held.append(documents[owner][start : start + length].astype("<u4").tobytes())
-                sequences.append((number << 32) + position)
-                offsets.append(offset)
-                offset += length
-        return pa.table(
-            {
-                "doc_id": shard.column("doc_id").take(pa.array(owners, pa.int64())),
-                "start": pa.array(starts, pa.int64()),
-                "length": pa.array(lengths, pa.int64()),
-                "ids": pa.array(held, pa.binary()),
-                "doc_tokens": pa.array([len(documents[owner]) for owner in owners], pa.int64()),
-                "sequence_id": pa.array(sequences, pa.int64()),
-                "offset": pa.array(offsets, pa.int64()),
-            }
-        )
-
-    dealt = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text",
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("bigint").alias("shard"),
-    )
-    return dealt.groupBy("shard").applyInArrow(
+    rows, of_all = dealt(docs, tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast(of_all)
+
+    def pack(held: pa.Table) -> pa.Table:
+        number = held.column("range")[0].as_py()
+        held = held.sort_by([("key", "ascending"), ("tie", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")])
+        made, first = [], number << 32
+        for start in range(0, held.num_rows, SHARD_DOCS):
+            made.append(_pack_shard(held.slice(start, SHARD_DOCS), first, shared.value))
+            first = made[-1].column("sequence_id")[-1].as_py() + 1
+        return pa.concat_tables(made)
+
+    return rows.groupBy("range").applyInArrow(
         pack, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     )
+
+
+def _pack_shard(shard: pa.Table, first: int, of_all: Statistics) -> pa.Table:
+    """Pieces of the documents of a shard, sequences numbered from ``first``."""
+    documents = [np.frombuffer(ids, code) for ids, code in zip(shard.column("ids").to_pylist(), shard.column("code").to_pylist(), strict=True)]
+    owners, starts, lengths, held, sequences, offsets = [], [], [], [], [], []
+    for position, pieces in enumerate(windows(documents, of_all=of_all)):
+        offset = 0
+        for owner, start, length in pieces:
+            owners.append(owner)
+            starts.append(start)
+            lengths.append(length)
+            held.append(documents[owner][start : start + length].astype("<u4").tobytes())
+            sequences.append(first + position)
+            offsets.append(offset)
+            offset += length
+    return pa.table(
+        {
+            "doc_id": shard.column("doc_id").take(pa.array(owners, pa.int64())),
+            "start": pa.array(starts, pa.int64()),
+            "length": pa.array(lengths, pa.int64()),
+            "ids": pa.array(held, pa.binary()),
+            "doc_tokens": pa.array([len(documents[owner]) for owner in owners], pa.int64()),
+            "sequence_id": pa.array(sequences, pa.int64()),
+            "offset": pa.array(offsets, pa.int64()),
+        }
+    )

@@ -9,6 +9,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from rideledger.llm import packing
 from rideledger.llm.packing import END, WINDOW, Neighbours, TokenIds, packed, windows
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -97,3 +98,36 @@ def test_windows_hold_likes():
     documents = [(rng.integers(0, 50, 300) + 1000 * (i % 4)).astype(np.uint16) for i in range(80)]
     mixed = [len({number % 4 for number, *_ in window}) for window in windows(documents)]
     assert np.mean(mixed) < 2
+
+
+def test_likes_meet_and_statistics_are_of_all(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    monkeypatch.setattr(packing, "RANGE_DOCS", 64)
+    rng = random.Random(3)
+    rows = []
+    for group in range(100):
+        own = [f"{rng.choice('bdgkmt')}{rng.choice('aeiou')}{group}x{i}" for i in range(6)]
+        rows += [(4 * group + copy, " ".join(["the", "of"] * 20 + own + [rng.choice(own)]), "s", "t") for copy in range(4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found, of_all = packing.dealt(df, PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    documents = [[*plain(tokenizer, text), END] for _, text, *_ in rows]
+    assert of_all.count == 400 and abs(of_all.mean - np.mean([len(d) for d in documents])) < 1e-9
+    held = np.zeros(len(of_all.held), dtype=int)
+    for ids in documents:
+        held[list(set(ids))] += 1
+    assert held.tolist() == of_all.held.tolist()
+    # A hash would leave four near copies in one of seven ranges once in 343 times.
+    ranges = defaultdict(list)
+    for row in found.collect():
+        ranges[row.doc_id // 4].append(row.range)
+    assert len({each for own in ranges.values() for each in own}) > 3
+    assert sum(len(set(own)) == 1 for own in ranges.values()) > 20
+    pieces = packed(df, PATH).collect()
+    assert sum(piece.length for piece in pieces) == sum(map(len, documents))
+    assert sorted(map(repr, pieces)) == sorted(map(repr, packed(df.repartition(3), PATH).collect()))
+    seen = defaultdict(int)
+    for piece in pieces:
+        seen[piece.sequence_id] += piece.length
+    assert max(seen.values()) <= WINDOW

@@ -48,6 +48,8 @@ SEPARATOR = ";"
 TRANSPORTS = ("RG", "VA")
 # Decimals of the percentage in each report summary, where not three.
 SUMMARY_DIGITS = {11: 2}
+# Decimals of mean costs in a sheet: as text the last digits of a double would differ from engine to engine.
+COST_DIGITS = 9
 
 
 def export_summary(breakdown: DataFrame) -> DataFrame:
@@ -86,6 +88,11 @@ def _age_sheet(rides: DataFrame, control: int, date_column: str, routes: DataFra
     return Detail(lines.unionByName(totals, allowMissingColumns=True), ["is_total", "kenteken"], hidden=("is_total",))
 
 
+def _cost_sheet(key_figures: DataFrame) -> Detail:
+    table = report_20_daily_table(key_figures)
+    return replace(table, rows=table.rows.withColumn("kosten_rit", F.round("kosten_rit", COST_DIGITS)))
+
+
 def control_sheet(details: Mapping[str, DataFrame], control: int, transport: str = "RG") -> tuple[Detail, list[str]]:
     """Rows of the sheet of one control, and its headers."""
     rides, routes, va_rides = details["ritten_detail"], details["routes_detail"], details["va_ritten_detail"]
@@ -96,7 +103,7 @@ def control_sheet(details: Mapping[str, DataFrame], control: int, transport: str
         10: (lambda: report_10_detail(routes, rides), {"route_key": "RouteKey", **REPORT_10_COLUMNS}),
         11: (lambda: report_11_vehicles(rides), REPORT_11_COLUMNS),
         13: (lambda: _age_sheet(rides, 13, "datum", routes), VEHICLE_AGE_COLUMNS),
-        20: (lambda: report_20_daily_table(details["kentallen_route"]), REPORT_20_COLUMNS),
+        20: (lambda: _cost_sheet(details["kentallen_route"]), REPORT_20_COLUMNS),
         1004: (lambda: stacked_matrix(va_rides, 1004), {}),
         1005: (lambda: stacked_matrix(va_rides, 1005), {}),
         1006: (lambda: _age_sheet(va_rides, 1006, "rit_datum", None), VEHICLE_AGE_COLUMNS),

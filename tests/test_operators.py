@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue.queries import SHEETS
 from rideledger.operators.count import measure_controls, only_run, summary
 from rideledger.functions.predicates import nonzero
 from rideledger.operators.detail import Detail, sorted_rows
@@ -117,3 +118,16 @@ def test_sheets_come_from_the_dataset_of_the_runs_transport(spark):
     executed = spark.createDataFrame([(1, 2, "RG"), (2, 2, " va "), (2, 1001, "VA")], "stuurtabel_id int, control_id int, soortvervoer string")
     got = export_bundle(details, executed, [2, 1001]).where("row_no > 0").collect()
     assert sorted((row.stuurtabel_id, row.control_id, row.line.split(";")[-1]) for row in got) == [(1, 2, "rg"), (2, 2, "va"), (2, 1001, "va")]
+
+
+def test_cost_sheet_is_registered_and_has_rounded_means(spark):
+    assert 20 in SHEETS
+    none = spark.createDataFrame([], "stuurtabel_id int, id int")
+    costs = spark.createDataFrame(
+        [(1, "1997-05-01", "0.1", "1"), (1, "1997-05-01", "0.2", "2"), (1, "1997-05-02", "n.v.t.", "4")],
+        "stuurtabel_id int, datum string, kosten_rit string, n_ritten string",
+    )
+    details = {"ritten_detail": none, "va_ritten_detail": none, "routes_detail": none, "kentallen_route": costs}
+    executed = spark.createDataFrame([(1, 20, "RG")], "stuurtabel_id int, control_id int, soortvervoer string")
+    lines = [row.line for row in export_bundle(details, executed, [20]).orderBy("row_no").collect()]
+    assert len(lines[0].split(";")) == 3 and lines[1:] == ["01-05-1997;3;0.166666667", "02-05-1997;4;"]

@@ -719,6 +719,9 @@ def statements() -> dict[str, str]:
             ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS place FROM orders) WHERE place = 1"""
     plain["deviations_per_vervoerder"] = f"""SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) AS entities FROM {LONG_RIDES}
         WHERE is_deviation GROUP BY 1, 2"""
+    plain["deviations_per_vervoerder_rg_va"] = f"""SELECT {R}, vervoerder, CAST(SUM(n) AS BIGINT) AS entities FROM (
+        SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) AS n FROM {LONG_RIDES} WHERE is_deviation GROUP BY 1, 2
+        UNION ALL SELECT {R}, vervoerder, COUNT(DISTINCT entity_id) FROM {LONG_VA} WHERE is_deviation GROUP BY 1, 2) GROUP BY 1, 2"""
     flagged = " OR ".join(nonzero(int(name.split("_")[1])) for name in RG_COLUMNS if name.startswith("resultaat_"))
     plain["deviation_amount"] = f"""SELECT {R}, ROUND(COALESCE(SUM(CASE WHEN {flagged} THEN bedrag_ex_btw END), 0), {AMOUNT_DIGITS})
         AS deviation_amount FROM ritten_detail GROUP BY 1"""

@@ -622,6 +622,7 @@ def _kentallen_backfill(star: Star) -> DataFrame:
 
 
 add("deviations_per_vervoerder", lambda star: dashboard.deviations_per_carrier(_longs(star)["ritten_detail"]))
+add("deviations_per_vervoerder_rg_va", lambda star: dashboard.deviations_per_carrier(_longs(star)["ritten_detail"].unionByName(_longs(star)["va_ritten_detail"])))
 add("deviation_amount", lambda star: rounded(dashboard.deviation_amounts(star.ritten_detail(["bedrag_ex_btw", *RIDE_RESULTS])), "deviation_amount", AMOUNT_DIGITS))
 
 

@@ -201,9 +201,10 @@ def rows_per_control_code(rides: DataFrame) -> Detail:
 
 
 def deviations_per_carrier(long: DataFrame) -> DataFrame:
-    """Distinct deviating entities per run and carrier."""
+    """Distinct deviating entities per run and carrier; entities of different types can have the same id."""
     rows = long.where(F.col("is_deviation"))
-    return rows.groupBy(RUN, "vervoerder").agg(F.count_distinct("entity_id").alias("entities"))
+    entity = F.when(F.col("entity_id").isNotNull(), F.struct("entity_type", "entity_id"))
+    return rows.groupBy(RUN, "vervoerder").agg(F.count_distinct(entity).alias("entities"))
 
 
 def deviation_amounts(rides: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from rideledger.functions.predicates import nonzero
 from rideledger.operators.detail import Detail, sorted_rows
 from rideledger.operators.matrix import zero_filled
 from rideledger.operators.unpivot import control_rows
+from rideledger.plans.dashboard import deviations_per_carrier
 from rideledger.plans.export import export_bundle, sheet_lines
 
 
@@ -131,3 +132,11 @@ def test_cost_sheet_is_registered_and_has_rounded_means(spark):
     executed = spark.createDataFrame([(1, 20, "RG")], "stuurtabel_id int, control_id int, soortvervoer string")
     lines = [row.line for row in export_bundle(details, executed, [20]).orderBy("row_no").collect()]
     assert len(lines[0].split(";")) == 3 and lines[1:] == ["01-05-1997;3;0.166666667", "02-05-1997;4;"]
+
+
+def test_deviations_per_carrier_tell_rides_of_both_kinds_apart(spark):
+    shape = "stuurtabel_id int, id int, vervoerder string, resultaat_2 int"
+    rides = spark.createDataFrame([(1, 7, "a", 1), (1, 8, "a", 0)], shape)
+    va_rides = spark.createDataFrame([(1, 7, "a", 1), (2, 7, "b", 1)], shape)
+    long = control_rows(rides, "rit").unionByName(control_rows(va_rides, "va_rit"))
+    assert sorted(map(tuple, deviations_per_carrier(long).collect())) == [(1, "a", 2), (2, "b", 1)]

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideledger.llm import chat, jaccard_join, language, licenses, line_dedup, mixing, packing, quality, syncmers, warc
+from rideledger.llm import chat, jaccard_join, language, licenses, line_dedup, mixing, packing, pieces, quality, syncmers, warc
 from rideledger.llm.oracle import SQL
 
 
@@ -74,6 +74,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.summary(table(spark, folder, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(pieces.encoded(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -93,6 +97,7 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_warc_histories": op9_warc_histories,
         "op10_license_scan": op10_license_scan,
+        "op13_sentencepiece": op13_sentencepiece,
         "pipeline": pipeline,
     }
 

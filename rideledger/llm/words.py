@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +38,14 @@ def word_count(text: Column) -> Column:
 def ids(values: pd.Series) -> list[int | None]:
     """Integer ids from a pandas column in which null may have turned numbers into floats."""
     return [None if pd.isna(value) else int(value) for value in values]
+
+
+def portions(batch: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and about ``size`` bytes of a column; a larger value is a slice of its own."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(sizes, before + size, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end

@@ -105,10 +105,88 @@ keyed AS (
 SELECT url_key, captured_at, page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN again THEN keeper END AS refers_to, ROW_NUMBER() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS position FROM keyed"""
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    start = f"[CAST(4294967295 AS BIGINT)] || list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    return f"xor(list_reduce({start}, lambda c, b: {bits}), 4294967295)"
+
+
+def _cheapest() -> str:
+    """The four best (cost, audit) after a row, from those before it: by trying all edits with up to two insertions."""
+    given = [2, 2, 3, 2]
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    ways: list[list[str]] = [[] for _ in range(4)]
+    for start in range(4):
+        state = start
+        for inserts in range(3):
+            audit = "I" * inserts
+            ways[state].append(_way(start, f"{3 * inserts + 4}", audit + "D"))
+            ways[given[state]].append(_way(start, f"{3 * inserts + 3} + extra", audit + "R"))
+            for (of, initial), after in kept.items():
+                if of == state:
+                    ways[after].append(_way(start, f"{3 * inserts} + extra + CASE WHEN initial = '{initial}' THEN 0 ELSE 1000000 END", audit + "K"))
+            state = given[state]
+    return "[" + ", ".join(f"list_min([{', '.join(each)}])" for each in ways) + "]"
+
+
+def _way(start: int, cost: str, audit: str) -> str:
+    return f"{{'c': v[{start + 1}].c + {cost}, 'a': v[{start + 1}].a || '{audit}'}}"
+
+
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+REPAIR = rf"""WITH RECURSIVE said AS (
+    SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+        COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+struck AS (SELECT *, {_crc32("name")} % 20 AS damage FROM said),
+harmed AS (
+    SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN damage = 1 THEN '' WHEN damage = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS copy FROM struck WHERE damage <> 0),
+told AS (
+    SELECT *, rtrim(text, {BLANKS}) AS held, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS key FROM harmed),
+placed AS (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, copy) AS i,
+        ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM told),
+faulty AS (
+    SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, held = '' AS blank, held <> '' AND again > 1 AS duplicate,
+        held <> '' AND again = 1 AND right(held, 1) NOT IN ('.', '!', '?') AS truncated,
+        COALESCE(LAG(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au'), FALSE) AS illegal FROM placed
+    WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+priced AS (SELECT *, CASE WHEN blank OR duplicate THEN 1000000 WHEN truncated THEN 3 ELSE 0 END AS extra FROM faulty),
+walk AS (
+    SELECT conv_id, 0 AS i, [{{'c': 0, 'a': ''}}, {{'c': 1000000, 'a': ''}}, {{'c': 1000000, 'a': ''}}, {{'c': 1000000, 'a': ''}}] AS v
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT w.conv_id, w.i + 1, {_cheapest()} FROM walk w JOIN priced p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1),
+ended AS (
+    SELECT conv_id, arg_max(list_min([v[1], {{'c': v[2].c + 6, 'a': v[2].a || 'II'}}, {{'c': v[3].c + 3, 'a': v[3].a || 'I'}}, v[4]]), i) AS best
+    FROM walk GROUP BY conv_id),
+done AS (
+    SELECT conv_id, best.c AS cost, best.a AS audit, 0 AS step, 0 AS i, 0 AS state, CAST(NULL AS VARCHAR) AS line FROM ended
+    UNION ALL
+    SELECT d.conv_id, d.cost, d.audit, d.step + 1, CASE WHEN e.edit = 'I' THEN d.i ELSE d.i + 1 END,
+        CASE WHEN e.edit = 'D' THEN d.state WHEN e.edit = 'K' THEN instr('sua', p.initial) WHEN d.state = 2 THEN 3 ELSE 2 END,
+        CASE e.edit WHEN 'D' THEN NULL WHEN 'K' THEN p.role || ':' || p.text
+            ELSE CASE WHEN d.state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e.edit = 'R' THEN p.text ELSE '' END END
+    FROM done d JOIN (SELECT conv_id AS owner, unnest(range(1, length(best.a) + 1)) AS step, unnest(string_split(best.a, '')) AS edit FROM ended) e
+        ON e.owner IS NOT DISTINCT FROM d.conv_id AND e.step = d.step + 1
+    LEFT JOIN priced p ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i + 1),
+texts AS (SELECT conv_id, any_value(cost) AS cost, any_value(audit) AS audit, sha256(COALESCE(string_agg(line, chr(10) ORDER BY step), '')) AS repaired_sha256 FROM done GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (WHERE blank) AS blank,
+        COUNT(*) FILTER (WHERE duplicate) AS duplicate, COUNT(*) FILTER (WHERE truncated) AS truncated, COUNT(*) FILTER (WHERE illegal) AS illegal
+    FROM faulty GROUP BY conv_id)
+SELECT t.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate,
+    COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, repaired_sha256
+FROM texts t LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
 SQL: dict[str, str] = {
     "op3_chat_formatting": CHAT,
     "op5_line_dedup": LINES,
     "op6_quality_cascade": QUALITY,
     "op8_jaccard_join": LINKED,
     "op9_warc_histories": CAPTURES,
+    "op12_conversation_repair": REPAIR,
 }

@@ -54,7 +54,7 @@ def test_pieces_that_are_not_used_fall_apart(vocabulary):
     own = PieceReader(PATH)
     assert own.merged("the") == ["the"]
     own.unused = {"the"}
-    assert own.merged("the") == ["th", "e"]
+    assert own.merged("the") == ["t", "he"]
 
 
 def test_documents(spark):

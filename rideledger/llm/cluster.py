@@ -40,6 +40,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to a new table in the shared folder; cuts the lineage and prunes columns."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, once per session."""
     context = spark.sparkContext

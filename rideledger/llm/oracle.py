@@ -182,11 +182,30 @@ SELECT t.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, COALESCE(blank, 0)
     COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, repaired_sha256
 FROM texts t LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM t.conv_id"""
 
+TRIE = rf"""WITH lists AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS turns
+    FROM (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+taking AS (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM lists),
+rebuilt AS (
+    SELECT t.conv_id, COALESCE(b.turns[1:t.h], []) || t.turns[t.h + 1:] AS turns FROM taking t LEFT JOIN lists b ON b.conv_id = t.conv_id - t.conv_id % 100),
+begun AS (SELECT conv_id, len(turns) AS n, d AS depth, turns[1:d] AS path FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT depth, path, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE length(path[depth].text) END AS chars,
+        sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM begun GROUP BY depth, path),
+children AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, COUNT(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+told AS (SELECT n.*, COALESCE(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path),
+under AS (SELECT *, unnest(range(depth + 1)) AS above FROM told),
+sums AS (
+    SELECT above, path[1:above] AS path, COUNT(*) FILTER (WHERE n_children = 0) AS n_leaves, SUM((n_convs - 1) * chars) AS saved FROM under GROUP BY 1, 2)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM told t JOIN sums s ON s.above = t.depth AND s.path = t.path LEFT JOIN nodes p ON p.depth = t.depth - 1 AND p.path = t.path[1:t.depth - 1]"""
+
 SQL: dict[str, str] = {
     "op3_chat_formatting": CHAT,
     "op5_line_dedup": LINES,
     "op6_quality_cascade": QUALITY,
     "op8_jaccard_join": LINKED,
     "op9_warc_histories": CAPTURES,
+    "op11_prefix_trie": TRIE,
     "op12_conversation_repair": REPAIR,
 }

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rideledger.llm import chat, jaccard_join, language, licenses, line_dedup, mixing, packing, pieces, quality, repair, syncmers, warc
+from rideledger.llm import chat, jaccard_join, language, licenses, line_dedup, mixing, packing, pieces, quality, repair, syncmers, trie, warc
 from rideledger.llm.oracle import SQL
 
 
@@ -74,6 +74,10 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.summary(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.turn_lists(table(spark, folder, "conversations"))))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = repair.damaged(table(spark, folder, "conversations"))
     return repair.digests(repair.edits(rows, repair.audits(rows)))
@@ -102,6 +106,7 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_warc_histories": op9_warc_histories,
         "op10_license_scan": op10_license_scan,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_sentencepiece": op13_sentencepiece,
         "pipeline": pipeline,

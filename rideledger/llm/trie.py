@@ -181,12 +181,12 @@ OUT = pa.schema(
     [
         ("kind", pa.int32()), ("key", pa.binary()), ("parent_key", pa.binary()), ("conv_id", pa.int64()), ("depth", pa.int64()),
         ("parent_conv_id", pa.int64()), ("n_convs", pa.int64()), ("n_children", pa.int64()), ("n_leaves", pa.int64()), ("saved_tokens", pa.int64()),
-        ("ends_sha256", pa.string()), ("chars", pa.int64()), ("childless", pa.int64()), ("path", pa.list_(pa.binary())), ("members", pa.list_(pa.int64())),
+        ("ends_sha256", pa.string()), ("chars", pa.int64()), ("childless", pa.int64()), ("members", pa.list_(pa.int64())),
     ]
 )
 OUT_DDL = (
     "kind int, key binary, parent_key binary, conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, "
-    "n_leaves bigint, saved_tokens bigint, ends_sha256 string, chars bigint, childless bigint, path array<binary>, members array<bigint>"
+    "n_leaves bigint, saved_tokens bigint, ends_sha256 string, chars bigint, childless bigint, members array<bigint>"
 )
 
 
@@ -208,7 +208,7 @@ def _shard(conv_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, chars: np
     """What a shard between two cuts gives, depth by depth."""
     starts = np.cumsum(lengths) - lengths
     common = np.maximum(_common(lengths, ids, low), _common(lengths, ids, high))
-    paths: list[list[bytes]] = []  # of the nodes one higher; empty for those that are no boundary
+    above_keys: list[bytes | None] = []  # of the nodes one higher; none for those that are no boundary
     above: _Level | None = None
 
     def batch(count: int, **columns: object) -> pa.RecordBatch:
@@ -217,15 +217,11 @@ def _shard(conv_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, chars: np
     for depth, level in enumerate(levels(conv_ids, lengths, ids, chars)):
         split = common[level.row] >= depth
         parents = level.parent.tolist()
-        now: list[list[bytes]] = [[] for _ in parents]
+        keys: list[bytes | None] = [None] * len(parents)
         for node in np.flatnonzero(split).tolist():
-            if depth:
-                before = paths[parents[node]]
-                own = ids[starts[level.row[node]] + depth - 1].astype(">u8").tobytes()
-                now[node] = [*before, hashlib.blake2b(before[-1] + own, digest_size=ID).digest()]
-            else:
-                now[node] = [ROOT]
-        below = np.array([bool(depth and paths[parent]) for parent in parents], bool)
+            own = ids[starts[level.row[node]] + depth - 1].astype(">u8").tobytes() if depth else b""
+            keys[node] = hashlib.blake2b(above_keys[parents[node]] + own, digest_size=ID).digest() if depth else ROOT
+        below = np.array([bool(depth) and above_keys[parent] is not None for parent in parents], bool)
         ends = np.array(_ends(level), object)
         for kind, chosen in ((FINISHED, ~split & ~below), (CHILD, ~split & below), (BOUNDARY, split)):
             at = np.flatnonzero(chosen)
@@ -238,10 +234,10 @@ def _shard(conv_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, chars: np
             if kind == FINISHED:
                 columns["parent_conv_id"] = above.least[level.parent[at]] if above is not None else [None] * len(at)
             else:
-                columns["parent_key"] = [paths[parents[node]][-1] if depth else None for node in at]
+                columns["parent_key"] = [above_keys[parents[node]] if depth else None for node in at]
             if kind == BOUNDARY:
                 columns |= {"chars": level.chars[at], "childless": (level.children[at] == 0).astype(np.int64)}
-                columns |= {"path": [now[node] for node in at], "key": [now[node][-1] for node in at]}
+                columns["key"] = [keys[node] for node in at]
             else:
                 columns["ends_sha256"] = ends[at]
             yield batch(len(at), **columns)
@@ -250,8 +246,8 @@ def _shard(conv_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, chars: np
             own = members[slice(*np.searchsorted(nodes, [node, node + 1]))]
             for start in range(0, len(own), CHUNK):
                 some = own[start : start + CHUNK]
-                yield batch(1, kind=[MEMBERS], key=[now[node][-1]], conv_id=some[:1], members=[some])
-        paths, above = now, level
+                yield batch(1, kind=[MEMBERS], key=[keys[node]], conv_id=some[:1], members=[some])
+        above_keys, above = keys, level
 
 
 def _shards(lists: DataFrame, cuts: list[Cut]) -> DataFrame:
@@ -304,24 +300,36 @@ def _member_digests(rows: DataFrame) -> DataFrame:
 RESULT = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def _summed_up(values: DataFrame, depth: int) -> DataFrame:
+    """Sums over all nodes below each one, itself included, of (key, above, value...), in as many rounds as ``depth`` has bits.
+
+    After round k a node has the sums of the 2^k levels from itself down and knows its ancestor 2^k levels up.
+    """
+    names = values.columns[2:]
+    for _ in range(depth.bit_length()):
+        lower = values.where("above is not null").groupBy(F.col("above").alias("key")).agg(*[F.sum(name).alias(f"lower_{name}") for name in names])
+        upper = values.select(F.col("key").alias("above"), F.col("above").alias("next"))
+        summed = values.join(lower, "key", "left").join(upper, "above", "left")
+        added = [(F.col(name) + F.coalesce(f"lower_{name}", F.lit(0))).alias(name) for name in names]
+        values = stored(summed.select("key", F.col("next").alias("above"), *added), "trie-sums")
+    return values.drop("above")
+
+
 def _recombined(rows: DataFrame) -> DataFrame:
     """Boundary nodes with the sums of all shards: the result's columns and key, parent_key."""
     sums = ("n_convs", "n_children", "n_leaves", "saved_tokens")
     merged = rows.where(F.col("kind") == BOUNDARY).groupBy("key").agg(
         F.min("conv_id").alias("conv_id"), F.max("depth").alias("depth"), F.max("parent_key").alias("parent_key"), F.max("chars").alias("chars"),
-        F.first("path").alias("path"), F.count("*").alias("shards"), F.sum("childless").alias("childless"), *[F.sum(name).alias(name) for name in sums],
+        F.count("*").alias("shards"), F.sum("childless").alias("childless"), *[F.sum(name).alias(name) for name in sums],
     )
+    merged = stored(merged, "trie-boundary")
     several = merged.where("shards > 1")
-    upward = several.select(
-        F.explode("path").alias("key"), F.lit(0).cast("bigint").alias("n_children"),
-        (F.when(F.col("childless") == F.col("shards"), 1).otherwise(0) - F.col("childless")).alias("n_leaves"),
-        ((F.col("shards") - 1) * F.col("chars")).alias("saved_tokens"),
-    )
-    counted = several.where("depth > 0").select(
-        F.col("parent_key").alias("key"), (1 - F.col("shards")).alias("n_children"), F.lit(0).cast("bigint").alias("n_leaves"), F.lit(0).cast("bigint").alias("saved_tokens")
-    )
-    more = upward.unionAll(counted).groupBy("key").agg(*[F.sum(name).alias(f"more_{name}") for name in sums[1:]])
-    whole = merged.join(more, "key", "left").join(_member_digests(rows), "key", "left")
+    counted = several.groupBy(F.col("parent_key").alias("key")).agg(F.sum(1 - F.col("shards")).alias("more_n_children"))
+    more = _summed_up(several.select(
+        "key", F.col("parent_key").alias("above"), (F.when(F.col("childless") == F.col("shards"), 1).otherwise(0) - F.col("childless")).alias("more_n_leaves"),
+        ((F.col("shards") - 1) * F.col("chars")).alias("more_saved_tokens"),
+    ), several.agg(F.max("depth")).first()[0] or 0)
+    whole = merged.join(more, "key", "left").join(counted, "key", "left").join(_member_digests(rows), "key", "left")
     return whole.select(
         "key", "parent_key", "conv_id", "depth", "n_convs", *[(F.col(name) + F.coalesce(f"more_{name}", F.lit(0))).alias(name) for name in sums[1:]],
         F.coalesce("ends_sha256", F.lit(NOBODY)).alias("ends_sha256"),
@@ -338,7 +346,7 @@ def nodes(lists: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     if not cuts:
         return rows.select(*RESULT)
     rows = stored(rows, "trie-shards")
-    boundary = stored(_recombined(rows), "trie-boundary")
+    boundary = stored(_recombined(rows), "trie-nodes")
     parents = boundary.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("parent_conv_id"))
     finished = rows.where(F.col("kind") == FINISHED).select(*RESULT)
     children = rows.where(F.col("kind") == CHILD).drop("parent_conv_id").join(parents, "parent_key").select(*RESULT)

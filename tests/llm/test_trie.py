@@ -92,9 +92,19 @@ def test_rebuilt_conversations(spark):
 
 
 def test_long_conversation(spark):
-    lists = [(1, [("user", str(i)) for i in range(3000)]), (2, [("user", str(i)) for i in range(2000)]), (3, [("user", "x" * 1_000_000)])]
-    assert shown(nodes(turn_lists(table(spark, lists)), 1000)) == plainly(lists)
+    lists = [(1, [("user", str(i)) for i in range(300)]), (2, [("user", str(i)) for i in range(200)]), (3, [("user", "x" * 1_000_000)])]
+    assert shown(nodes(turn_lists(table(spark, lists)), 100)) == plainly(lists)
 
 
 def test_empty_table(spark):
     assert nodes(rebuilt(turn_lists(spark.createDataFrame([], SCHEMA)))).collect() == []
+
+
+def test_very_long_conversation_by_its_chain(spark):
+    lists = [(conv, [("user", str(i)) for i in range(length)]) for conv, length in ((1, 20_000), (2, 15_000))]
+    saved = [0] * 20_002
+    for depth in range(20_000, -1, -1):
+        saved[depth] = saved[depth + 1] + (len(str(depth - 1)) if 1 <= depth <= 15_000 else 0)
+    want = [(depth, 2 if depth <= 15_000 else 1, int(depth < 20_000), 1, saved[depth]) for depth in range(20_001)]
+    got = nodes(turn_lists(table(spark, lists)), 9000).select("depth", "n_convs", "n_children", "n_leaves", "saved_tokens").collect()
+    assert sorted(map(tuple, got)) == want

@@ -33,19 +33,20 @@ def plainly_merged(vocabulary, text):
 
 @given(text=st.one_of(st.text(max_size=40), st.lists(st.sampled_from(PARTS), max_size=25).map("".join)))
 def test_equals_the_library(vocabulary, text):
-    assert vocabulary.encode(text) == vocabulary.library.encode(text)
+    assert vocabulary.encode([text, text + " a"])[0].tolist() == vocabulary.library.encode(text)
 
 
 @pytest.mark.parametrize("seed", range(20))
 def test_agenda_equals_plain_search(vocabulary, seed):
     rng = random.Random(seed)
     text = "".join(rng.choice("abcdefinorst" + MARK) for _ in range(60))
-    assert vocabulary.merged(text) == plainly_merged(vocabulary, text)
+    assert vocabulary.merged(text) == vocabulary._merged_short(text) == plainly_merged(vocabulary, text)
+    assert vocabulary.merged(text[:20]) == vocabulary._merged_long(text[:20]) == plainly_merged(vocabulary, text[:20])
 
 
 def test_stretches_do_not_change_the_result(vocabulary):
     text = MARK + "here  are   several words , some\n twice twice".replace(" ", MARK)
-    assert vocabulary.encode("here  are   several words , some\n twice twice") == [
+    assert vocabulary.encode(["here  are   several words , some\n twice twice"])[0].tolist() == [
         vocabulary.ids[symbol] if symbol in vocabulary.ids else vocabulary.bytes[symbol.encode()[0]] for symbol in vocabulary.merged(text)
     ]
 
@@ -83,6 +84,7 @@ def test_empty_table(spark):
 
 def test_another_kind_of_result_is_refused(vocabulary):
     own = PieceReader(PATH)
-    own.ranks.pop("th", None)
+    own.ranks.pop("he")
     with pytest.raises(ValueError, match="by the library"):
         own.checked(["the thing that they threw"])
+    assert own.checked(["", "the thing"], every=2)[1] != vocabulary.checked(["the thing"])[0]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_REMEMBERED: dict[str, Any] = {}
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -47,6 +53,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next: one thing only, so that no operator's memory adds to another's."""
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        give_back()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
+def give_back() -> None:
+    """Return free memory of this Python worker to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, once per session."""
     context = spark.sparkContext

@@ -24,8 +24,8 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 from unicodedata import is_normalized
 
 import numpy as np
@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.llm.cluster import new_folder, ship
+from rideledger.llm.cluster import give_back, new_folder, remembered, ship
+from rideledger.llm.words import portions
 
 WINDOW = 2048
 END = 1
@@ -43,17 +44,17 @@ KEY_TERMS = 3
 RANGE_DOCS = 8 * SHARD_DOCS
 RANGE_SAMPLES = 64
 K1, B = 1.2, 0.75
-_KEPT = 300_000
-_TOKENS: dict[str, TokenIds] = {}
+KEPT = 600_000
+TEXTS, BYTES = 2048, 1 << 23
 
 
 class TokenIds:
     """Token ids of texts, by way of the ids of the pieces between white space.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its
-    pieces in a row. A piece is mostly a word and a point or comma. Words of letters go straight to
-    the tokenizer's model, once each while they are remembered; all other pieces go through the
-    whole tokenizer, and so do texts with the string of a special token.
+    pieces in a row. A piece is mostly a word and a point or comma. Words of letters go straight to the tokenizer's model, once each while they are remembered; all other
+    pieces go through the whole tokenizer, and so do texts with the string of a special token. A task remembers twice
+    ``KEPT`` pieces at most.
     """
 
     def __init__(self, path: str):
@@ -61,14 +62,14 @@ class TokenIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [token.content.encode().lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         # Byte-level models write a byte that cannot be printed as the next free character from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [byte for byte in range(256) if byte not in shown]
         self.letters = {byte: 256 + place for place, byte in enumerate(hidden)}
-        self.known: dict[bytes, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.known: dict[bytes | str, bytes] = {}
+        self.before: dict[bytes | str, bytes] = {}
         # Whether this tokenizer is of that kind shows in what it makes of words.
         self.direct = all(self._word(word) == self._whole(word) for word in ("a", "tokenizer", "naïveté", "größer", "señor", "ответ", "語"))
 
@@ -80,40 +81,40 @@ class TokenIds:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
 
-    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        found, plain = {}, self.plain
-        if len(plain) > _KEPT:
-            plain.clear()
-        for piece in unknown:
-            text = piece.decode("utf-8", "surrogatepass")
-            stem = text.rstrip(".,;:!?")
-            rest = text[len(stem) :]
-            low = stem.lower()
-            if self.direct and low.isalpha() and (stem.isascii() or "Σ" not in stem and stem.isalpha() and is_normalized("NFC", stem)):
-                ids = plain.get(low)
-                if ids is None:
-                    plain[low] = ids = self._word(low)
-            else:
-                ids, rest = self._whole(text), ""
-            if rest:
-                end = plain.get(rest)
-                if end is None:
-                    plain[rest] = end = self._whole(rest)
-                ids += end
-            found[piece] = ids
-        return found
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
+    def _remembered(self, key: bytes | str, make: Callable[[Any], bytes]) -> bytes:
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.before.get(key)
+            self.known[key] = ids = make(key) if ids is None else ids
+        return ids
+
+    def _piece(self, piece: bytes) -> bytes:
+        if self.direct and piece.isalpha():  # ASCII letters only, and lower ones here
+            return self._word(piece.decode())
+        text = piece.decode("utf-8", "surrogatepass")
+        stem = text.rstrip(".,;:!?")
+        low = stem.lower()
+        if self.direct and low.isalpha() and (stem.isascii() or "Σ" not in stem and stem.isalpha() and is_normalized("NFC", stem)):
+            if len(stem) == len(text):
+                return self._word(low)
+            return self._remembered(low, self._word) + self._remembered(text[len(stem) :], self._whole)
+        return self._whole(text)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
-        known = self.known
-        if len(known) > _KEPT:
-            known.clear()
-        for own in pieces:
-            known.update(self._learn(set(own).difference(known)))
-        get, code = known.__getitem__, np.dtype(self.code)
+        lower = [(text or "").encode("utf-8", "surrogatepass").lower() for text in texts]
+        pieces = [raw.split() for raw in lower] if self.direct else [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
+        if len(self.known) >= KEPT:  # two generations: what is still in use comes over from the one before
+            self.before, self.known = self.known, {}
+        known, distinct = self.known, set().union(*pieces)
+        for piece in distinct.difference(known):
+            self._remembered(piece, self._piece)
+        get, code = dict(zip(distinct, map(known.__getitem__, distinct), strict=True)).__getitem__, np.dtype(self.code)
         found = []
-        for text, own in zip(texts, pieces, strict=True):
-            if text and any(special in text for special in self.special):
+        for text, raw, own in zip(texts, lower, pieces, strict=True):
+            if text and any(special in raw for special in self.special):
                 ids = self._whole(text)
             else:
                 ids = b"".join(map(get, own))
@@ -121,11 +122,21 @@ class TokenIds:
         return found
 
 
+def tokenizer_of(path: str) -> TokenIds:
+    """The tokenizer at a path, kept from one task of a worker to the next."""
+    return remembered(f"token ids {path}", lambda: TokenIds(path))
+
+
 def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of texts, with the tokenizer kept from one call of a worker to the next."""
-    if path not in _TOKENS:
-        _TOKENS[path] = TokenIds(path)
-    return _TOKENS[path](texts)
+    """Ids of texts."""
+    return tokenizer_of(path)(texts)
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order and how often each stands; numbers of 16 bits are sorted by radix."""
+    ids = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], np.diff(np.append(first, len(ids)))
 
 
 class Statistics(NamedTuple):
@@ -140,20 +151,29 @@ class Statistics(NamedTuple):
         return np.log1p((self.count - held + 0.5) / (held + 0.5))
 
 
-def like_key(ids: np.ndarray, of_all: Statistics) -> int:
-    """The heaviest terms of a document that another one holds, heaviest first, as one number."""
-    terms, times = np.unique(ids, return_counts=True)
-    shared = of_all.held[terms] > 1
-    terms, times = terms[shared], times[shared]
-    weights = of_all.idf(terms) * times * (K1 + 1) / (times + K1 * (1 - B + B * len(ids) / max(of_all.mean, 1)))
-    key = 0
-    if len(weights) > KEY_TERMS:
-        heavy = weights >= np.partition(weights, -KEY_TERMS)[-KEY_TERMS]
-        terms, weights = terms[heavy], weights[heavy]
-    chosen = terms[np.lexsort((terms, -weights))[:KEY_TERMS]].tolist()
-    for term in [*chosen, *[0] * (KEY_TERMS - len(chosen))]:
-        key = key << 21 | min(term, (1 << 21) - 1)
-    return key
+def like_keys(documents: list[np.ndarray], of_all: Statistics) -> np.ndarray:
+    """For each document its heaviest terms that another one holds, heaviest first, as one number; ties to the least term."""
+    keys = np.zeros(len(documents), np.int64)
+    lengths = np.array([len(ids) for ids in documents], np.int64)
+    flat = np.repeat(np.arange(len(documents), dtype=np.int64) << 32, lengths) | np.concatenate([np.zeros(0, np.int64), *documents]).astype(np.int64)
+    flat, times = counted(flat)
+    shared = of_all.held[flat & 0xFFFFFFFF] > 1
+    flat, times = flat[shared], times[shared]
+    owners, terms = flat >> 32, flat & 0xFFFFFFFF
+    weights = of_all.idf(terms) * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths[owners] / max(of_all.mean, 1)))
+    for _ in range(KEY_TERMS):
+        keys <<= 21
+        begin = np.flatnonzero(np.diff(owners, prepend=-1))
+        if not len(begin):
+            continue
+        best = np.repeat(np.maximum.reduceat(weights, begin), np.diff(np.append(begin, len(owners))))
+        at = np.flatnonzero(weights == best)
+        at = at[np.flatnonzero(np.diff(owners[at], prepend=-1))]  # the first, which is the least term
+        keys[owners[at]] |= np.minimum(terms[at], (1 << 21) - 1)
+        left = np.ones(len(owners), bool)
+        left[at] = False
+        owners, terms, weights = owners[left], terms[left], weights[left]
+    return keys
 
 
 class Neighbours:
@@ -270,15 +290,16 @@ def _with_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "ids", "code", "held", "documents", "tokens"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, SHARD_DOCS):
-                part = batch.slice(start, SHARD_DOCS)
+            for part in portions(batch, "text", TEXTS, BYTES):
                 found = [np.append(ids, ids.dtype.type(END)) for ids in token_ids(tokenizer, part.column("text").to_pylist())]
-                more = np.bincount(np.concatenate([np.unique(ids) for ids in found]), minlength=len(held))
+                more = np.bincount(np.concatenate([counted(ids)[0] for ids in found]), minlength=len(held))
                 more[: len(held)] += held
                 held, documents, tokens = more, documents + len(found), tokens + sum(map(len, found))
                 yield rows(part.column("doc_id"), part.column("tie"), [ids.tobytes() for ids in found], [ids.dtype.str for ids in found], [None] * 3)
         none = pa.nulls(1, pa.int64())
         yield rows(none, none, [None], [None], [held.astype("<i8").tobytes(), documents, tokens])
+        tokenizer_of(tokenizer).forget()
+        give_back()
 
     told = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("tie"))
     return told.mapInArrow(read, "doc_id bigint, tie bigint, ids binary, code string, held binary, documents bigint, tokens bigint")
@@ -318,10 +339,12 @@ def dealt(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, Statistics]:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of_all = shared.value
             for batch in batches:
-                documents = zip(batch.column("ids").to_pylist(), batch.column("code").to_pylist(), strict=True)
-                keys = [like_key(np.frombuffer(ids, code), of_all) for ids, code in documents]
-                places = [bisect_right(splitters, pair) for pair in zip(keys, batch.column("tie").to_pylist(), strict=True)]
-                yield batch.append_column("key", pa.array(keys, pa.int64())).append_column("range", pa.array(places, pa.int64()))
+                for part in portions(batch, "ids", TEXTS, BYTES):
+                    documents = zip(part.column("ids").to_pylist(), part.column("code").to_pylist(), strict=True)
+                    keys = like_keys([np.frombuffer(ids, code) for ids, code in documents], of_all)
+                    places = [bisect_right(splitters, pair) for pair in zip(keys.tolist(), part.column("tie").to_pylist(), strict=True)]
+                    yield part.append_column("key", pa.array(keys)).append_column("range", pa.array(places, pa.int64()))
+            give_back()
 
         return asked.mapInArrow(read, "doc_id bigint, tie bigint, ids binary, code string, key bigint, range bigint")
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from typing import Any, NamedTuple
+from typing import NamedTuple
 from unicodedata import is_normalized
 
 import numpy as np
@@ -46,14 +46,16 @@ RANGE_SAMPLES = 64
 K1, B = 1.2, 0.75
 KEPT = 600_000
 TEXTS, BYTES = 2048, 1 << 23
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class TokenIds:
     """Token ids of texts, by way of the ids of the pieces between white space.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its
-    pieces in a row. A piece is mostly a word and a point or comma. Words of letters go straight to the tokenizer's model, once each while they are remembered; all other
-    pieces go through the whole tokenizer, and so do texts with the string of a special token. A task remembers twice
+    pieces in a row. A piece is mostly a word and perhaps a point or comma. Words of letters go straight
+    to the tokenizer's model, once each while they are remembered; all other pieces go through the
+    whole tokenizer, and so do texts with the string of a special token. A task remembers twice
     ``KEPT`` pieces at most.
     """
 
@@ -68,8 +70,8 @@ class TokenIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [byte for byte in range(256) if byte not in shown]
         self.letters = {byte: 256 + place for place, byte in enumerate(hidden)}
-        self.known: dict[bytes | str, bytes] = {}
-        self.before: dict[bytes | str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         # Whether this tokenizer is of that kind shows in what it makes of words.
         self.direct = all(self._word(word) == self._whole(word) for word in ("a", "tokenizer", "naïveté", "größer", "señor", "ответ", "語"))
 
@@ -84,7 +86,7 @@ class TokenIds:
     def forget(self) -> None:
         self.known, self.before = {}, {}
 
-    def _remembered(self, key: bytes | str, make: Callable[[Any], bytes]) -> bytes:
+    def _remembered(self, key: bytes, make: Callable[[bytes], bytes]) -> bytes:
         ids = self.known.get(key)
         if ids is None:
             ids = self.before.get(key)
@@ -92,16 +94,20 @@ class TokenIds:
         return ids
 
     def _piece(self, piece: bytes) -> bytes:
-        if self.direct and piece.isalpha():  # ASCII letters only, and lower ones here
-            return self._word(piece.decode())
-        text = piece.decode("utf-8", "surrogatepass")
-        stem = text.rstrip(".,;:!?")
-        low = stem.lower()
-        if self.direct and low.isalpha() and (stem.isascii() or "Σ" not in stem and stem.isalpha() and is_normalized("NFC", stem)):
-            if len(stem) == len(text):
-                return self._word(low)
-            return self._remembered(low, self._word) + self._remembered(text[len(stem) :], self._whole)
-        return self._whole(text)
+        stem = piece.rstrip(PUNCTUATION)
+        if not self.direct or not stem:
+            return self._whole(piece.decode("utf-8", "surrogatepass"))
+        if not stem.isalpha():  # not ASCII letters alone, which are lower ones here
+            text = stem.decode("utf-8", "surrogatepass")
+            low = text.lower()
+            if not (text.isalpha() and low.isalpha() and "Σ" not in text and is_normalized("NFC", text)):
+                return self._whole(piece.decode("utf-8", "surrogatepass"))
+            stem, rest = low.encode(), piece[len(stem) :]
+        else:
+            rest = piece[len(stem) :]
+        if not rest:
+            return self._word(stem.decode())
+        return self._remembered(stem, lambda word: self._word(word.decode())) + self._remembered(rest, lambda rest: self._whole(rest.decode()))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         lower = [(text or "").encode("utf-8", "surrogatepass").lower() for text in texts]

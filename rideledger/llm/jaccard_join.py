@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rideledger.llm.cluster import settled, ship
+from rideledger.llm.cluster import give_back, remembered, settled, ship
+from rideledger.llm.columns import apart, back, held
 from rideledger.llm.components import components
 from rideledger.llm.words import lower_words
 
@@ -61,9 +62,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return values ^ (values >> np.uint64(29))
@@ -76,7 +74,7 @@ def shingle_set(text: object) -> np.ndarray:
         if not tokens:
             return np.empty(0, np.uint64)
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), len(tokens))], dtype=np.uint64)
-    hashes = np.frombuffer(b"".join(map(_HASHES.__getitem__, tokens)), dtype=np.uint64)
+    hashes = np.frombuffer(b"".join(map(remembered("word hashes", _WordHashes).__getitem__, tokens)), dtype=np.uint64)
     total = hashes[: len(hashes) - SHINGLE + 1] * _ODD[0]
     for step in range(1, SHINGLE):
         total = total + hashes[step : len(hashes) - SHINGLE + 1 + step] * _ODD[step]
@@ -121,7 +119,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             sets = [shingle_set(text).view(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["token"])
 
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")  # of many copies of a text not all
     counted = settled(some.mapInArrow(sampled, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where("n >= 2"))
     # The most frequent ones, all that are as frequent as the last, as long as they are few enough.
     left, least = FREQUENT, None
@@ -159,6 +157,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "n", "node", "prefix", "parity"],
             )
+        give_back()
 
     schema = "doc_id bigint, n bigint, node bigint, prefix array<bigint>, parity array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(describe, schema)
@@ -181,15 +180,16 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = spark.sparkContext.broadcast({row.bucket: bytes(row.bits) for row in rows})
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {bucket: np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little") for bucket, held in wanted.value.items()}
+        bits = wanted.value
         for batch in batches:
             places = zip(batch.column("bucket").to_pylist(), batch.column("position").to_pylist(), strict=True)
-            rows = [row for row, (bucket, position) in enumerate(places) if bucket in bits and bits[bucket][position]]
+            rows = [row for row, (bucket, position) in enumerate(places) if bucket in bits and bits[bucket][position >> 3] >> (position & 7) & 1]
             sets = [shingle_set(text) for text in batch.column("text").take(pa.array(rows, pa.int64())).to_pylist()]
             sets = [found for found in sets if len(found)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_node(found) for found in sets], pa.int64()), _lists([found.view(np.int64) for found in sets])], ["node", "members"]
             )
+        give_back()
 
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS))
     made = docs.select(
@@ -330,11 +330,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     def node_of(texts: pd.Series) -> pd.Series:
         return pd.Series([_node(shingle_set(text)) for text in texts], dtype="Int64")
 
-    names = docs.columns
     found = linked_documents(docs).where("node is not null and doc_id <=> component_id")
-    staying = found.select(F.col("node").alias("_node"), F.col("component_id").alias("_kept")).distinct()
-    tagged = docs.withColumn("_node", node_of("text"))
-    empty = tagged.where("_node is null").select(*names)
-    held = tagged.join(staying, "_node").where(F.col("doc_id").eqNullSafe(F.col("_kept")))
-    once = held.groupBy("_node", "_kept").agg(F.min(F.struct("text", *[c for c in names if c != "text"])).alias("row"))
-    return once.select(*[F.col(f"row.{name}").alias(name) for name in names]).unionAll(empty)
+    staying = found.select(F.col("node").alias("same"), F.col("component_id").alias("kept")).distinct()
+    tagged = apart(docs).withColumns({"text": held(docs, "text"), "id": held(docs, "doc_id").cast("bigint")}).withColumn("node", node_of("text"))
+    empty = tagged.where("node is null").select(*back(docs))
+    met = tagged.join(staying, (F.col("node") == F.col("same")) & F.col("id").eqNullSafe(F.col("kept")))
+    row = F.struct(*back(docs))
+    # As JSON the row has an order whatever its types; of equal ones any will do.
+    once = met.groupBy("node", "kept").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return once.select(*[F.col("row")[name].alias(name) for name in docs.columns]).unionAll(empty)

@@ -7,8 +7,8 @@ Training mixes segments of different languages, so that chains switch. A text's
 their label probabilities by forward-backward over the whole text; the document gets the
 label with the largest sum, and the mean probability of that label as its score.
 
-Training data: at most ``DOCS_PER_LANGUAGE`` documents of a language (those of least hash),
-of each at most ``SEGMENTS_PER_DOC`` runs of ``SEGMENT`` words spread evenly over the whole
+Training data: at most ``DOCS_PER_LANGUAGE`` different texts of a language (those of least hash among a share by hash) of the
+``MOST_LANGUAGES`` most frequent languages, of each at most ``SEGMENTS_PER_DOC`` runs of ``SEGMENT`` words spread evenly over the whole
 text. Nothing else is bounded; predictions read whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
@@ -25,13 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rideledger.llm.cluster import ship
+from rideledger.llm.cluster import give_back, ship
+from rideledger.llm.columns import apart
 
 UNKNOWN = "und"
+ADDED = ("_pred", "_score")
 DOCS_PER_LANGUAGE = 300
+MOST_LANGUAGES = 64
 SEGMENTS_PER_DOC = 12
 SEGMENT = 16
 LEXICON = 3000
@@ -263,11 +267,15 @@ class Tagger:
 
 def segments_of(labelled: DataFrame) -> list[tuple[str, list[str]]]:
     """Training segments of a bounded number of documents of every language."""
-    labelled = labelled.select("text", "lang").where("lang is not null and text is not null")
-    counts = {row.lang: row.n for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
+    counts = {row.lang: row.n for row in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
     step = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, max(1, n // DOCS_PER_LANGUAGE))]), F.col("lang"))
+    hashed = labelled.where(F.col("lang").isin(list(counts))).withColumn("hash", F.xxhash64("text"))
+    some = hashed.where(F.pmod("hash", step) == 0).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    some = some.withColumn("place", least).where(F.col("place") <= DOCS_PER_LANGUAGE).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,25 +288,28 @@ def segments_of(labelled: DataFrame) -> list[tuple[str, list[str]]]:
                     runs.append(words[place : place + SEGMENT])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.list_(pa.string()))], ["lang", "words"])
 
-    some = labelled.where(F.pmod(F.xxhash64("text"), step) == 0).select("lang", "text")
     return [(row.lang, row.words) for row in some.mapInArrow(cut, "lang string, words array<string>").collect()]
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score; only the text is looked at."""
+    """All columns of ``docs`` with ``_pred`` and ``_score``, in place of such that have these names; only the text is looked at."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(docs.columns)
-    schema = ", ".join([f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema] + ["_pred string", "_score double"])
+    docs = docs.drop(*ADDED)
+    place, plain = docs.columns.index(text), apart(docs)
+    names = list(plain.columns)
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(name, kind) for name, kind in zip(ADDED, (T.StringType(), T.DoubleType()), strict=True)]])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in (whole.slice(at, DOCS_AT_ONCE) for whole in batches for at in range(0, max(1, whole.num_rows), DOCS_AT_ONCE)):
-            found = tagger.documents(batch.column(names.index(text)).to_pylist())
+            found = tagger.documents(batch.column(place).to_pylist())
             told = [pa.array([label for label, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*names, "_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*names, *ADDED])
+        tagger.clear()
+        give_back()
 
-    return docs.mapInArrow(predict, schema)
+    return plain.mapInArrow(predict, schema).toDF(*docs.columns, *ADDED)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

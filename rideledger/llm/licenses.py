@@ -3,9 +3,9 @@
 A text is read as words (A-Z lowered; ASCII letters and digits and everything beyond ASCII) parted by
 single spaces. Texts without any gate word are done. For the others, the rules whose keyword
 stands in the text are tried: every place where a rule's pattern matches whole words is a
-detection with first and last word, priority and label. Detections are swept by first word, longest
-first, then priority: one that lies within an earlier one is suppressed, so among equal spans
-the lowest priority number wins and a specific rule silences the general one inside it.
+detection with first and last word, priority and label. Of two detections of which one lies within the other, the
+one of lower priority number stays, whichever is the longer, so a title silences the general phrase around it and
+the general title inside it; of equal priorities the longer stays, then the earlier.
 
 Besides, all places of three base phrases are counted. Their labels stay in any case.
 
@@ -13,7 +13,7 @@ Everything happens within a row: no shuffle, nothing grows with the table.
 
 Defined results: null text counts as empty; without words or detections the labels are empty, the
 score 0 and the word places null; repeated rows each get a result; an empty table gives an
-empty result. All columns pass through, so extra ones do no harm.
+empty result. All columns pass through, but for such as have the name of an added one (``ADDED``).
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rideledger.llm.columns import apart, back, held
 from rideledger.llm.license_rules import BASE, GATES, Rule, rules
 
 #: What parts words: ASCII without letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MARK = "\x01"
+ADDED = ("_n_words", "_base", "_found", "_swept")
 SPAN = "array<struct<start:int,end:int,priority:double,label:string>>"
 
 
@@ -73,25 +75,62 @@ def _detected(words: Column, table: list[Rule]) -> Column:
     )
 
 
+def _left(run: Column) -> Column:
+    """Detections of a run that no better one lies in or around; better is a lower priority, then the longer, then the earlier one."""
+
+    def rank(one: Column) -> Column:
+        return F.struct(one["priority"], one["start"] - one["end"], one["start"], one["label"])
+
+    def within(one: Column, other: Column) -> Column:
+        return (one["start"] >= other["start"]) & (one["end"] <= other["end"])
+
+    return F.filter(run, lambda one: ~F.exists(run, lambda other: (rank(other) < rank(one)) & (within(one, other) | within(other, one))))
+
+
+def _covered(run: Column) -> Column:
+    """Words that detections in order of their first words cover."""
+    state = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("covered"))
+    return F.aggregate(
+        run,
+        state,
+        lambda s, one: F.struct(
+            F.greatest(s["reach"], one["end"]).alias("reach"),
+            (s["covered"] + F.greatest(F.lit(0), one["end"] - F.greatest(one["start"], s["reach"]))).alias("covered"),
+        ),
+        lambda s: s["covered"],
+    )
+
+
 def _swept(found: Column) -> Column:
-    """Labels of the detections not within an earlier one, and how many words they cover."""
-    nothing = F.struct(F.lit(0).alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("covered"))
+    """Labels of the detections that are not suppressed, and how many words they cover.
+
+    Detections are read by first word. A run of overlapping ones is resolved when the next one begins behind it.
+    """
+    nothing = F.struct(F.lit(0).alias("reach"), F.array().cast(SPAN).alias("run"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("covered"))
+
+    def closed(state: Column) -> tuple[Column, Column]:
+        left = _left(state["run"])
+        return F.array_union(state["labels"], F.transform(left, lambda one: one["label"])), state["covered"] + _covered(left)
 
     def sweep(state: Column, one: Column) -> Column:
-        more = F.struct(
-            one["end"].alias("reach"),
-            F.array_union(state["labels"], F.array(one["label"])).alias("labels"),
-            (state["covered"] + one["end"] - F.greatest(one["start"], state["reach"])).alias("covered"),
+        labels, covered = closed(state)
+        behind = F.struct(one["end"].alias("reach"), F.array(one).alias("run"), labels.alias("labels"), covered.alias("covered"))
+        joined = F.struct(
+            F.greatest(state["reach"], one["end"]).alias("reach"), F.array_append(state["run"], one).alias("run"), state["labels"].alias("labels"), state["covered"].alias("covered")
         )
-        return F.when(one["end"] > state["reach"], more).otherwise(state)
+        return F.when(one["start"] >= state["reach"], behind).otherwise(joined)
+
+    def done(state: Column) -> Column:
+        labels, covered = closed(state)
+        return F.struct(labels.alias("labels"), covered.alias("covered"))
 
-    return F.aggregate(found, nothing, sweep)
+    return F.aggregate(found, nothing, sweep, done)
 
 
 def scanned(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     """All columns with ``_n_words``, ``_base`` (places of the base phrases), ``_found`` (every detection) and ``_swept``."""
     table = rules() if table is None else table
-    words = F.col("_words")
+    words = F.col("words")
     gated = F.lit(False)
     for gate in GATES:
         gated = gated | words.contains(gate)
@@ -105,14 +144,14 @@ def scanned(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
             lambda rule: F.transform(_places(words, rule["pattern"]), lambda place: F.struct(place["start"].alias("start"), rule["label"].alias("label"))),
         )
     )
-    read = docs.withColumn("_words", _word_text(F.col("text"))).withColumns(
+    read = apart(docs).withColumn("words", _word_text(held(docs, "text"))).withColumns(
         {
             "_n_words": F.when(words == "  ", 0).otherwise(_spaces(words) - 1),
             "_base": F.when(words.contains(" license"), places).otherwise(F.array().cast("array<struct<start:int,label:string>>")),
             "_found": F.when(gated, _detected(words, table)).otherwise(F.array().cast(SPAN)),
         }
     )
-    return read.withColumn("_swept", _swept(F.col("_found"))).drop("_words")
+    return read.withColumn("_swept", _swept(F.col("_found"))).select(*back(docs, ADDED), *ADDED)
 
 
 def summary(docs: DataFrame) -> DataFrame:

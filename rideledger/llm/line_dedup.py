@@ -20,7 +20,8 @@ on is n * sqrt(n), not its square.
 Defined results: lines part at ``\\n``; lines without a word stay and are not counted; null text
 stays null and has no lines; rows with equal id and text are one document shown twice and lose
 the same lines; rows with equal id and other texts follow each other by a hash of the text; a null
-id comes first; an empty table gives an empty result. All columns pass through.
+id comes first; an empty table gives an empty result. All columns pass through, but for such as have
+the name of an added one (``ADDED``).
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rideledger.llm.cluster import settled
+from rideledger.llm.columns import apart, back, held
 from rideledger.llm.marks import marked
 
 EDITS = 1
 MIN_CHARS = 20
+ADDED = ("_n_lines", "_n_removed")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -127,19 +130,18 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns, the lines that go taken out of text, and ``_n_lines`` and ``_n_removed``."""
-    names = docs.columns
-    key = {"_id": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64("text")}
-    keyed = docs.withColumns(key)
-    gone = duplicate_lines(keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text"))
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).agg(F.collect_set("place").alias("_gone"))
-    cleaned = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_tie") == F.col("_gone_tie")), "left")
+    keyed = apart(docs).withColumns({"id": held(docs, "doc_id").cast("bigint"), "tie": F.xxhash64(held(docs, "text")), "text": held(docs, "text")})
+    gone = duplicate_lines(keyed.select(F.col("id").alias("doc_id"), "tie", "text"))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.collect_set("place").alias("gone"))
+    cleaned = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tie") == F.col("gone_tie")), "left")
     lines = F.split("text", "\n")
-    going = F.map_from_arrays("_gone", "_gone")
-    held = F.filter(lines, lambda line, place: ~F.map_contains_key(going, place))
+    going = F.map_from_arrays("gone", "gone")
+    kept = F.filter(lines, lambda line, place: ~F.map_contains_key(going, place))
     counted = F.size(F.filter(lines, lambda line: line.rlike(HAS_WORD)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", held))
-    return cleaned.select(
-        *[(text.alias(name) if name == "text" else F.col(name)) for name in names],
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    changed = cleaned.withColumn(f"column {docs.columns.index('text')}", text)
+    return changed.select(
+        *back(docs, ADDED),
         F.when(F.col("text").isNotNull(), counted).otherwise(0).cast("bigint").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("_n_removed"),
     )

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideledger.llm.cluster import settled
+from rideledger.llm.columns import apart, back, held
 from rideledger.llm.words import WORD, word_count
 
 EPOCHS = 3
@@ -183,15 +184,15 @@ def mixture(docs: DataFrame) -> DataFrame:
     _, _, parts = mix(docs)
     plays = parts.groupBy("source", "begin", "doc_id", "tie", "size", "epoch").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     plays = plays.groupBy("doc_id", "tie", "source", "size", "epoch").agg(F.collect_list(F.struct("first", "n")).alias("plays"))
-    names = docs.columns
-    key = [("doc_id", "bigint"), ("source", "string")]
-    number = F.row_number().over(Window.partitionBy("doc_id", "_tie", "source").orderBy("doc_id")) - 1
-    keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_number", number)
-    plays = plays.select(*[F.col(name).alias(f"_{name}") for name, _ in key], F.col("tie").alias("_tie2"), F.col("size").alias("_size"), F.col("epoch").alias("_epoch"), "plays")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_tie") == F.col("_tie2")) & F.col("source").eqNullSafe(F.col("_source"))
-    met = keyed.join(plays, same).withColumn("_play", F.expr("get(plays, cast(_number as int))")).where("_play is not null")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_play.first").cast("int") + 1, F.col("_play.n").cast("int")), " ")
-    text = F.when(F.col("_play.n") == F.col("_size"), F.col("text")).otherwise(part)
-    met = met.withColumn("_text", text)
-    changed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("bigint")}
-    return met.select(*[changed[name].alias(name) if name in changed else F.col(name) for name in names])
+    number = F.row_number().over(Window.partitionBy("id", "tie", "of").orderBy("id")) - 1
+    keyed = apart(docs).withColumns({"id": held(docs, "doc_id").cast("bigint"), "of": held(docs, "source"), "text": held(docs, "text")})
+    keyed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("number", number)
+    plays = plays.select(F.col("doc_id").alias("play_id"), F.col("source").alias("play_of"), F.col("tie").alias("play_tie"), "size", "epoch", "plays")
+    same = F.col("id").eqNullSafe(F.col("play_id")) & (F.col("tie") == F.col("play_tie")) & F.col("of").eqNullSafe(F.col("play_of"))
+    met = keyed.join(plays, same).withColumn("play", F.expr("get(plays, cast(number as int))")).where("play is not null")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("play.first").cast("int") + 1, F.col("play.n").cast("int")), " ")
+    met = met.withColumn("text", F.when(F.col("play.n") == F.col("size"), F.col("text")).otherwise(part))
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
+    places = [f"column {place}" for place, name in enumerate(docs.columns) if name in changed]
+    met = met.withColumns({place: changed[docs.columns[int(place.split()[1])]] for place in places})
+    return met.select(*back(docs))

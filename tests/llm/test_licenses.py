@@ -24,13 +24,20 @@ def brute_force(key, text):
     for rule in rules():
         for match in re.finditer(f" (?:{rule.pattern})(?= )", joined):
             start = joined[: match.start()].count(" ")
-            found.append((start, -(start + match.group().count(" ")), rule.priority, rule.label))
-    reach, labels, covered = 0, set(), 0
-    for start, back, _, label in sorted(found):
-        if -back > reach:
-            covered += -back - max(start, reach)
-            reach = -back
-            labels.add(label)
+            found.append((rule.priority, -match.group().count(" "), start, rule.label))
+    # Pairwise: a detection goes if a better one lies in it or around it.
+    left = []
+    by_word = {}
+    for one in set(found):
+        for word in range(one[2], one[2] - one[1]):
+            by_word.setdefault(word, []).append(one)
+    for one in set(found):
+        first, last = one[2], one[2] - one[1]
+        near = {other for word in range(first, last) for other in by_word[word] if other < one}
+        if not any((o[2] <= first and o[2] - o[1] >= last) or (o[2] >= first and o[2] - o[1] <= last) for o in near):
+            left.append(one)
+    labels = {label for *_, label in left}
+    covered = len({word for _, back, start, _ in left for word in range(start, start - back)})
     base = [(i, label) for phrase, label in BASE.items() for i in range(len(tokens)) if tokens[i : i + phrase.count(" ") + 1] == phrase.split()]
     own = {label for _, label in base}
     starts = [i for i, _ in base]
@@ -119,3 +126,34 @@ def test_whole_table(spark, folder):
     want = sorted(brute_force(int(key), text) for key, text in zip(frame.doc_id, frame.text, strict=True))
     got = sorted(tuple(row)[:-1] + (round(row.score, 9),) for row in summary(docs).collect())
     assert got == want
+
+
+GENERAL = ["under the terms of the {}", "subject to the {}", "This work is proprietary, under the terms of the {}", "licensed under the terms of the {}", "see the {} for details"]
+TITLES = {
+    "Mozilla Public License": "mpl", "Eclipse Public License, v2.0": "epl-2.0", "Artistic License": "artistic", "GNU Lesser General Public License": "gpl,lgpl",
+    "GNU Lesser General Public License v2.1": "gpl,lgpl-2.1", "GNU Affero General Public License": "agpl,gpl", "Boost Software License 1.0": "bsl-1.0",
+    "Apache License": "apache", "European Union Public License 1.2": "eupl-1.2", "MIT License": "mit", "Python Software Foundation License": "python-2.0",
+}
+
+
+def test_titles_behind_general_rules(spark):
+    """Labels written by hand; gpl, apache and mit come from the base phrases too."""
+    rows, want = [], {}
+    for i, (general, (title, label)) in enumerate(product(GENERAL, TITLES.items())):
+        rows.append((i, general.format(title)))
+        want[i] = label
+    got = {row.doc_id: row.labels for row in summary(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_texts_of_licences_and_spellings(spark):
+    said = {
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "GPLv3": "gpl-3.0", "LGPL-2.1+": "lgpl-2.1", "EUPL-1.2": "eupl-1.2", "gplv2 or later": "gpl-2.0", "AGPLv3": "agpl-3.0", "MPL-2.0": "mpl-2.0",
+        "you may not use this file except in compliance with the License.": "apache-2.0", "bsd-3-clause": "bsd-3-clause",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights": "cc0-1.0", "a simple epl match": "",
+        "All advertising materials mentioning features or use of this software must display": "bsd-4-clause",
+    }
+    rows = list(enumerate(said))
+    got = {row.doc_id: row.labels for row in summary(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i, _ in rows] == list(said.values())

@@ -92,7 +92,7 @@ def wordings(parsed):
         elif kind == "NOT_LITERAL" or kind == "ANY":
             parts.append(["q"])
         elif kind == "IN":
-            parts.append([chr(each) for _, each in value])
+            parts.append([chr(each if isinstance(each, int) else each[0]) for _, each in value])
         elif kind == "SUBPATTERN":
             parts.append(wordings(value[-1]))
         elif kind == "BRANCH":

@@ -331,11 +331,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
         return pd.Series([_node(shingle_set(text)) for text in texts], dtype="Int64")
 
     found = linked_documents(docs).where("node is not null and doc_id <=> component_id")
-    staying = found.select(F.col("node").alias("same"), F.col("component_id").alias("kept")).distinct()
+    staying = found.groupBy(F.col("node").alias("same"), F.col("component_id").alias("kept")).agg(F.count("*").alias("times"))
     tagged = apart(docs).withColumns({"text": held(docs, "text"), "id": held(docs, "doc_id").cast("bigint")}).withColumn("node", node_of("text"))
     empty = tagged.where("node is null").select(*back(docs))
     met = tagged.join(staying, (F.col("node") == F.col("same")) & F.col("id").eqNullSafe(F.col("kept")))
     row = F.struct(*back(docs))
-    # As JSON the row has an order whatever its types; of equal ones any will do.
-    once = met.groupBy("node", "kept").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    # Only repeated rows need an order. As JSON a row has one whatever its types; of equal ones any will do.
+    again = F.col("times") > 1
+    first = F.struct(F.when(again, F.col("text")).otherwise(""), F.when(again, F.xxhash64(F.to_json(row))).otherwise(0))
+    once = met.groupBy("node", "kept").agg(F.min_by(row, first).alias("row"))
     return once.select(*[F.col("row")[name].alias(name) for name in docs.columns]).unionAll(empty)

@@ -18,7 +18,20 @@ from catalogue.adapter import (
     sql_views,
 )
 from catalogue.queries import AMOUNT_DIGITS, DIGITS, GENERIC, RESULT_TEXT, SHEETS, SHOWN_TEXT, generic_dataset
-from rideledger.fixed_values import CONTROL_DATASET, CONTROLS, DEVIATION_WORDS, REPORT_COLUMNS, STACKED_LABELS
+from rideledger.fixed_values import (
+    CONTROL_DATASET,
+    CONTROLS,
+    DEVIATION_WORDS,
+    REPORT_1_COLUMNS,
+    REPORT_5_COLUMNS,
+    REPORT_8_COLUMNS,
+    REPORT_10_COLUMNS,
+    REPORT_11_COLUMNS,
+    REPORT_20_COLUMNS,
+    REPORT_COLUMNS,
+    STACKED_LABELS,
+    VEHICLE_AGE_COLUMNS,
+)
 
 R = "stuurtabel_id"
 PLATE = "kenteken IS NOT NULL AND TRIM(kenteken) <> ''"
@@ -387,7 +400,7 @@ SHEET_SQL = {
     5: (REPORT_5, "route_date route_nummer route_naam van via naar foutmelding lopers rollers"),
     8: (REPORT_8, "datum klant_nummer reiziger_naam locatie_van locatie_naar geplande_instap_tijd_s geplande_uitstap_tijd_s max_reistijd "
         "geplande_reistijd overschrijding gerealiseerde_instap_tijd_s gerealiseerde_uitstap_tijd_s real_reistijd"),
-    10: (f"WITH {REPORT_10}", "route_key datum klant_nummer reiziger_naam geplande_instap_tijd_s locatie_van postcode_van geplande_uitstap_tijd_s "
+    10: (f"WITH {REPORT_10}".replace("route_key, datum,", "route_key, id, datum,", 1), "route_key datum klant_nummer reiziger_naam geplande_instap_tijd_s locatie_van postcode_van geplande_uitstap_tijd_s "
          "locatie_naar postcode_naar geplande_reistijd bestelde_aankomsttijd_s bestelde_vertrektijd_s netto_instap_s netto_uitstap_s "
          "netto_herplan_instap_s netto_herplan_uitstap_s vervoerder"),
     11: (f"""WITH {CLASSED} SELECT {R}, kenteken, emission_class, COUNT(DISTINCT datum) AS inzetdagen,
@@ -413,20 +426,57 @@ def quoted(text: str) -> str:
     return f"CASE WHEN regexp_matches({text}, '[;\"\\r\\n]') THEN '\"' || replace({text}, '\"', '\"\"') || '\"' ELSE {text} END"
 
 
+SHEET_ORDER = {
+    1: "datum klant_nummer reiziger_naam", 5: "route_date route_nummer", 8: "-overschrijding datum klant_nummer", 10: "route_key id datum",
+    11: "emission_class -rides kenteken", 13: "is_total kenteken", 20: "datum", 1004: "-type dimensie category", 1005: "-type dimensie category",
+    1006: "is_total kenteken",
+}
+SHEET_HEADERS = {
+    1: REPORT_1_COLUMNS, 5: REPORT_5_COLUMNS, 8: REPORT_8_COLUMNS, 10: {"route_key": "RouteKey", **REPORT_10_COLUMNS}, 11: REPORT_11_COLUMNS,
+    13: {**VEHICLE_AGE_COLUMNS, "kind": VEHICLE_AGE_COLUMNS["type"]}, 20: REPORT_20_COLUMNS, 1004: {}, 1005: {},
+    1006: {**VEHICLE_AGE_COLUMNS, "kind": VEHICLE_AGE_COLUMNS["type"]},
+}
+
+
+def ordered(names: str, held: str) -> str:
+    """An order by columns, NULLs last; the total of an age sheet stands below its vehicles."""
+    terms = []
+    for name in names.split():
+        bare = name.removeprefix("-")
+        term = "kenteken = 'Totaal'" if bare == "is_total" else f'"{bare}"'
+        terms.append(f"{term} {'DESC' if name.startswith('-') else 'ASC'} NULLS LAST")
+    return ", ".join(terms)
+
+
 def bundle() -> str:
-    """Sheets of every control; generic ride controls have one for each kind of run that has the control's columns."""
+    """Sheets of every control with headers; generic ride controls have one for each kind of run that has the control's columns."""
     parts = []
     for control in SHEETS:
         if control in SHEET_SQL:
-            sheets = [SHEET_SQL[control]]
+            rows, names = SHEET_SQL[control]
+            sheets = [(rows, names, ordered(SHEET_ORDER[control], names), SHEET_HEADERS[control])]
         else:
             both = ["ritten_detail", "va_ritten_detail"] if generic_dataset(control) == "ritten_detail" else [generic_dataset(control)]
             held = [dataset for dataset in both if f"resultaat_{control}" in columns_of(dataset)]
-            sheets = [(generic_detail(control, dataset), " ".join(generic_names(control, dataset))) for dataset in held]
-        for number, (rows, names) in enumerate(sheets):
+            sheets = []
+            for dataset in held:
+                shown_names = generic_names(control, dataset)
+                day_name = "rit_datum" if dataset == "va_ritten_detail" else "datum"
+                more = ", ".join(name for name in (day_name, "vervoerder") if name not in shown_names)
+                rows = generic_detail(control, dataset).replace(" FROM ", f"{', ' + more if more else ''} FROM ", 1)
+                outcome = ("resultaat", "tekst", "controlewaarde", "dempelwaarde")
+                fields = [f"{name}_{control}" if name in outcome else name for name in REPORT_COLUMNS[control]]
+                heads = dict(zip(fields, REPORT_COLUMNS[control].values(), strict=True))
+                sheets.append((rows, " ".join(shown_names), ordered(f"{day_name} vervoerder", ""), heads))
+        for number, (rows, names, order, heads) in enumerate(sheets):
             cells = ", ".join(quoted(shown('"type"' if name == "type" else name)) for name in names.split())
-            parts.append(f"SELECT {R}, {control} AS control_id, concat_ws(';', {cells}) AS line FROM ({rows}) AS rows_{control}_{number}")
-    return f"""lines AS ({" UNION ALL ".join(parts)}) SELECT * FROM lines"""
+            head = ";".join(heads.get(name, heads.get(name.removesuffix("_s"), name)) for name in names.split()).replace("'", "''")
+            name = f"sheet_{control}_{number}"
+            parts.append(f"""{name} AS (SELECT *, concat_ws(';', {cells}) AS line FROM ({rows}) AS rows_{control}_{number}),
+            {name}_lines AS (SELECT {R}, {control} AS control_id, ROW_NUMBER() OVER (PARTITION BY {R} ORDER BY {order}, line) AS row_no, line FROM {name}
+                UNION ALL SELECT DISTINCT {R}, {control}, 0, '{head}' FROM {name})""")
+    names = [part.split(" AS ", 1)[0] + "_lines" for part in parts]
+    return f"""{", ".join(parts)} SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM {name}" for name in names)}) AS all_lines"""
 
 
 # Normalising and sync.

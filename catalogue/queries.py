@@ -336,7 +336,7 @@ add("report_20_monthly", lambda star: rounded(costs.report_20_monthly(star.kenta
 # Exports.
 
 # Every control with a sheet, as executed in all runs whose data it reads.
-SHEETS = sorted({1, 5, 8, 10, 11, 13, 20, 1004, 1005, 1006, *REPORT_COLUMNS} - {12})
+SHEETS = sorted({1, 5, 8, 10, 11, 13, 20, 1004, 1005, 1006, *REPORT_COLUMNS})
 
 
 def _executed_everywhere(star: Star) -> DataFrame:
@@ -344,7 +344,7 @@ def _executed_everywhere(star: Star) -> DataFrame:
 
 
 add("export_summary", lambda star: export.export_summary(breakdown(star)))
-add("export_bundle_long", lambda star: export.export_bundle(details(star), _executed_everywhere(star), SHEETS).where("row_no > 0").drop("row_no"))
+add("export_bundle_long", lambda star: export.export_bundle(details(star), _executed_everywhere(star), SHEETS))
 add("export_10_all_routes", lambda star: format_cells(routes.report_10_detail(ROUTES_10(star), REPORT_10_RIDES(star)).listing()))
 add("export_12_monthly_wide", lambda star: export.fuel_matrix_wide(FUELS(star), "monthly"))
 add("format_export_columns", lambda star: format_cells(REPORT_8(star)))

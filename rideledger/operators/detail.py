@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rideledger.fixed_values import PAGE_ROWS
 from rideledger.functions.text import cell, sort_key
 from rideledger.registry import RUN
+from rideledger.sources.datasets import shared_folder
 
 
 def ordering(names: list[str]) -> list[Column]:
@@ -51,6 +52,28 @@ class Detail:
         return self.rows.orderBy(*self.total_order()).offset(offset).limit(limit).drop(*self.hidden)
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 within ``by`` in a given order, however many rows one group has.
+
+    The whole order is cut into ranges that are sorted each on its own and written to the shared scratch
+    folder. A row's number is its place in its range and how many rows of its group earlier ranges hold, which a
+    small table tells: one row for a group and range.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    keys = [*[F.col(column).asc() for column in by], *order]
+    # Ranges are chosen by reading the rows once more, so these are kept as they are first.
+    placed = rows.checkpoint().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_range", F.shiftrightunsigned("_at", 33))
+    held = placed.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1)
+    held = held.select(F.col("_range").alias("_of"), "_before", *[F.col(column).alias(f"_of_{column}") for column in by])
+    same = [F.col("_range") == F.col("_of"), *[F.col(column).eqNullSafe(F.col(f"_of_{column}")) for column in by]]
+    return placed.join(held, same).select(*rows.columns, (F.col("_at") + F.col("_before")).cast("bigint").alias(name))
+
+
 def sorted_rows(
     df: DataFrame, keys: Sequence[tuple[str, bool]], position: str, within: Sequence[str] = (), name: str = "place"
 ) -> DataFrame:
@@ -59,9 +82,22 @@ def sorted_rows(
     ``keys`` are (column, whether ascending), the first the most important. Blanks come first in ascending
     and last in descending order; rows that are alike in all keys keep the order of ``position``.
     """
-    columns = [sort_key(F.col(column)).asc() if ascending else sort_key(F.col(column)).desc() for column, ascending in keys]
-    order = Window.partitionBy(*within).orderBy(*columns, F.col(position).asc())
-    return df.withColumn(name, F.row_number().over(order).cast("bigint"))
+    named = {f"_key_{place}": sort_key(F.col(column)) for place, (column, _) in enumerate(keys)}
+    order = [F.col(key).asc() if ascending else F.col(key).desc() for key, (_, ascending) in zip(named, keys, strict=True)]
+    return numbered(df.withColumns(named), within, [*order, F.col(position).asc()], name).drop(*named)
+
+
+def rank(kind: str, value: Column, descending: bool = False) -> Column:
+    """A sort key of one type for dates, numbers and ascending texts; NULLs come last either way."""
+    none = F.struct(value.isNull().alias("none"))
+    if kind == "string":
+        if descending:
+            raise ValueError("texts have ascending keys only")
+        number, text = F.lit(0.0), F.coalesce(value, F.lit(""))
+    else:
+        days = F.unix_date(value) if kind == "date" else F.unix_micros(value) if kind == "timestamp" else value
+        number, text = F.coalesce(days.cast("double") * (-1 if descending else 1), F.lit(0.0)), F.lit("")
+    return F.struct(none["none"].alias("none"), number.alias("number"), text.alias("text"))
 
 
 def format_cells(df: DataFrame) -> DataFrame:

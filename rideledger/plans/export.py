@@ -25,7 +25,7 @@ from rideledger.fixed_values import (
 from rideledger.functions.numeric import half_even, share
 from rideledger.functions.text import cell, plain_number
 from rideledger.operators.count import PER_RUN, only_run
-from rideledger.operators.detail import Detail, format_cells
+from rideledger.operators.detail import Detail, format_cells, numbered, ordering, rank
 from rideledger.plans.fleet import (
     age_totals,
     age_vehicles,
@@ -39,7 +39,18 @@ from rideledger.plans.fleet import (
     vehicles_by_age,
 )
 from rideledger.plans.costs import report_20_daily_table
-from rideledger.plans.rides import generic_detail, generic_fields, grouped_detail, report_1_detail, report_5_detail, report_8_detail
+from rideledger.plans.rides import (
+    generic_detail,
+    generic_fields,
+    generic_parts,
+    grouped_detail,
+    report_1_detail,
+    report_1_parts,
+    report_5_detail,
+    report_5_parts,
+    report_8_detail,
+    report_8_parts,
+)
 from rideledger.plans.routes import report_10_detail
 from rideledger.plans.sync import transport_group
 from rideledger.registry import RUN, detail_dataset, report_columns
@@ -130,38 +141,119 @@ def quoted(text: Column) -> Column:
     return F.when(text.rlike(f'[{SEPARATOR}"\\r\\n]'), inside).otherwise(text)
 
 
+def _ranks(detail: Detail) -> list[Column]:
+    """Sort keys of one type from the order of a report."""
+    kinds = dict(detail.rows.dtypes)
+    return [rank(kinds[name.lstrip("-")], F.col(name.lstrip("-")), name.startswith("-")) for name in detail.order]
+
+
+def _line(names: Sequence[str], kinds: Mapping[str, str], value: Callable[[str], Column]) -> Column:
+    return F.concat_ws(SEPARATOR, *[quoted(cell(name, kinds[name], value(name))) for name in names])
+
+
+def _head(headers: Sequence[str]) -> Column:
+    return F.concat_ws(SEPARATOR, *[quoted(F.lit(header)) for header in headers])
+
+
 def sheet_lines(detail: Detail, headers: Sequence[str], control: int) -> DataFrame:
-    """Lines of a sheet per run in report order, numbered from 1; line 0 has the headers."""
+    """Lines of a sheet per run in report order (then by their text), numbered from 1; line 0 has the headers."""
     kinds = dict(detail.rows.dtypes)
     held = [name for name in detail.rows.columns if name not in (RUN, *detail.hidden)]
-    line = F.concat_ws(SEPARATOR, *[quoted(cell(name, kinds[name], F.col(name))) for name in held])
-    head = F.concat_ws(SEPARATOR, *[quoted(F.lit(header)) for header in headers])
-    place = F.row_number().over(Window.partitionBy(RUN).orderBy(*detail.total_order()))
-    lines = detail.rows.select(RUN, place.cast("bigint").alias("row_no"), line.alias("line"))
-    heads = detail.rows.select(RUN).distinct().select(RUN, F.lit(0).cast("bigint").alias("row_no"), head.alias("line"))
-    return lines.unionAll(heads).select(RUN, F.lit(control).alias("control_id"), "row_no", "line")
+    rows = numbered(detail.rows.withColumn("_line", _line(held, kinds, F.col)), [RUN], [*ordering(detail.order), F.col("_line").asc()], "row_no")
+    heads = rows.where("row_no = 1").withColumns({"row_no": F.lit(0).cast("bigint"), "_line": _head(headers)})
+    return rows.unionByName(heads).select(RUN, F.lit(control).alias("control_id"), "row_no", F.col("_line").alias("line"))
 
 
-def control_lines(details: Mapping[str, DataFrame], executed: DataFrame, control: int) -> DataFrame:
-    """Lines of the sheet of one control, for the runs that executed it, each read from its transport's dataset.
+def _sheet_rows(detail: Detail, control: int, sheet: str) -> DataFrame:
+    """(run, control_id, sheet, key, line) of a sheet."""
+    kinds = dict(detail.rows.dtypes)
+    held = [name for name in detail.rows.columns if name not in (RUN, *detail.hidden)]
+    return detail.rows.select(
+        RUN, F.lit(control).alias("control_id"), F.lit(sheet).alias("sheet"), F.array(*_ranks(detail)).alias("key"), _line(held, kinds, F.col).alias("line")
+    )
 
-    ``executed`` holds run, control_id and soortvervoer. Write a bundle control by control: each
-    is a plan of its own.
+
+def _with_heads(rows: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(run, control_id, row_no, line) from rows of sheets: numbered in order, and line 0 for each."""
+    lines = numbered(rows, [RUN, "control_id", "sheet"], [F.col("key").asc(), F.col("line").asc()], "row_no")
+    head = F.element_at(F.create_map(*[part for sheet, names in headers.items() for part in (F.lit(sheet), _head(names))]), F.col("sheet"))
+    heads = lines.where("row_no = 1").withColumns({"row_no": F.lit(0).cast("bigint"), "line": head})
+    return lines.unionByName(heads).select(RUN, "control_id", "row_no", "line")
+
+
+def _sheet_name(control: int, dataset: str) -> str:
+    return f"{control}:{dataset}"
+
+
+def _row_sheets(rows: DataFrame, dataset: str, controls: Sequence[int]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Sheets that list deviating rows of a dataset as they are, all from one pass over it, and their headers.
+
+    Every row is formatted once, column by column, and gives one entry for each control that it deviates from.
     """
-    runs = executed.where(F.col("control_id") == control).select(RUN, transport_group(F.col("soortvervoer")).alias("_group")).distinct()
-    datasets = {transport: detail_dataset(control, transport) for transport in TRANSPORTS}
-    parts = []
-    for dataset in dict.fromkeys(datasets.values()):
-        groups = [transport for transport in TRANSPORTS if datasets[transport] == dataset]
-        detail, headers = control_sheet(details, control, groups[0])
-        chosen = runs.where(F.col("_group").isin(groups)).select(RUN)
-        parts.append(sheet_lines(replace(detail, rows=detail.rows.join(chosen, RUN, "left_semi")), headers, control))
-    return reduce(DataFrame.unionByName, parts)
+    own = {1: (report_1_parts, REPORT_1_COLUMNS), 5: (report_5_parts, REPORT_5_COLUMNS), 8: (report_8_parts, REPORT_8_COLUMNS)}
+    parts, headers = {}, {}
+    for control in controls:
+        part = own[control][0](rows) if control in own else generic_parts(rows, control)
+        rows, parts[control] = part.rows, part
+        names = own[control][1] if control in own else dict(zip(generic_fields(control), report_columns(control).values()))
+        kinds = dict(rows.select(*part.columns).dtypes)
+        held = [name for name in kinds if name not in part.hidden]
+        headers[_sheet_name(control, dataset)] = [names.get(name, names.get(name.removesuffix("_s"), name)) for name in held]
+    labels: dict[str, str] = {}  # by the column's SQL: what several sheets show is formatted once
+    cells: list[Column] = []
+    each: list[Column] = []
+    for control, part in parts.items():
+        kinds = dict(rows.select(*part.columns).dtypes)
+        shown = dict(zip(kinds, part.columns, strict=True))
+        for name, column in shown.items():
+            if name not in part.hidden and str(column) not in labels:
+                labels[str(column)] = f"cell {len(labels)}"
+                cells.append(quoted(cell(name, kinds[name], column)).alias(labels[str(column)]))
+        keys = [rank(kinds[name.lstrip("-")], shown[name.lstrip("-")], name.startswith("-")) for name in part.order]
+        cells += [part.condition.alias(f"if {control}"), F.array(*keys).alias(f"key {control}")]
+        line = F.concat_ws(SEPARATOR, *[F.col(labels[str(column)]) for name, column in shown.items() if name not in part.hidden])
+        named = F.lit(control).alias("control_id"), F.lit(_sheet_name(control, dataset)).alias("sheet")
+        each.append(F.when(F.col(f"if {control}"), F.struct(*named, F.col(f"key {control}").alias("key"), line.alias("line"))))
+    listed = rows.select(RUN, *cells).select(RUN, F.explode(F.array_compact(F.array(*each))).alias("entry"))
+    return listed.select(RUN, "entry.*"), headers
+
+
+def _of_rows(control: int) -> bool:
+    """Whether the sheet of a control lists rows of its dataset."""
+    return control in (1, 5, 8) or control not in GATHERED
+
+
+#: Controls whose sheets are gathered from many rows.
+GATHERED = (10, 11, 13, 20, 1004, 1005, 1006)
 
 
 def export_bundle(details: Mapping[str, DataFrame], executed: DataFrame, controls: Sequence[int]) -> DataFrame:
-    """(run, control_id, row_no, line) of all sheets."""
-    return reduce(DataFrame.unionByName, [control_lines(details, executed, control) for control in controls])
+    """(run, control_id, row_no, line) of the sheets of all controls, for the runs that executed them.
+
+    ``executed`` holds run, control_id and soortvervoer; each sheet is read from its transport's dataset. Sheets that list
+    rows take one pass over a dataset together. All lines are numbered at once.
+    """
+    datasets = {(control, transport): detail_dataset(control, transport) for control in controls for transport in TRANSPORTS}
+    parts: list[DataFrame] = []
+    headers: dict[str, Sequence[str]] = {}
+    for dataset in dict.fromkeys(datasets.values()):
+        own = [control for control in controls if dataset in (datasets[control, "RG"], datasets[control, "VA"])]
+        listed = [control for control in own if _of_rows(control)]
+        if listed:
+            rows, heads = _row_sheets(details[dataset], dataset, listed)
+            parts.append(rows)
+            headers |= heads
+        for control in (control for control in own if not _of_rows(control)):
+            transport = next(transport for transport in TRANSPORTS if datasets[control, transport] == dataset)
+            detail, heads = control_sheet(details, control, transport)
+            sheet = _sheet_name(control, dataset)
+            parts.append(_sheet_rows(detail, control, sheet))
+            headers[sheet] = heads
+    named = F.create_map(*[F.lit(part) for (control, transport), dataset in datasets.items() for part in (f"{control}:{transport}", _sheet_name(control, dataset))])
+    wanted = executed.select(
+        RUN, F.element_at(named, F.concat(F.col("control_id").cast("string"), F.lit(":"), transport_group(F.col("soortvervoer")))).alias("sheet")
+    ).where("sheet is not null").distinct()
+    return _with_heads(reduce(DataFrame.unionByName, parts).join(wanted, [RUN, "sheet"], "left_semi"), headers)
 
 
 def write_csv(detail: Detail, headers: Sequence[str], path: str, run_id: int) -> None:
@@ -194,7 +286,8 @@ def stacked_matrix(rides: DataFrame, control: int, by: Sequence[str] = PER_RUN)
         ),
     ]
     stacked = reduce(lambda top, below: top.unionByName(below, allowMissingColumns=True), tables)
-    return Detail(stacked, [f"-{kind}", dimension, "category"])
+    place = F.array_position(F.array(*[F.lit(label) for label in sorted(STACKED_LABELS[control], reverse=True)]), F.col(kind))
+    return Detail(stacked.withColumn("place", place), ["place", dimension, "category"], hidden=("place",))
 
 
 # A wide matrix has a column for every category; more than this many are no report any more.

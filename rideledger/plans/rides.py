@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ def listed(df: DataFrame, names: Sequence[str]) -> list[Column]:
     ]
 
 
+class Parts(NamedTuple):
+    """A list of deviating rows, not yet filtered: so that several lists can be made in one pass over a dataset."""
+
+    #: The dataset with what the list adds to it.
+    rows: DataFrame
+    condition: Column
+    columns: list[Column]
+    order: list[str]
+    hidden: tuple[str, ...] = ()
+
+    def detail(self) -> Detail:
+        return Detail(self.rows.where(self.condition).select(RUN, *self.columns), self.order, self.hidden)
+
+
 def _text_or_empty(df: DataFrame, name: str, shown: str) -> Column:
     return F.coalesce(optional(df, name).cast("string"), F.lit("")).alias(shown)
 
@@ -44,13 +59,17 @@ def report_1_summary(rides: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame
 
 
 def report_1_detail(rides: DataFrame) -> Detail:
-    rows = rides.where(nonzero(rides, "resultaat_1")).withColumnRenamed("tekst_1", "match_uitleg")
+    return report_1_parts(rides).detail()
+
+
+def report_1_parts(rides: DataFrame) -> Parts:
+    rows = rides.withColumn("match_uitleg", F.col("tekst_1")) if "tekst_1" in rides.columns else rides
     names = [
         "datum", "klant_nummer", "reiziger_naam", "locatie_van", "postcode_van", "bestelde_vertrektijd",
         "locatie_naar", "postcode_naar", "bestelde_aankomsttijd", "match_uitleg", "bedrag_ex_btw", "status_rit",
         "route_nummer", "perceel_vervoerder",
     ]
-    return Detail(rows.select(RUN, *listed(rows, names)), ["datum", "klant_nummer", "reiziger_naam"])
+    return Parts(rows, nonzero(rides, "resultaat_1"), listed(rows, names), ["datum", "klant_nummer", "reiziger_naam"])
 
 
 # Control 5: planning failed.
@@ -61,8 +80,11 @@ def report_5_summary(routes: DataFrame, by: Sequence[str] = PER_RUN) -> DataFram
 
 
 def report_5_detail(routes: DataFrame) -> Detail:
-    rows = routes.where(result_or_text(routes, 5)).select(
-        RUN,
+    return report_5_parts(routes).detail()
+
+
+def report_5_parts(routes: DataFrame) -> Parts:
+    shown = [
         F.to_date("datum").alias("route_date"),
         _text_or_empty(routes, "route_nummer", "route_nummer"),
         _text_or_empty(routes, "route_naam", "route_naam"),
@@ -72,8 +94,8 @@ def report_5_detail(routes: DataFrame) -> Detail:
         _text_or_empty(routes, "tekst_5", "foutmelding"),
         F.coalesce(optional(routes, "aantal_lopers", "bigint"), F.lit(0)).alias("lopers"),
         F.coalesce(optional(routes, "aantal_rollers", "bigint"), F.lit(0)).alias("rollers"),
-    )
-    return Detail(rows, ["route_date", "route_nummer"])
+    ]
+    return Parts(routes, result_or_text(routes, 5), shown, ["route_date", "route_nummer"])
 
 
 def report_5_route_rides(routes: DataFrame, rides: DataFrame) -> Detail:
@@ -106,7 +128,11 @@ def report_8_summary(rides: DataFrame, by: Sequence[str] = PER_RUN) -> DataFrame
 
 def report_8_detail(rides: DataFrame) -> Detail:
     """All deviating rides, also those without planned times."""
-    rows = rides.where(nonzero(rides, "resultaat_8")).withColumns(
+    return report_8_parts(rides).detail()
+
+
+def report_8_parts(rides: DataFrame) -> Parts:
+    rows = rides.withColumns(
         {
             "max_reistijd": F.col("dempelwaarde_8"),
             "geplande_reistijd": F.col("controlewaarde_8"),
@@ -119,7 +145,7 @@ def report_8_detail(rides: DataFrame) -> Detail:
         "geplande_uitstap_tijd", "max_reistijd", "geplande_reistijd", "overschrijding", "gerealiseerde_instap_tijd",
         "gerealiseerde_uitstap_tijd", "real_reistijd",
     ]
-    return Detail(rows.select(RUN, *listed(rows, names)), ["-overschrijding", "datum", "klant_nummer"])
+    return Parts(rows, nonzero(rides, "resultaat_8"), listed(rows, names), ["-overschrijding", "datum", "klant_nummer"])
 
 
 # Generic controls.
@@ -136,17 +162,20 @@ def generic_summary(df: DataFrame, control: int, by: Sequence[str] = PER_RUN) ->
 
 def generic_detail(df: DataFrame, control: int) -> Detail:
     """Deviating rows with the report columns that the dataset has."""
-    rows = df.where(result_or_text(df, control))
+    return generic_parts(df, control).detail()
+
+
+def generic_parts(df: DataFrame, control: int) -> Parts:
     fields = generic_fields(control)
     if entity(control) == "rit":
-        shown = listed(rows, fields)
+        shown = listed(df, fields)
     else:
-        shown = [F.col(held) for name in fields if (held := stored_name(rows, name))]
-    shown_names = [held for name in fields if (held := stored_name(rows, name))]
+        shown = [F.col(held) for name in fields if (held := stored_name(df, name))]
+    shown_names = [held for name in fields if (held := stored_name(df, name))]
     day = next((name for name in ("datum", "rit_datum") if name in df.columns), shown_names[0])
     second = "vervoerder" if "vervoerder" in df.columns else shown_names[min(1, len(shown_names) - 1)]
     hidden = tuple(name for name in dict.fromkeys((day, second)) if name not in shown_names)
-    return Detail(rows.select(RUN, *shown, *hidden), [day, second], hidden)
+    return Parts(df, result_or_text(df, control), [*shown, *[F.col(name) for name in hidden]], [day, second], hidden)
 
 
 def grouped_detail(df: DataFrame, control: int, by: Sequence[str] = PER_RUN) -> Detail:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from catalogue.queries import SHEETS
 from rideledger.operators.count import measure_controls, only_run, summary
 from rideledger.functions.predicates import nonzero
-from rideledger.operators.detail import Detail, sorted_rows
+from rideledger.operators.detail import Detail, numbered, sorted_rows
 from rideledger.operators.matrix import zero_filled
 from rideledger.operators.unpivot import control_rows
 from rideledger.plans.dashboard import deviations_per_carrier
-from rideledger.plans.export import export_bundle, sheet_lines
+from rideledger.plans.export import _row_sheets, export_bundle, sheet_lines
 
 
 def test_unpivot_keeps_results_and_texts(spark):
@@ -140,3 +140,31 @@ def test_deviations_per_carrier_tell_rides_of_both_kinds_apart(spark):
     va_rides = spark.createDataFrame([(1, 7, "a", 1), (2, 7, "b", 1)], shape)
     long = control_rows(rides, "rit").unionByName(control_rows(va_rides, "va_rit"))
     assert sorted(map(tuple, deviations_per_carrier(long).collect())) == [(1, "a", 2), (2, "b", 1)]
+
+
+def test_numbering_of_one_hot_group_is_spread(spark):
+    """One run has nearly all rows: numbers are those of a plain sort, and no task has more than twice the median."""
+    hot = spark.range(40_000).selectExpr("case when id % 1000 = 0 then null when id % 500 = 1 then 2 else 1 end as run", "id * 7919 % 40000 as v", "id")
+    rows = numbered(hot.repartition(7), ["run"], [F.col("v").desc()], "place")
+    got = {}
+    for row in rows.select("run", "v", "place").collect():
+        got.setdefault(row.run, []).append((row.place, row.v))
+    for held in got.values():
+        held.sort()
+        assert [place for place, _ in held] == list(range(1, len(held) + 1))
+        assert [v for _, v in held] == sorted((v for _, v in held), reverse=True)
+    assert sorted(map(len, got.values())) == [40, 80, 39_880]
+    spread = hot.repartitionByRange(8, F.col("run").asc(), F.col("v").desc()).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert spread.max() <= 2 * spread.median()
+
+
+def test_listing_sheets_share_one_scan(spark, tmp_path):
+    """Sheets that list rows of a dataset read it once, whatever their number."""
+    columns = "stuurtabel_id int, datum date, vervoerder string, klant_nummer bigint, " + ", ".join(f"resultaat_{c} int, tekst_{c} string" for c in (2, 9, 12, 16))
+    path = str(tmp_path / "rides")
+    values = [(1, None, f"v{i % 3}", i, *[x for c in range(4) for x in (int(i % (c + 2) == 0), f"t{c}")]) for i in range(30)]
+    spark.createDataFrame(values, columns).write.parquet(path)
+    rows, headers = _row_sheets(spark.read.parquet(path), "ritten_detail", [2, 9, 12, 16])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and len(headers) == 4
+    assert {row.control_id: row["count"] for row in rows.groupBy("control_id").count().collect()} == dict.fromkeys((2, 9, 12, 16), 30)

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from rideledger.llm.cluster import give_back, remembered, settled, ship
 from rideledger.llm.columns import apart, back, held
 from rideledger.llm.components import components
+from rideledger.llm.marks import marked
 from rideledger.llm.words import lower_words
 
 SHINGLE = 4
@@ -330,14 +331,20 @@ def without_copies(docs: DataFrame) -> DataFrame:
     def node_of(texts: pd.Series) -> pd.Series:
         return pd.Series([_node(shingle_set(text)) for text in texts], dtype="Int64")
 
-    found = linked_documents(docs).where("node is not null and doc_id <=> component_id")
-    staying = found.groupBy(F.col("node").alias("same"), F.col("component_id").alias("kept")).agg(F.count("*").alias("times"))
-    tagged = apart(docs).withColumns({"text": held(docs, "text"), "id": held(docs, "doc_id").cast("bigint")}).withColumn("node", node_of("text"))
+    found = settled(linked_documents(docs).withColumn("id", F.col("doc_id").cast("bigint")))
+    stays = F.col("node").isNull() | F.col("id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy("id").agg(F.count("*").alias("rows"), F.bool_and(stays).alias("stays"))
+    keyed = apart(docs).withColumns({"text": held(docs, "text"), "id": held(docs, "doc_id").cast("bigint")})
+    # A row whose id no other row has is told by its id alone; only the others are read again for their sets.
+    once = keyed.join(ids.where("rows = 1 and stays and id is not null").select("id"), "id", "left_semi").select(*back(docs))
+    shared = ids.where("rows > 1 or id is null").select(F.col("id").alias("shared_id"))
+    tagged = marked(keyed, shared.withColumnRenamed("shared_id", "id"), ["id"]).where("_marked")
+    tagged = tagged.join(shared, F.col("id").eqNullSafe(F.col("shared_id")), "left_semi").withColumn("node", node_of("text"))
+    staying = found.where("node is not null and id <=> component_id").join(shared, F.col("id").eqNullSafe(F.col("shared_id")), "left_semi")
+    staying = staying.select(F.col("node").alias("same"), F.col("component_id").alias("kept")).distinct()
     empty = tagged.where("node is null").select(*back(docs))
     met = tagged.join(staying, (F.col("node") == F.col("same")) & F.col("id").eqNullSafe(F.col("kept")))
     row = F.struct(*back(docs))
-    # Only repeated rows need an order. As JSON a row has one whatever its types; of equal ones any will do.
-    again = F.col("times") > 1
-    first = F.struct(F.when(again, F.col("text")).otherwise(""), F.when(again, F.xxhash64(F.to_json(row))).otherwise(0))
-    once = met.groupBy("node", "kept").agg(F.min_by(row, first).alias("row"))
-    return once.select(*[F.col("row")[name].alias(name) for name in docs.columns]).unionAll(empty)
+    # As JSON a row has an order whatever its types; of equal ones any will do.
+    first = met.groupBy("node", "kept").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return once.unionAll(empty).unionAll(first.select(*[F.col("row")[name].alias(name) for name in docs.columns]))

@@ -570,6 +570,9 @@ def statements() -> dict[str, str]:
     chained["dashboard_metrics_long"] = METRICS
     chained["control_deviation_count"] = f"{measures()} SELECT {R}, dataset, control_id, total_deviations FROM measures"
     chained["control_checked_count"] = f"{measures()} SELECT {R}, dataset, control_id, total_checked FROM measures"
+    chained["control_breakdown_stored"] = f"{BREAKDOWN} SELECT *, {COUNT_PCT} AS deviation_percentage FROM breakdown WHERE {R} IN (SELECT {R} FROM runs)"
+    chained["dashboard_metrics_stored"] = METRICS
+    chained["control_trend_stored"] = f"{TREND} SELECT *, {COUNT_PCT} AS deviation_percentage FROM trend"
     chained["control_trend"] = f"{TREND} SELECT *, {COUNT_PCT} AS deviation_percentage FROM trend"
     chained["trend_previous_point"] = f"""{TREND}, shares AS (SELECT *, {COUNT_PCT} AS percentage FROM trend),
         highest AS (SELECT selected_run, control_id, MAX(total_deviations) AS max_deviations FROM trend GROUP BY 1, 2)

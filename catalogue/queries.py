@@ -19,6 +19,7 @@ from rideledger.functions.text import deviation_flag, minutes_label, sort_key, s
 from rideledger.operators import normalise
 from rideledger.operators.detail import Detail, format_cells, sorted_rows
 from rideledger.operators.unpivot import control_rows
+from rideledger.plans import measures as kept_counts
 from rideledger.plans import costs, dashboard, export, fleet, rides, routes, runs, sync
 from rideledger.registry import RUN, detail_dataset
 from rideledger.sources.datasets import Store, shared_folder
@@ -549,6 +550,22 @@ def _stored_key_figures(star: Star) -> Store:
     return store
 
 
+def _stored_client(star: Star) -> Store:
+    """A store that holds the detail rows of the current runs with their counts."""
+    store = _new_store(star)
+    found = {dataset: rows for dataset, rows in details(star).items() if dataset in kept_counts.MEASURED}
+    for dataset, rows in found.items():
+        store.write_version(dataset, rows.join(current(star).select(RUN), RUN, "left_semi"), "1")
+    kept_counts.keep_measures(store, list(found), "1")
+    versions = F.create_map(*[F.lit(text) for dataset in found for text in (dataset, "1")])
+    store.publish(sync.build_manifest(current(star), CLIENT, SYNCED_AT).withColumn("data_versions", versions), "1")
+    return store
+
+
+add("control_trend_stored", lambda star: kept_counts.stored_trend(_stored_client(star), current(star)))
+add("control_breakdown_stored", lambda star: kept_counts.stored_breakdown(
+    _stored_client(star), current(star), star.executed_controls().join(current(star).select(RUN), RUN, "left_semi")))
+add("dashboard_metrics_stored", lambda star: kept_counts.stored_metrics(_stored_client(star), current(star)))
 add("current_dataset_write", lambda star: _stored_key_figures(star).read_current("kentallen_route").groupBy(RUN).agg(F.count("*").alias("n_rows")))
 add("current_dataset_read", lambda star: _stored_key_figures(star).read_current("kentallen_route").select(RUN, "datum", "route_id", "kosten_rit", "n_ritten"))
 

@@ -13,6 +13,10 @@ from rideledger.functions.text import deviation_flag
 from rideledger.registry import entity
 
 
+#: Columns a row must have filled to be checked by a control; the other controls check every row.
+CHECKED_IF = {8: ("geplande_instap_tijd_s", "geplande_uitstap_tijd_s"), 10: ("route_nummer",)}
+
+
 def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     """The column, or a typed NULL where the dataset lacks it."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
@@ -54,12 +58,9 @@ def flags_deviation(df: DataFrame, control: int) -> Column:
 def checked_and_deviating(df: DataFrame, control: int) -> tuple[Column, Column]:
     """Which rows a control has checked, and which of them deviate."""
     result = f"resultaat_{control}"
-    if control == 8:
-        planned = "geplande_instap_tijd_s is not null and geplande_uitstap_tijd_s is not null"
-        return F.expr(planned), F.expr(f"{planned} and {_differs_from_zero(df, result)}")
-    if control == 10:
-        numbered = "route_nummer is not null"
-        return F.expr(numbered), F.expr(f"{numbered} and {_differs_from_zero(df, result)}")
+    if control in CHECKED_IF:
+        filled = " and ".join(f"{name} is not null" for name in CHECKED_IF[control])
+        return F.expr(filled), F.expr(f"{filled} and {_differs_from_zero(df, result)}")
     if control == 11:
         return F.lit(True), F.expr(f"coalesce(try_cast({result} as double), 0) > 1")
     if control in CONTROL_DATASET:
@@ -67,9 +68,9 @@ def checked_and_deviating(df: DataFrame, control: int) -> tuple[Column, Column]:
     return F.lit(True), result_or_text(df, control)
 
 
-def measurable_controls(df: DataFrame, dataset: str) -> list[int]:
-    """Controls that can be counted on a dataset: its own, and generic ones it has columns for."""
-    found = {int(hit[1]) for name in df.columns if (hit := re.match(r"^(?:resultaat|tekst)_(\d+)$", name))}
+def measurable_controls(names: list[str], dataset: str) -> list[int]:
+    """Controls that can be counted on a dataset with these columns: its own, and generic ones it has columns for."""
+    found = {int(hit[1]) for name in names if (hit := re.match(r"^(?:resultaat|tekst)_(\d+)$", name))}
     kind = "route" if dataset == "routes_detail" else "rit"
     generic = {control for control in found if control not in CONTROL_DATASET and entity(control) == kind}
     own = {control for control, home in CONTROL_DATASET.items() if home == dataset and control in found}

@@ -35,13 +35,13 @@ def summary(
     )
 
 
-def measure_controls(df: DataFrame, dataset: str, by: Sequence[str] = PER_RUN) -> DataFrame:
+def measure_controls(df: DataFrame, dataset: str, by: Sequence[str] = PER_RUN, controls: Sequence[int] | None = None) -> DataFrame:
     """Checked and deviating rows of every control of a dataset, from one pass over it.
 
-    All controls are counted as one wide aggregate row per group; only that row is
+    Without ``controls`` those the dataset has columns for. All controls are counted as one wide aggregate row per group; only that row is
     turned into one row per control.
     """
-    controls = measurable_controls(df, dataset)
+    controls = measurable_controls(df.columns, dataset) if controls is None else controls
     conditions = {control: checked_and_deviating(df, control) for control in controls}
     counts = [
         F.count_if(condition).alias(f"{kind}_{control}")

@@ -147,17 +147,23 @@ def control_trend(runs: DataFrame, details: dict[str, DataFrame], length: int =
 
     Show it by ``position`` descending: oldest run first.
     """
+    controls = {dataset: measurable_controls(detail.columns, dataset) for dataset, detail in details.items()}
+    return trend_of(runs, controls, measure_all(details), length)
+
+
+def trend_of(runs: DataFrame, controls: dict[str, list[int]], measures: DataFrame, length: int = TREND_RUNS) -> DataFrame:
+    """The trend from counts per run, dataset and control; ``controls`` are those of each dataset."""
     countable = F.array(
         *[
             F.struct(F.lit(dataset).alias("dataset"), F.lit(control).alias("control_id"))
-            for dataset, detail in details.items()
-            for control in measurable_controls(detail, dataset)
+            for dataset, found in controls.items()
+            for control in found
         ]
     )
     shared = F.col("control_id").isin(list(CONTROL_DATASET)) | (F.col("dataset") == "routes_detail")
     own = F.col("dataset") == ride_dataset(F.col("selected_transport"))
     points = trend_runs(runs, length).select("*", F.inline(countable)).where(shared | own)
-    return _filled(points, measure_all(details))
+    return _filled(points, measures)
 
 
 def control_1_trend(runs: DataFrame, rides: dict[str, DataFrame], length: int = TREND_RUNS) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from rideledger.operators.normalise import (
     united,
 )
 from rideledger.operators.unpivot import control_rows
+from rideledger.plans.measures import current_counts, keep_measures
 from rideledger.registry import RUN
 from rideledger.sources.datasets import Store
 from rideledger.sources.tables import Reader, run_table, whole_table
@@ -98,31 +98,34 @@ def _extract(read: Reader, plan: RunPlan) -> dict[str, DataFrame]:
     return rows
 
 
-def _at_once(work: Callable[[str], object], datasets: Iterable[str]) -> None:
-    """Write several datasets side by side, so that small ones do not leave executors idle."""
+def _at_once(work: Callable[[str], int], datasets: Iterable[str]) -> dict[str, int]:
+    """Write several datasets side by side, so that small ones do not leave executors idle; returns the rows of each."""
     with ThreadPoolExecutor(max_workers=4) as pool:
-        for done in [pool.submit(work, dataset) for dataset in datasets]:
-            done.result()
+        started = {dataset: pool.submit(work, dataset) for dataset in datasets}
+        return {dataset: done.result() for dataset, done in started.items()}
 
 
-def _store_new(store: Store, extracted: dict[str, DataFrame], plan: RunPlan, synced_at: datetime, version: str) -> None:
-    """Write the rows of the new runs; control rows are derived from what was just stored."""
+def _store_new(store: Store, extracted: dict[str, DataFrame], plan: RunPlan, synced_at: datetime, version: str) -> int:
+    """Write the rows of the new runs and their counts; control rows are derived from what was just stored.
 
-    def write_detail(dataset: str) -> None:
+    Returns the number of rows.
+    """
+
+    def write_detail(dataset: str) -> int:
         if dataset == "executed_controls":
             rows = prepare_executed_controls(extracted[dataset], store.client, plan.new, synced_at)
         else:
             rows = prepare(dataset, extracted[dataset], store.client, plan.new, synced_at)
-        store.write_version(dataset, rows, version)
+        return store.write_version(dataset, rows, version)
 
-    def write_long(dataset: str) -> None:
+    def write_long(dataset: str) -> int:
         detail, kind = LONG_DATASETS[dataset]
         stored = store.read_version(detail, version)
-        if stored is not None:
-            store.write_version(dataset, control_rows(stored, kind), version)
+        return 0 if stored is None else store.write_version(dataset, control_rows(stored, kind), version)
 
-    _at_once(write_detail, extracted)
-    _at_once(write_long, LONG_DATASETS)
+    written = _at_once(write_detail, extracted) | _at_once(write_long, LONG_DATASETS)
+    keep_measures(store, [dataset for dataset, n_rows in written.items() if n_rows], version)
+    return sum(written.values())
 
 
 def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> dict[str, int]:
@@ -131,15 +134,7 @@ def _expire(store: Store, plan: RunPlan, synced_at: datetime, version: str) -> d
         return dict.fromkeys(DATASETS, 0)
     versions = store.current_versions()
     expired = {dataset: of_runs(store.read_current(dataset, versions), plan.expired) for dataset in DATASETS}
-    _at_once(lambda dataset: store.append_history(dataset, expired[dataset], synced_at, version), DATASETS)
-    return row_counts(expired)
-
-
-def row_counts(frames: dict[str, DataFrame]) -> dict[str, int]:
-    """Rows of each dataset, in one job. Counts of stored rows come from file footers."""
-    counted = [rows.agg(F.lit(dataset).alias("dataset"), F.count("*").alias("n")) for dataset, rows in frames.items()]
-    found = reduce(DataFrame.unionByName, counted).collect()
-    return {row.dataset: row.n for row in found}
+    return _at_once(lambda dataset: store.append_history(dataset, expired[dataset], synced_at, version), DATASETS)
 
 
 def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -> DataFrame:
@@ -175,7 +170,7 @@ def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -
 
     extracted = _extract(read, plan)
     audit["history_counts"] = _expire(store, plan, started, store.manifest_version() or "none")
-    _store_new(store, extracted, plan, started, version)
+    audit["records_synced"] = _store_new(store, extracted, plan, started, version)
     kept = local.select(RUN, F.col("data_versions").alias("kept"))
     fresh = F.create_map(*[F.lit(text) for dataset in DATASETS for text in (dataset, version)])
     texts = [F.max(name).alias(name) for name in ("omschrijving", "soortvervoer")]
@@ -184,10 +179,7 @@ def sync_client(store: Store, read: Reader, synced_at: datetime | None = None) -
     current = manifest.withColumn("data_versions", F.coalesce("kept", fresh)).drop("kept")
     store.publish(current.select(*local.columns), version)
 
-    versions = store.current_versions()
-    stored = {dataset: store.read_current(dataset, versions) for dataset in DATASETS}
-    audit["current_counts"] = row_counts(stored) | {"manifest": len(versions)}
-    audit["records_synced"] = sum(row_counts({dataset: of_runs(rows, plan.new) for dataset, rows in stored.items()}).values())
+    audit["current_counts"] = current_counts(store, DATASETS) | {"manifest": len(plan.new) + len(plan.retained)}
     audit["raw_source_columns"] = {dataset: rows.columns for dataset, rows in extracted.items()}
     audit["message"] = "Sync completed"
     return _audited(store, audit)
@@ -221,8 +213,7 @@ def backfill_key_figures(store: Store, read: Reader, synced_at: datetime | None
     if not runs:
         return 0
     rows = prepare("kentallen_route", run_table(read, "kentallen_route", runs), store.client, runs, started)
-    store.replace_current("kentallen_route", rows, f"{started:%Y%m%d%H%M%S%f}")
-    return store.read_current("kentallen_route").count()
+    return store.replace_current("kentallen_route", rows, f"{started:%Y%m%d%H%M%S%f}")
 
 
 def backfill_clients(clients: list[tuple[Store, Reader]], synced_at: datetime | None = None) -> dict[str, int]:

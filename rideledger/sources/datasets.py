@@ -6,6 +6,7 @@ Layout below the root folder::
     client=<slug>/dataset=<name>/history/year=<y>/month=<m>/stuurtabel_id=<run>/version=<v>/
     client=<slug>/dataset=<name>/columns/version=<v>/
     client=<slug>/dataset=manifest/current/version=<v>/
+    client=<slug>/dataset=measures/current/version=<v>/
 
 A write never touches files that are being read. New runs go to a folder of their own
 version and become visible when a manifest that names them has been written completely;
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rideledger.registry import RUN
@@ -28,6 +29,7 @@ MANIFEST_SCHEMA = (
     "client_slug string, stuurtabel_id bigint, omschrijving string, soortvervoer string, is_current boolean, "
     "sync_timestamp timestamp, data_versions map<string,string>"
 )
+MEASURES_SCHEMA = "stuurtabel_id bigint, dataset string, control_id int, total_checked bigint, total_deviations bigint"
 # What is certain about a dataset of which nothing has been stored yet.
 BARE_SCHEMA = "client_slug string, stuurtabel_id bigint"
 
@@ -54,6 +56,14 @@ def _is_local(spark: SparkSession) -> bool:
     return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
 
 
+def _spread(rows: DataFrame, seen: Observation) -> DataFrame:
+    """Rows dealt by run, counted by the tasks that write them.
+
+    Counting comes after the shuffle: there a task that is repeated counts once.
+    """
+    return rows.hint("rebalance", RUN).observe(seen, F.count(F.lit(1)).alias("n_rows"))
+
+
 class Store:
     """Datasets of one client below a root folder."""
 
@@ -117,16 +127,19 @@ class Store:
         One scan over the folders of the named runs, however many syncs wrote them. Give ``versions`` when
         reading several datasets, so that all show the same state.
         """
-        runs = self.current_versions() if versions is None else versions
-        named = {f"version={held[dataset]}/{RUN}={run}" for run, held in runs.items() if dataset in held}
-        there = self._matches(f"{self.folder(dataset, 'current')}/version=*/{RUN}=*")
-        paths = [path for path in there if "/".join(path.rsplit("/", 2)[1:]) in named]
+        paths = self.run_folders(dataset, self.current_versions() if versions is None else versions)
         names = self.columns(dataset)
         if not paths:
             return self.spark.createDataFrame([], read_schema(dataset, names) if names else BARE_SCHEMA)
         rows = self._read(dataset, "current", paths, names, version="string", **{RUN: "bigint"})
         return rows.select(*names)
 
+    def run_folders(self, dataset: str, versions: dict[int, dict[str, str]]) -> list[str]:
+        """Folders of the named runs that a dataset has."""
+        named = {f"version={held[dataset]}/{RUN}={run}" for run, held in versions.items() if dataset in held}
+        there = self._matches(f"{self.folder(dataset, 'current')}/version=*/{RUN}=*")
+        return [path for path in there if "/".join(path.rsplit("/", 2)[1:]) in named]
+
     def drop_unlisted(self, dataset: str) -> int:
         """Delete stored runs that the manifest does not name: expired ones and those of failed jobs.
 
@@ -142,8 +155,8 @@ class Store:
                 deleted += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return deleted
 
-    def write_version(self, dataset: str, rows: DataFrame, version: str) -> None:
-        """Store rows of new runs under a version; not visible before a manifest names it.
+    def write_version(self, dataset: str, rows: DataFrame, version: str) -> int:
+        """Store rows of new runs under a version; not visible before a manifest names it. Returns their number.
 
         Rows are spread by run. A run that is much larger than the others is split over
         several tasks, and small ones share a task.
@@ -151,7 +164,9 @@ class Store:
         path = f"{self.folder(dataset, 'current')}/version={version}"
         rows = as_stored(dataset, rows)
         self._note_columns(dataset, rows.columns, version)
-        rows.hint("rebalance", RUN).write.mode("overwrite").partitionBy(RUN).parquet(path)
+        seen = Observation()
+        _spread(rows, seen).write.mode("overwrite").partitionBy(RUN).parquet(path)
+        return seen.get["n_rows"]
 
     def read_version(self, dataset: str, version: str) -> DataFrame | None:
         """Rows stored under one version; None when there are none."""
@@ -161,19 +176,33 @@ class Store:
         names = self.columns(dataset, version)
         return self._read(dataset, "current", [path], names, version="string", **{RUN: "bigint"}).select(*names)
 
-    def replace_current(self, dataset: str, rows: DataFrame, version: str) -> None:
-        """Replace a dataset for all current runs and publish that."""
-        self.write_version(dataset, rows, version)
+    def write_measures(self, measures: DataFrame, version: str) -> None:
+        """Store the counts of the rows of a version."""
+        measures.coalesce(1).write.mode("overwrite").parquet(f"{self.folder('measures', 'current')}/version={version}")
+
+    def current_measures(self) -> DataFrame:
+        """Stored counts of the rows that the manifest names."""
+        home = self.folder("measures", "current")
+        if not self._matches(f"{home}/version=*/_SUCCESS"):
+            return self.spark.createDataFrame([], MEASURES_SCHEMA)
+        rows = self.spark.read.schema(f"{MEASURES_SCHEMA}, version string").parquet(home)
+        named = self.manifest().select(RUN, F.explode("data_versions").alias("dataset", "version"))
+        return rows.join(named, [RUN, "dataset", "version"], "left_semi").drop("version")
+
+    def replace_current(self, dataset: str, rows: DataFrame, version: str) -> int:
+        """Replace a dataset for all current runs and publish that. Returns the number of rows."""
+        written = self.write_version(dataset, rows, version)
         renewed = F.map_concat(
             F.map_filter("data_versions", lambda name, _: name != dataset),
             F.create_map(F.lit(dataset), F.lit(version)),
         )
         self.publish(self.manifest().withColumn("data_versions", renewed), version)
+        return written
 
     # History area.
 
-    def append_history(self, dataset: str, rows: DataFrame, synced_at: datetime, version: str = "none") -> None:
-        """Add rows to the history by sync month and run; rows without a run go to ``unknown``.
+    def append_history(self, dataset: str, rows: DataFrame, synced_at: datetime, version: str = "none") -> int:
+        """Add rows to the history by sync month and run; rows without a run go to ``unknown``. Returns their number.
 
         Repeating the write of the same runs and version replaces it instead of doubling it.
         """
@@ -190,13 +219,15 @@ class Store:
                 RUN: F.coalesce(F.col(RUN).cast("string"), F.lit("unknown")),
             }
         )
+        seen = Observation()
         (
-            keyed.hint("rebalance", RUN)
+            _spread(keyed, seen)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("year", "month", RUN, "version")
             .parquet(self.folder(dataset, "history"))
         )
+        return seen.get["n_rows"]
 
     def read_history(self, dataset: str) -> DataFrame | None:
         path = self.folder(dataset, "history")

@@ -3,7 +3,8 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rideledger.plans import sync
+from rideledger.plans import measures, sync
+from rideledger.plans.dashboard import control_trend, dashboard_metrics, entity_counts
 from rideledger.plans.export import write_csv
 from rideledger.operators.detail import Detail
 from rideledger.sources.datasets import Store, shared_folder
@@ -140,6 +141,57 @@ def test_a_run_that_appears_during_a_sync_is_fetched_by_the_next(spark, store):
     assert second.new_ids == [5] and runs_of(store.read_current("ritten_detail")) == [1, 3, 5]
 
 
+def listed_runs(store):
+    return store.manifest().select("stuurtabel_id", "omschrijving", "soortvervoer")
+
+
+def lines(frame):
+    return sorted(map(str, frame.select(sorted(frame.columns)).collect()))
+
+
+def test_dashboards_of_a_stored_client_read_no_detail_rows(spark, store):
+    sync.sync_client(store, source(spark, [1, 2, 3]), DAY)
+    sync.sync_client(store, source(spark, [2, 3, 5]), DAY.replace(day=2))
+    runs, details = listed_runs(store), {name: store.read_current(name) for name in measures.MEASURED}
+    trend = measures.stored_trend(store, runs)
+    assert lines(trend) == lines(control_trend(runs, details)) and trend.count() > 0
+    metrics = measures.stored_metrics(store, runs)
+    assert lines(metrics) == lines(dashboard_metrics(runs, entity_counts({name: details[name] for name in measures.RIDE_DATASETS})))
+    for frame in (trend, metrics):
+        files = frame.inputFiles()
+        assert any("dataset=measures" in file for file in files)
+        assert not any("_detail" in file for file in files)
+
+
+def test_runs_without_counts_and_columns_that_came_later(spark, store):
+    """Version 1 has no counts, version 2 lacks a control, version 3 has it; results are those of the rows."""
+    frames = {
+        "1": "(1, 10, '1', null, 'a')", "2": "(2, 20, '0', null, null), (2, 21, '2', null, 'b')", "3": "(3, 30, '0', '1', 'c'), (3, 31, '1', '0', null)",
+    }
+    for version, values in frames.items():
+        rows = spark.sql(f"select cast(col1 as bigint) as stuurtabel_id, cast(col2 as bigint) as id, col3 as resultaat_3, col4 as resultaat_10, col5 as route_nummer from values {values}")
+        store.write_version("routes_detail", rows if version == "3" else rows.drop("resultaat_10"), version)
+        if version != "1":
+            measures.keep_measures(store, ["routes_detail"], version)
+    named = spark.sql("select 'demo' as client_slug, stuurtabel_id, 'r' as omschrijving, 'RG' as soortvervoer, true as is_current, current_timestamp() as sync_timestamp, "
+                      "map('routes_detail', cast(stuurtabel_id as string)) as data_versions from values 1L, 2L, 3L as t(stuurtabel_id)")
+    store.publish(named, "9")
+    controls = measures.stored_controls(store, ["routes_detail"])
+    assert controls == {"routes_detail": [3, 10]}
+    found = {(row.stuurtabel_id, row.control_id): (row.total_checked, row.total_deviations) for row in measures.stored_measures(store, controls).collect()}
+    assert found == {(1, 3): (1, 1), (1, 10): (1, 0), (2, 3): (2, 1), (2, 10): (1, 0), (3, 3): (2, 1), (3, 10): (1, 1)}
+    entities = measures.stored_entity_counts(store, ["routes_detail"]).collect()
+    assert {row.stuurtabel_id: (row.total_checked, row.total_deviations) for row in entities} == {1: (1, 1), 2: (2, 1), 3: (2, 2)}
+    assert measures.current_counts(store, ["routes_detail", "ritten_detail"]) == {"routes_detail": 5, "ritten_detail": 0}
+
+
+def test_writes_count_their_rows(spark, store):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "stuurtabel_id bigint, v string")
+    assert store.write_version("executed_controls", rows, "1") == 3
+    assert store.write_version("executed_controls", rows.where("false"), "2") == 0
+    assert store.append_history("executed_controls", rows, DAY) == 3
+
+
 def test_history_partitions(spark, store):
     rows = spark.createDataFrame([(7, "a"), (None, "b")], "stuurtabel_id int, v string")
     store.append_history("ritten_detail", rows, DAY)

@@ -12,9 +12,13 @@ loss mask covers the texts of assistant turns and nothing else.
 A conversation is a sequence of formatted turns in order. It is written and read turn by turn
 in sorted partitions, so no task holds a whole conversation, however long it is.
 
+Fields that only describe a record (``METADATA``) are left out of its fingerprint.
+
 Defined results: null role and null text count as empty (a missing field is another
-fingerprint, which is declared); a record whose fingerprint no layout declares has no turns and the
-layout null; equal turn numbers are ordered by the formatted turn, null numbers come last;
+fingerprint, which is declared); a record that no layout matches has no turns and is one row of
+``unmatched``, with its fingerprint, or without one if it is null, no JSON, no object or nested beyond what the
+reader takes. Halves of surrogate pairs, which JSON can spell and UTF-8
+cannot, become U+FFFD. A very long conversation is read by one task, which holds one batch of it. Equal turn numbers are ordered by the formatted turn, null numbers come last;
 repeated rows are repeated turns; a null conversation id is one conversation; an empty table
 gives an empty result. Other columns are ignored.
 """
@@ -39,6 +43,12 @@ LEARNED_ROLE = "assistant"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Paths of fields that describe a record and say nothing.
+METADATA = {
+    "id", "model", "source", "lang", "created", "timestamp", "metadata", "messages[].id", "messages[].name", "messages[].weight", "conversations[].weight",
+}
+
+
 class Layout(NamedTuple):
     name: str
     #: Leaf paths that are always there, and those that may be.
@@ -54,9 +64,16 @@ class Layout(NamedTuple):
 
 LAYOUTS = (
     Layout("turn", (), ("role", "text"), listed=("", "role", "text"), renamed=False),
-    Layout("messages", ("messages[].role", "messages[].content"), ("id", "system"), (("system", ("system",)),), ("messages", "role", "content")),
-    Layout("parts", ("messages[].role", "messages[].content[].type", "messages[].content[].text"), ("id",), (), ("messages", "role", "content")),
-    Layout("shared", ("conversations[].from", "conversations[].value"), ("id", "system"), (("system", ("system",)),), ("conversations", "from", "value")),
+    Layout("messages", ("messages[].role", "messages[].content"), ("system",), (("system", ("system",)),), ("messages", "role", "content")),
+    Layout("parts", ("messages[].role", "messages[].content[].type", "messages[].content[].text"), (), (), ("messages", "role", "content")),
+    Layout(
+        "some_parts",
+        ("messages[].role", "messages[].content", "messages[].content[].type", "messages[].content[].text"),
+        (),
+        (),
+        ("messages", "role", "content"),
+    ),
+    Layout("shared", ("conversations[].from", "conversations[].value"), ("system",), (("system", ("system",)),), ("conversations", "from", "value")),
     Layout("completion", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("response", ("prompt", "response"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout(
@@ -76,8 +93,9 @@ def paths(value: object, prefix: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str] | tuple[str, ...]) -> str:
-    """Hash of a set of field paths."""
-    return hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=8).hexdigest()
+    """Hash of a set of field paths, those of metadata left out."""
+    told = sorted(path for path in found if path not in METADATA and not path.startswith(("metadata.", "metadata[]")))
+    return hashlib.blake2b("\n".join(told).encode(errors="surrogatepass"), digest_size=8).hexdigest()
 
 
 def declared(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
@@ -92,13 +110,27 @@ def declared(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
 
 def _text(value: object) -> str:
     if isinstance(value, list):
-        return "".join(str(part.get("text") or "") for part in value)
-    return "" if value is None else str(value)
-
-
-def turns(record: object, known: dict[str, Layout]) -> tuple[str | None, list[tuple[str, str]]]:
-    """Layout and canonical turns of a record."""
-    layout = known.get(fingerprint(paths(record))) if isinstance(record, dict) else None
+        return "".join(_text(part.get("text")) for part in value)
+    text = "" if value is None else str(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # a surrogate without its other half
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
+
+
+def parsed(record: str | None) -> tuple[object, str | None]:
+    """The object a record spells and its fingerprint; both None if it spells none."""
+    try:
+        value = json.loads(record) if record is not None else None
+        return (value, fingerprint(paths(value))) if isinstance(value, dict) else (None, None)
+    except (ValueError, RecursionError):
+        return None, None
+
+
+def turns(record: object, known: dict[str, Layout], told: str | None = None) -> tuple[str | None, list[tuple[str, str]]]:
+    """Name of the layout and canonical turns of a record, whose fingerprint may be given."""
+    layout = known.get(told or fingerprint(paths(record))) if isinstance(record, dict) else None
     if layout is None:
         return None, []
     found = []
@@ -140,30 +172,40 @@ def read_back(turn: str) -> tuple[str, str]:
 
 def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Formatted turns of (conv_id, turn, record): conv_id, turn, place in the record, layout, formatted, mask."""
+    return _converted(records, layouts).where("layout is not null").drop("fingerprint")
+
+
+def unmatched(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """The records that no layout matches, to be declared or mended: conv_id, turn, fingerprint."""
+    return _converted(records, layouts).where("layout is null").select("conv_id", "turn", "fingerprint")
+
+
+def _converted(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
     ship(records.sparkSession)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = declared(layouts)
         for batch in batches:
-            rows, places, names, texts, begins, ends = [], [], [], [], [], []
+            rows, prints, places, names, texts, begins, ends = columns = [], [], [], [], [], [], []
             for row, record in enumerate(batch.column("record").to_pylist()):
-                name, found = turns(json.loads(record), known) if record is not None else (None, [])
-                for place, (role, text) in enumerate(found):
-                    turn, begin, end = formatted(role, text)
-                    for column, value in zip((rows, places, names, texts, begins, ends), (row, place, name, turn, begin, end), strict=True):
-                        column.append(value)
+                value, told = parsed(record)
+                name, found = turns(value, known, told)
+                lines = [(place, name, *formatted(role, text)) for place, (role, text) in enumerate(found)]
+                for line in lines or [(None,) * 5]:
+                    for column, held in zip(columns, (row, told, *line), strict=True):
+                        column.append(held)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("conv_id").take(at), batch.column("turn").take(at), pa.array(places, pa.int64()), pa.array(names, pa.string()),
+                    batch.column("conv_id").take(at), batch.column("turn").take(at), pa.array(prints, pa.string()), pa.array(places, pa.int64()), pa.array(names, pa.string()),
                     pa.array(texts, pa.string()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()),
                 ],
-                ["conv_id", "turn", "place", "layout", "formatted", "mask_begin", "mask_end"],
+                ["conv_id", "turn", "fingerprint", "place", "layout", "formatted", "mask_begin", "mask_end"],
             )
 
     rows = records.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "record")
     return rows.mapInArrow(
-        convert, "conv_id bigint, turn bigint, place bigint, layout string, formatted string, mask_begin bigint, mask_end bigint"
+        convert, "conv_id bigint, turn bigint, fingerprint string, place bigint, layout string, formatted string, mask_begin bigint, mask_end bigint"
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from rideledger.llm.chat import canonical, declared, digests, fingerprint, formatted, paths, read_back, records_of_rows, turns, unescaped
+from rideledger.llm.chat import canonical, declared, digests, fingerprint, formatted, paths, read_back, records_of_rows, turns, unescaped, unmatched
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, record string, layout string"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -86,3 +86,39 @@ def test_repeated_rows_and_ties(spark):
     rows = [(1, 0, "user", "b", "", ""), (1, 0, "user", "a", "", ""), (1, 0, "user", "a", "", ""), (1, None, "assistant", "last", "", "")]
     (row,) = digests(canonical(records_of_rows(spark.createDataFrame(rows, SCHEMA)))).collect()
     assert row.turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nuser\nb\nassistant\nlast\n").hexdigest()
+
+
+def test_records_no_layout_matches_are_reported(spark):
+    usual = {"messages": [{"role": "user", "content": "a"}]}
+    odd = {"messages": [{"role": "user", "content": "a", "mood": "glad"}]}
+    records = [json.dumps(usual), json.dumps(odd), "{not json", "[1]", "", None, "[" * 100_000, '{"\\ud800": 1}']
+    rows = spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string").selectExpr("conv_id", "cast(null as bigint) as turn", "record")
+    assert [row.conv_id for row in canonical(rows).collect()] == [0]
+    left = {row.conv_id: row.fingerprint for row in unmatched(rows).collect()}
+    assert left.pop(1) == fingerprint(paths(odd))
+    assert left.pop(7) is not None
+    assert left == dict.fromkeys(range(2, 7))
+
+
+@pytest.mark.parametrize(
+    ("record", "want"),
+    [
+        ({"model": "m", "metadata": {"a": [1]}, "messages": [{"role": "user", "content": "a", "name": "n"}]}, [("user", "a")]),
+        ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": [{"type": "text", "text": "b"}]}]}, [("user", "a"), ("assistant", "b")]),
+        ({"prompt": "p", "completion": "c", "source": "s", "id": None}, [("user", "p"), ("assistant", "c")]),
+    ],
+)
+def test_descriptions_and_mixed_contents(record, want):
+    assert turns(record, declared())[1] == want
+
+
+def test_halves_of_surrogate_pairs_are_replaced(spark):
+    record = '{"messages": [{"role": "user", "content": "a\\ud800b"}, {"role": "assistant", "content": "\\ud83d\\ude00"}]}'
+    found = canonical(spark.createDataFrame([(1, 1, record)], "conv_id bigint, turn bigint, record string")).orderBy("place").collect()
+    assert [read_back(row.formatted)[1] for row in found] == ["a\ufffdb", "\U0001f600"]
+
+
+def test_a_very_long_conversation_and_a_very_long_text(spark):
+    rows = spark.sql("select 1L as conv_id, id as turn, if(id % 2 = 0, 'user', 'assistant') as role, if(id = 7, repeat('<|im_end|>', 200000), 'x') as text from range(20000)")
+    (row,) = digests(canonical(records_of_rows(rows))).collect()
+    assert (row.n_turns, row.loss_chars) == (20000, 9999 + 2_000_000)

@@ -1,4 +1,5 @@
 from datetime import UTC, datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +251,16 @@ def test_table_names_and_shared_folder(spark, tmp_path):
     assert parquet_reader(spark, str(tmp_path))("controle").count() == 3
 
 
+@pytest.mark.parametrize("named", ["file:///shared/scratch", "/shared/scratch", "hdfs://store/scratch"])
+def test_a_cluster_uses_the_folder_that_is_named(named):
+    conf = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "file:///warehouse"}
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://head:7077"), _jsc=None)
+    assert shared_folder(cluster) == named
+    del conf["spark.checkpoint.dir"]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
 def test_csv_export_keeps_order_and_headers(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b", 2.0), (1, "a", None), (2, "c", 1.0)], "stuurtabel_id int, kenteken string, km double")
     write_csv(Detail(rows, ["kenteken"]), ["Kenteken", "Km"], f"{tmp_path}/csv", 1)

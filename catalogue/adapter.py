@@ -9,6 +9,9 @@ A dataset is asked for with the columns a query needs. Only the dimensions those
 columns come from are joined: the keys of the star schema are foreign keys, so a
 dimension that contributes no column would neither drop nor repeat a row.
 Join strategies are left to Catalyst and its size checks.
+
+A query that reads several datasets asks for them ``sharing`` one join of lineitem and orders: the exchanges below
+it are then the same for all, so Spark shuffles the two largest tables once instead of once for each dataset.
 """
 
 from __future__ import annotations
@@ -158,6 +161,8 @@ KEY_FIGURES = {
     "n_ritten": "case when l_suppkey % 9 = 0 then null else cast(count(*) as string) end",
 }
 
+KEY_FIGURE_ROWS = ["l_shipdate", "l_suppkey", "l_extendedprice"]
+
 # controle_id, controlecode, omschrijving, transport
 CONTROL_PLAN = """
     select * from (values
@@ -169,22 +174,39 @@ CONTROL_PLAN = """
 """
 
 
+def _columns(expressions: Iterable[str]) -> set[str]:
+    """Columns of lineitem and orders that the expressions need, with the keys of the other tables they mention."""
+    text = " ".join(expressions)
+    keys = {"c": "o_custkey", "p": "l_partkey", "s": "l_suppkey"}
+    return {*re.findall(r"\b[lo]_[a-z]+\b", text)} | {key for prefix, key in keys.items() if re.search(rf"\b{prefix}_[a-z]", text)}
+
+
 class Star:
     """The test tables of one folder, as the domain datasets."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, shared: tuple[str, ...] = ()):
         self.spark = spark
         self.folder = folder
+        self.shared = shared
+
+    def sharing(self, expressions: Iterable[str]) -> Star:
+        """The same tables, whose datasets share one join of lineitem and orders where its columns are enough for them."""
+        return Star(self.spark, self.folder, tuple(sorted(_columns([*expressions, TRANSPORT]))))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def base(self, expressions: Iterable[str]) -> DataFrame:
         """``lineitem`` joined to the dimensions that the expressions mention."""
-        used = set(re.findall(r"\b([ocps])_[a-z]", " ".join(expressions)))
+        needed = " ".join(expressions)
+        used = set(re.findall(r"\b([ocps])_[a-z]", needed))
         if "c" in used:
             used.add("o")
         joined = self.table("lineitem")
+        if "o" in used and _columns([needed]) <= {*self.shared}:
+            # A generator hands on all its columns. Were they pruned to what each dataset reads, no exchange would be like another.
+            joined = joined.join(self.table("orders"), F.expr(DIMENSIONS["o"][1])).select(F.inline(F.array(F.struct(*self.shared))))
+            used.remove("o")
         for prefix, (name, condition) in DIMENSIONS.items():
             if prefix in used:
                 joined = joined.join(self.table(name), F.expr(condition))
@@ -217,9 +239,7 @@ class Star:
         return grouped.agg(*[F.expr(ROUTES[name][1]).alias(name) for name in names])
 
     def kentallen_route(self) -> DataFrame:
-        rows = self.base([RUN_ID]).selectExpr(
-            f"{RUN_ID} as stuurtabel_id", "cast(l_shipdate as date) as datum", "l_suppkey", "l_extendedprice"
-        )
+        rows = self.base([RUN_ID, *KEY_FIGURE_ROWS]).selectExpr(f"{RUN_ID} as stuurtabel_id", "cast(l_shipdate as date) as datum", *KEY_FIGURE_ROWS[1:])
         return (
             rows.groupBy("stuurtabel_id", "datum", "l_suppkey")
             .agg(*[F.expr(sql).alias(name) for name, sql in KEY_FIGURES.items()])

@@ -7,13 +7,13 @@ a limit, because a page is what they are about.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogue.adapter import CONTROL_PLAN, RG_COLUMNS, ROUTE_KEYS, ROUTES, VA_RIDES, Star
+from catalogue.adapter import CONTROL_PLAN, KEY_FIGURE_ROWS, RG_COLUMNS, RIDES, ROUTE_KEYS, ROUTES, VA_RIDES, Star
 from rideledger.fixed_values import REPORT_COLUMNS, SOURCE_TABLES
 from rideledger.functions.text import deviation_flag, minutes_label, sort_key, strip_location_code
 from rideledger.operators import normalise
@@ -76,6 +76,17 @@ RIDE_RESULTS = [name for name in RG_COLUMNS if name.startswith("resultaat_")]
 VA_RESULTS = [name for name in VA_RIDES if name.startswith("resultaat_")]
 
 
+def _expressions(rides: Iterable[str] = (), va_rides: Iterable[str] = (), of_routes: Iterable[str] = ()) -> list[str]:
+    """What the named columns of the detail datasets are made of."""
+    grouped = [ride for name in of_routes if name in ROUTES for ride in ROUTES[name][0]]
+    return [*[RIDES.get(name, "p_type") for name in [*rides, *grouped, *(ROUTE_KEYS if of_routes else ())]], *[VA_RIDES[name] for name in va_rides]]
+
+
+def measuring(star: Star) -> Star:
+    """The tables for queries that count the controls of all datasets."""
+    return star.sharing(_expressions(MEASURED_RIDES, MEASURED_VA, MEASURED_ROUTES))
+
+
 def measured(star: Star) -> dict[str, DataFrame]:
     return {
         "ritten_detail": star.ritten_detail(MEASURED_RIDES),
@@ -104,6 +115,7 @@ def current_ids(star: Star, transport: str | None = None) -> list[int]:
 
 
 def breakdown(star: Star) -> DataFrame:
+    star = measuring(star)
     return dashboard.control_breakdown(current(star), star.executed_controls(), dashboard.measure_all(measured(star)))
 
 
@@ -153,25 +165,37 @@ def _ride_datasets(star: Star) -> dict[str, DataFrame]:
     }
 
 
-def _longs(star: Star) -> dict[str, DataFrame]:
-    names = {"ritten_detail": RG_COLUMNS, "va_ritten_detail": VA_RIDES}
+def _long_columns(names: Iterable[str]) -> list[str]:
     shared = ("id", "vervoerder", "perceel", "datum", "rit_datum")
-    kinds = ("resultaat_", "tekst_", "controlewaarde_", "dempelwaarde_")
-    chosen = {key: [name for name in held if name in shared or name.startswith(kinds)] for key, held in names.items()}
+    return [name for name in names if name in shared or name.startswith((*OUTCOME_KINDS, "controlewaarde_", "dempelwaarde_"))]
+
+
+def _longs(star: Star) -> dict[str, DataFrame]:
     return {
-        "ritten_detail": control_rows(star.ritten_detail(chosen["ritten_detail"]), "rit"),
-        "va_ritten_detail": control_rows(star.va_ritten_detail(chosen["va_ritten_detail"]), "va_rit"),
+        "ritten_detail": control_rows(star.ritten_detail(_long_columns(RG_COLUMNS)), "rit"),
+        "va_ritten_detail": control_rows(star.va_ritten_detail(_long_columns(VA_RIDES)), "va_rit"),
     }
 
 
+def _metrics_long(star: Star) -> DataFrame:
+    anyone = ["reiziger_naam", "locatie_naar", "vervoerder"]  # one of each table, so that a ride counts that all of them know
+    star = star.sharing(_expressions([*anyone, *_long_columns(RG_COLUMNS)], _long_columns(VA_RIDES)))
+    details = {"ritten_detail": star.ritten_detail(anyone), "va_ritten_detail": star.va_ritten_detail(["stuurtabel_id"])}
+    return dashboard.dashboard_metrics(current(star), dashboard.entity_counts_from_long(details, _longs(star)))
+
+
+def _trend(star: Star) -> DataFrame:
+    star = measuring(star)
+    return dashboard.control_trend(current(star), measured(star))
+
+
 add("control_breakdown", breakdown)
 add("dashboard_metrics", lambda star: dashboard.dashboard_metrics(current(star), dashboard.entity_counts(_ride_datasets(star))))
-add("dashboard_metrics_long", lambda star: dashboard.dashboard_metrics(
-    current(star), dashboard.entity_counts_from_long({"ritten_detail": star.ritten_detail([]), "va_ritten_detail": star.va_ritten_detail(["stuurtabel_id"])}, _longs(star))))
-add("control_deviation_count", lambda star: dashboard.measure_all(measured(star)).select(RUN, "dataset", "control_id", "total_deviations"))
-add("control_checked_count", lambda star: dashboard.measure_all(measured(star)).select(RUN, "dataset", "control_id", "total_checked"))
-add("control_trend", lambda star: dashboard.control_trend(current(star), measured(star)))
-add("trend_previous_point", lambda star: dashboard.trend_previous_point(dashboard.control_trend(current(star), measured(star))))
+add("dashboard_metrics_long", _metrics_long)
+add("control_deviation_count", lambda star: dashboard.measure_all(measured(measuring(star))).select(RUN, "dataset", "control_id", "total_deviations"))
+add("control_checked_count", lambda star: dashboard.measure_all(measured(measuring(star))).select(RUN, "dataset", "control_id", "total_checked"))
+add("control_trend", _trend)
+add("trend_previous_point", lambda star: dashboard.trend_previous_point(_trend(star)))
 add("control_1_trend", lambda star: dashboard.control_1_trend(
     current(star), {"ritten_detail": star.ritten_detail(["resultaat_1"]), "va_ritten_detail": star.va_ritten_detail(["id"])}))
 add("drilldown_rows", lambda star: dashboard.drilldown_rows(list(_longs(star).values())))

@@ -168,3 +168,17 @@ def test_listing_sheets_share_one_scan(spark, tmp_path):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and len(headers) == 4
     assert {row.control_id: row["count"] for row in rows.groupBy("control_id").count().collect()} == dict.fromkeys((2, 9, 12, 16), 30)
+
+
+def test_numbering_keeps_rows_once_and_moves_them_once(spark):
+    """Only what is returned is written, in columns; the numbered rows are not shuffled to meet the counts of their ranges."""
+    rows = spark.range(1000).selectExpr("id % 3 as run", "concat('line ', cast(id as string)) as line", "-id as place", "null as nothing")
+    out = numbered(rows.repartition(5), ["run"], [F.col("place").asc()], "row_no", unkept=["place"])
+    assert out.columns == ["run", "line", "nothing", "row_no"]
+    assert sorted((r.run, r.row_no, r.line) for r in out.collect()) == sorted(
+        (run, no + 1, f"line {i}") for run in range(3) for no, i in enumerate(sorted(range(run, 1000, 3), reverse=True))
+    )
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Scan ExistingRDD" not in plan
+    stored = [path for path in out.inputFiles() if "/rows/" in path]
+    assert stored and spark.read.parquet(*stored).columns == ["run", "line", "_at"]

@@ -22,6 +22,7 @@ empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -30,6 +31,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ RANGE_DOCS = 8 * SHARD_DOCS
 RANGE_SAMPLES = 64
 K1, B = 1.2, 0.75
 KEPT = 600_000
-TEXTS, BYTES = 2048, 1 << 23
+WORDS, STEMS = 4096, 32
+TEXTS, BYTES = 4096, 1 << 24
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -54,80 +57,171 @@ class TokenIds:
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its
     pieces in a row. A piece is mostly a word and perhaps a point or comma. Words of letters go straight
-    to the tokenizer's model, once each while they are remembered; all other pieces go through the
-    whole tokenizer, and so do texts with the string of a special token. A task remembers twice
-    ``KEPT`` pieces at most.
+    to the tokenizer's model, all new ones of a call at once, and are remembered; all other pieces go through
+    the whole tokenizer, and so do texts with the string of a special token. A task remembers
+    ``KEPT`` pieces and those of one call at most.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = [token.content.encode().lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        # The model alone, for words as it reads them: one to a line, none is changed or cut.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # Byte-level models write a byte that cannot be printed as the next free character from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [byte for byte in range(256) if byte not in shown]
-        self.letters = {byte: 256 + place for place, byte in enumerate(hidden)}
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        # Whether this tokenizer is of that kind shows in what it makes of words.
-        self.direct = all(self._word(word) == self._whole(word) for word in ("a", "tokenizer", "naïveté", "größer", "señor", "ответ", "語"))
+        self.letters = {byte: 256 + place for place, byte in enumerate(hidden) if byte != ord("\n")}
+        self.special = [token.content.encode().lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        # Tokens at the end of a word: of letters, none but its last has the suffix.
+        suffix, named = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.last = np.zeros(max(named.values(), default=0) + 1, bool)
+        self.last[[number for token, number in named.items() if suffix and token.endswith(suffix)]] = True
+        self.forget()
+        # Whether this tokenizer lower-cases and works on bytes shows in what it makes of words.
+        tried = ["a", "tokenizer", "naïveté", "größer", "señor", "ответ", "語"]
+        wanted = [self._whole(word) for word in tried]
+        got, sizes = self._of_words(pa.array([word.encode() for word in tried], pa.large_binary()))
+        self.direct = got.tobytes() == b"".join(wanted) and sizes.tolist() == [len(ids) // got.itemsize for ids in wanted]
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of composed lower-case letters."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
+    def _whole_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and their numbers."""
+        made = [self._whole(piece.decode("utf-8", "surrogatepass")) for piece in pieces]
+        ids = np.frombuffer(b"".join(made), self.code)
+        return ids, np.array([len(each) // ids.itemsize for each in made], np.int64)
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of composed lower-case letters in a row, and their numbers."""
+        found, sizes = [np.zeros(0, self.code)], [np.zeros(0, np.int64)]
+        for start in range(0, len(words), WORDS):
+            asked = words.slice(start, WORDS)
+            lines = pc.binary_join(pa.ListArray.from_arrays([0, len(asked)], asked), pa.scalar(b"\n", asked.type))[0].as_py()
+            lines = lines.decode() if lines.isascii() else lines.decode("latin-1").translate(self.letters)
+            ids = np.array(self.words.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.code)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(asked):  # a model without such tokens
+                each = [self.words.encode(word, add_special_tokens=False).ids for word in lines.split("\n")]
+                ids, ends = np.array([number for own in each for number in own], self.code), np.cumsum([len(own) for own in each])
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def forget(self) -> None:
-        self.known, self.before = {}, {}
-
-    def _remembered(self, key: bytes, make: Callable[[bytes], bytes]) -> bytes:
-        ids = self.known.get(key)
-        if ids is None:
-            ids = self.before.get(key)
-            self.known[key] = ids = make(key) if ids is None else ids
-        return ids
-
-    def _piece(self, piece: bytes) -> bytes:
-        stem = piece.rstrip(PUNCTUATION)
-        if not self.direct or not stem:
-            return self._whole(piece.decode("utf-8", "surrogatepass"))
-        if not stem.isalpha():  # not ASCII letters alone, which are lower ones here
-            text = stem.decode("utf-8", "surrogatepass")
-            low = text.lower()
-            if not (text.isalpha() and low.isalpha() and "Σ" not in text and is_normalized("NFC", text)):
-                return self._whole(piece.decode("utf-8", "surrogatepass"))
-            stem, rest = low.encode(), piece[len(stem) :]
-        else:
-            rest = piece[len(stem) :]
-        if not rest:
-            return self._word(stem.decode())
-        return self._remembered(stem, lambda word: self._word(word.decode())) + self._remembered(rest, lambda rest: self._whole(rest.decode()))
+        """Remembered are pieces, their ids in a row, and how many each has."""
+        self.known = pa.chunked_array([], pa.large_binary())
+        self.ids, self.sizes = np.zeros(0, self.code), np.zeros(0, np.int64)
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.chunked_array([*self.known.chunks, pieces], pa.large_binary())
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def _places(self, pieces: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Places of different pieces among the remembered; those not there are made first."""
+        places = pc.index_in(pieces, self.known)
+        new = places.is_null()
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        if len(missing := pieces.filter(new)):
+            places[places < 0] = len(self.sizes) + np.arange(len(missing))
+            self._add(missing, *make(missing))
+        return places
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces that are not remembered yet."""
+        stems = pc.ascii_rtrim(pieces.view(pa.large_string()), PUNCTUATION.decode()).view(pa.large_binary())
+        coded = stems.dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        # Words: ASCII letters alone are lower ones here, other stems are looked at one by one.
+        plain = pc.ascii_is_alpha(distinct.view(pa.large_string()))
+        others = distinct.filter(pc.invert(plain)).to_pylist()
+        others = [word for start in range(0, len(others), STEMS) for word in _words(others[start : start + STEMS])]
+        words = pa.concat_arrays([distinct.filter(plain), pa.array([word for word in others if word], pa.large_binary())]).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)
+        place = np.full(len(distinct), -1, np.int64)  # of a stem among the words
+        place[plain] = np.arange(plain.sum())
+        place[np.flatnonzero(~plain)[[bool(word) for word in others]]] = np.arange(plain.sum(), len(words))
+        if len(words):
+            place[place >= 0] = self._places(words.dictionary, self._of_words)[words.indices.to_numpy()][place[place >= 0]]
+        of_word = place[at]
+        # What stands behind the words.
+        length = pc.binary_length(stems).to_numpy()
+        behind = length < pc.binary_length(pieces).to_numpy()
+        ended = pieces.filter(pa.array(behind))
+        size = pc.binary_length(ended).to_numpy() - length[behind]
+        ends = np.frombuffer(ended.buffers()[1], np.int64, len(ended), 8 * (ended.offset + 1)) if len(ended) else size
+        letters = np.frombuffer(ended.buffers()[2] or b"", np.uint8)[_spans(ends - size, size)]
+        bounds = pa.py_buffer(np.append(0, np.cumsum(size)))
+        rests = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ended), [None, bounds, pa.py_buffer(letters)]).dictionary_encode()
+        of_rest = np.full(len(pieces), -1, np.int64)
+        of_rest[behind] = self._places(rests.dictionary, lambda found: self._whole_of(found.to_pylist()))[rests.indices.to_numpy()]
+        # A piece is a word, or only punctuation, or both, or none of these (white space at an end of a text leaves an empty one).
+        places = np.where(length == 0, of_rest, of_word)
+        odd = places < 0
+        both = behind & (of_word >= 0)
+        places[odd] = len(self.sizes) + np.arange(odd.sum())
+        self._add(found := pieces.filter(pa.array(odd)), *self._whole_of(found.to_pylist()))
+        places[both] = len(self.sizes) + np.arange(both.sum())
+        halves = np.stack([of_word[both], of_rest[both]], axis=1)
+        self._add(pieces.filter(pa.array(both)), self._row(halves.ravel()), self.sizes[halves].sum(axis=1))
+        return places
+
+    def _row(self, places: np.ndarray) -> np.ndarray:
+        """The ids of remembered pieces in a row."""
+        return self.ids[_spans((np.cumsum(self.sizes) - self.sizes)[places], self.sizes[places])]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        lower = [(text or "").encode("utf-8", "surrogatepass").lower() for text in texts]
-        pieces = [raw.split() for raw in lower] if self.direct else [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
-        if len(self.known) >= KEPT:  # two generations: what is still in use comes over from the one before
-            self.before, self.known = self.known, {}
-        known, distinct = self.known, set().union(*pieces)
-        for piece in distinct.difference(known):
-            self._remembered(piece, self._piece)
-        get, code = dict(zip(distinct, map(known.__getitem__, distinct), strict=True)).__getitem__, np.dtype(self.code)
+        raw = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+        lower = [text.lower() for text in raw]
+        if len(self.sizes) >= KEPT:
+            self.forget()
+        # The six white space characters of ASCII part pieces, as for ``bytes.split``.
+        split = pc.ascii_split_whitespace(pa.array(lower if self.direct else raw, pa.large_binary()).view(pa.large_string()))
+        coded = split.values.view(pa.large_binary()).dictionary_encode()
+        places = pc.index_in(coded.dictionary, self.known)
+        new = places.is_null()
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        missing = coded.dictionary.filter(new)
+        if self.direct:
+            places[places < 0] = self._learn(missing)
+        else:
+            places[places < 0] = len(self.sizes) + np.arange(len(missing))
+            self._add(missing, *self._whole_of(missing.to_pylist()))
+        places = places[coded.indices.to_numpy()]
+        ids = self._row(places)
+        bounds = np.append(0, np.cumsum(self.sizes[places]))[split.offsets.to_numpy()].tolist()
         found = []
-        for text, raw, own in zip(texts, lower, pieces, strict=True):
-            if text and any(special in raw for special in self.special):
-                ids = self._whole(text)
+        for text, low, start, end in zip(texts, lower, bounds, bounds[1:]):
+            if text and any(special in low for special in self.special):
+                found.append(np.frombuffer(self._whole(text), ids.dtype))
             else:
-                ids = b"".join(map(get, own))
-            found.append(np.frombuffer(ids, dtype=code))
+                found.append(ids[start:end])
         return found
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, one span behind the other."""
+    ends = np.cumsum(size)
+    return np.arange(size.sum()) + np.repeat(begin - (ends - size), size)
+
+
+def _words(stems: list[bytes]) -> list[bytes | None]:
+    """The words of composed lower-case letters that the tokenizer makes of stems; none for one that it may cut or change otherwise.
+
+    Stems are looked at together, and by halves where one of them is none.
+    """
+    text = b"\n".join(stems).decode("utf-8", "surrogatepass")
+    low = text.lower()
+    if text.replace("\n", "").isalpha() and low.replace("\n", "").isalpha() and "Σ" not in text and is_normalized("NFC", text):
+        return low.encode().split(b"\n")
+    half = len(stems) // 2
+    return _words(stems[:half]) + _words(stems[half:]) if half else [None]
+
+
 def tokenizer_of(path: str) -> TokenIds:
     """The tokenizer at a path, kept from one task of a worker to the next."""
     return remembered(f"token ids {path}", lambda: TokenIds(path))
@@ -140,7 +234,7 @@ def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
 
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids in order and how often each stands; numbers of 16 bits are sorted by radix."""
-    ids = np.sort(ids, kind="stable")
+    ids = np.sort(ids, kind="stable" if ids.itemsize <= 2 else "quicksort")
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
     return ids[first], np.diff(np.append(first, len(ids)))
 

@@ -29,6 +29,30 @@ def test_ids_are_those_of_the_tokenizer():
         assert [found.tolist() for found in ids(ODD)] == [plain(tokenizer, text) for text in ODD]
 
 
+class Asked:
+    """The tokenizer of words, with the number of times it was asked."""
+
+    def __init__(self, words):
+        self.words, self.calls = words, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += 1
+        return self.words.encode_batch_fast(texts, **options)
+
+
+def test_new_words_of_a_call_go_to_the_model_at_once(monkeypatch):
+    tokenizer, ids = Tokenizer.from_file(PATH), TokenIds(PATH)
+    ids.words = Asked(ids.words)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdeéÉö", k=rng.randint(1, 9))) + rng.choice(["", ".", ",!"]) for _ in range(40)) for _ in range(50)]
+    want = [plain(tokenizer, text) for text in texts]
+    assert [found.tolist() for found in ids(texts)] == want and ids.words.calls == 1
+    assert [found.tolist() for found in ids(texts)] == want and ids.words.calls == 1
+    monkeypatch.setattr(packing, "KEPT", 100)
+    assert [found.tolist() for found in ids(texts)] == want and ids.words.calls == 2
+    assert [found.tolist() for text in [[], ["", " a "], ["é1 ½,"]] for found in ids(text)] == [[], plain(tokenizer, "a"), plain(tokenizer, "é1 ½,")]
+
+
 def corpus(seed):
     rng = random.Random(seed)
     words = ["river", "stone", "light", "Haus", "été", "über,", "42", "end."]

@@ -43,11 +43,16 @@ def truthy(value: Column) -> Column:
 
 
 def deviation_flag(result: Column) -> Column:
-    """Whether a result text reports a deviation: by its words, or by a number other than zero."""
+    """Whether a result text reports a deviation: by its words, or by a number other than zero.
+
+    A whole number in its usual form needs no patterns; it has no words either.
+    """
     says_so = F.lower(result).rlike(DEVIATION_WORDS)
     value = number(result)
     nonzero = ~F.isnan(value) & (value != 0)
-    return F.coalesce(says_so, F.lit(False)) | F.coalesce(nonzero, F.lit(False))
+    text = result.cast("string")
+    whole = text.try_cast("bigint")
+    return F.when(whole.cast("string") == text, whole != 0).otherwise(F.coalesce(says_so, F.lit(False)) | F.coalesce(nonzero, F.lit(False)))
 
 
 def clock(seconds: Column) -> Column:

@@ -24,7 +24,9 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
     """One row per entity and control that has a result or a message.
 
     A single pass: every ``resultaat_N`` with its companions becomes one element of an
-    array that is expanded in place, without a shuffle.
+    array that is expanded in place, without a shuffle. The array is made by a projection of its own, which is
+    compiled; as part of the generator it would be interpreted. It is never empty, so the outer form adds no row, and
+    unlike the other it has no filter on the array's size, which would make the array twice.
     """
     controls = result_controls(df)
     if not controls:
@@ -39,7 +41,7 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
             for control in controls
         ]
     )
-    return df.select(
+    wide = df.select(
         optional(df, "client_slug").alias("client_slug"),
         optional(df, "stuurtabel_id", "bigint").cast("bigint").alias("stuurtabel_id"),
         F.lit(entity_type).alias("entity_type"),
@@ -48,5 +50,6 @@ def control_rows(df: DataFrame, entity_type: str, id_column: str = "id", date_co
         optional(df, "vervoerder").alias("vervoerder"),
         next((as_label(df, name) for name in ("perceel", "perceel_id") if name in df.columns), F.lit(None).cast("string")).alias("perceel"),
         optional(df, "synced_at", "timestamp").alias("synced_at"),
-        F.inline(elements),
-    ).where("resultaat is not null or tekst is not null")
+        elements.alias("_controls"),
+    )
+    return wide.select(*wide.columns[:-1], F.inline_outer("_controls")).where("resultaat is not null or tekst is not null")

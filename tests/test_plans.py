@@ -68,3 +68,9 @@ def test_every_sheet_has_a_header_per_column(spark):
     for control in (1004, 1005, 1006):
         detail, headers = grouped_sheet(frames["va_ritten_detail"], control)
         assert headers[0] == "Kenteken" and len(headers) == len(detail.listing().columns) - 1
+
+
+def test_unpivot_makes_its_array_once_before_the_generator(rides):
+    """In a projection it is compiled; a filter on its size would make it a second time."""
+    text = plan(control_rows(rides, "rit"))
+    assert "Generate inline(_controls#" in text and "size(" not in text

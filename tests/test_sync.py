@@ -267,3 +267,15 @@ def test_csv_export_keeps_order_and_headers(spark, tmp_path):
     lines = [line.value for line in spark.read.text(f"{tmp_path}/csv").collect()]
     assert lines[0] == "Kenteken,Km"
     assert [line for line in lines if line != "Kenteken,Km"] == ['a,""', "b,2.0"]
+
+
+def test_rides_are_written_where_they_are_and_small_tables_are_dealt_by_run(spark, store):
+    """Wide rows are not moved to share files: a run has a file of each task that holds rows of it."""
+    rows = spark.range(0, 30, 1, 3).selectExpr("id % 2 as stuurtabel_id", "id", "'x' as kosten_rit")
+    for dataset, files in (("ritten_detail", 6), ("va_ritten_detail", 6), ("ritten_controls_long", 6), ("kentallen_route", 2)):
+        assert store.write_version(dataset, rows, "1") == 30
+        held = store.read_version(dataset, "1")
+        assert len(held.inputFiles()) == files and held.count() == 30
+        assert store.append_history(dataset, rows.withColumn("stuurtabel_id", F.expr("nullif(stuurtabel_id, 0)")), DAY) == 30
+        kept = store.read_history(dataset)
+        assert len(kept.inputFiles()) == files and runs_of(kept.where("stuurtabel_id <> 'unknown'")) == [1] and kept.count() == 30

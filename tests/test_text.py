@@ -3,6 +3,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rideledger.fixed_values import DEVIATION_WORDS
+from rideledger.functions.numeric import number
 from rideledger.functions.text import deviation_flag, minutes_label, sort_key, strip_location_code, truthy
 from rideledger.operators.detail import format_cells
 from rideledger.operators.unpivot import as_text
@@ -65,3 +67,14 @@ def test_format_cells(spark):
 def test_numbers_become_text_without_exponent(spark):
     df = spark.createDataFrame([(1.0,), (1e7,), (0.5,), (None,), (0.0001,)], "v double")
     assert [row.t for row in df.select(as_text(df, "v").alias("t")).collect()] == ["1.0", "10000000.0", "0.5", None, "0.0001"]
+
+
+def test_whole_numbers_need_no_patterns_to_be_deviations(spark):
+    texts = ["0", "1", "-3", "-0", "+1", "007", "0.0", "1e3", " 2 ", "2\x01", "NaN", "99999999999999999999", "niet 0", "ok", "", None]
+    rows = spark.createDataFrame([(text,) for text in texts], "v string")
+    by_words = F.coalesce(F.lower("v").rlike(DEVIATION_WORDS), F.lit(False))
+    by_number = F.coalesce(~F.isnan(number(F.col("v"))) & (number(F.col("v")) != 0), F.lit(False))
+    got = rows.select("v", deviation_flag(F.col("v")).alias("flag"), (by_words | by_number).alias("plain")).collect()
+    assert [(row.v, row.flag) for row in got] == [(row.v, row.plain) for row in got]
+    condition = rows.select(deviation_flag(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert condition.index("try_cast(v") < condition.index("RLIKE")  # tried before any pattern

@@ -584,8 +584,9 @@ def _stored_client(star: Star) -> Store:
     """A store that holds the detail rows of the current runs with their counts."""
     store = _new_store(star)
     found = {dataset: rows for dataset, rows in details(star).items() if dataset in kept_counts.MEASURED}
+    held = current_ids(star)  # a list, as a sync has it: a join by run would shuffle all rows to a task for each run
     for dataset, rows in found.items():
-        store.write_version(dataset, rows.join(current(star).select(RUN), RUN, "left_semi"), "1")
+        store.write_version(dataset, normalise.of_runs(rows, held), "1")
     kept_counts.keep_measures(store, list(found), "1")
     versions = F.create_map(*[F.lit(text) for dataset in found for text in (dataset, "1")])
     store.publish(sync.build_manifest(current(star), CLIENT, SYNCED_AT).withColumn("data_versions", versions), "1")

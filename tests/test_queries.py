@@ -8,7 +8,10 @@ import pytest
 
 import __spark_entry__ as contract
 from catalogue.oracle import statements
-from catalogue.queries import callables
+from catalogue.adapter import Star
+from catalogue.queries import _stored_client, callables
+from rideledger.session import SETTINGS
+from rideledger.sources.datasets import Store
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -71,3 +74,23 @@ def test_breakdown_of_two_runs(spark):
 def test_dates_are_dates(spark):
     row = QUERIES["report_1_detail"](spark, FOLDER).where("datum is not null").first()
     assert type(row.datum) is datetime.date
+
+
+def test_queries_run_with_the_settings_they_are_meant_for(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    QUERIES["current_run_list"](other, FOLDER)
+    assert {name: other.conf.get(name) for name in SETTINGS} == SETTINGS
+
+
+def test_a_stored_client_takes_its_runs_by_a_list(spark, monkeypatch):
+    """A join with the run list would shuffle all wide rows by run."""
+    plans, write = [], Store.write_version
+
+    def seen(store, dataset, rows, version):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(store, dataset, rows, version)
+
+    monkeypatch.setattr(Store, "write_version", seen)
+    _stored_client(Star(spark, FOLDER))
+    assert len(plans) == 3 and not any("LeftSemi" in plan for plan in plans)
